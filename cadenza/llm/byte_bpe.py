@@ -193,26 +193,28 @@ class EncodedText:
         self.tables: list[list[int]] = []
         self.append(text)
 
-    def _table(self, piece: str, old: str = "", table: list[int] | None = None) -> list[int]:
-        data = piece.encode()
-        if table is not None and piece.startswith(old):
-            return self.encoder.extend(data, table)
-        return self.encoder.extend(data, [])
+    def _table(self, piece: str, old: dict[str, list[int]] | None = None) -> list[int]:
+        for start, table in (old or {}).items():
+            if piece.startswith(start):
+                return self.encoder.extend(piece.encode(), table)
+        return self.encoder.extend(piece.encode(), [])
 
     def append(self, text: str) -> None:
-        """Only the last piece can change, and its table is extended if it grows."""
+        """Only the last two pieces can change (``'r`` and ``e``); a table is extended if its piece grows."""
         if not text:
             return
-        old = self.pieces.pop() if self.pieces else ""
-        table = self.tables.pop() if old else None
-        for i, piece in enumerate(self.split(old + text)):
+        tail, tables = self.pieces[-2:], self.tables[-2:]
+        del self.pieces[-2:], self.tables[-2:]
+        old = dict(zip(tail, tables))
+        for piece in self.split("".join(tail) + text):
             self.pieces.append(piece)
-            self.tables.append(self._table(piece, old, table) if i == 0 and table is not None else self._table(piece))
+            self.tables.append(self._table(piece, old))
+            old = {k: v for k, v in old.items() if v is not self.tables[-1]}
 
     def replace(self, begin: int, end: int, text: str) -> None:
         """Put ``text`` in place of characters [begin, end); pieces are cut anew until a border is an old one."""
         starts = np.concatenate([[0], np.cumsum([len(p) for p in self.pieces])]).astype(int)
-        i = max(0, int(np.searchsorted(starts, begin, side="right")) - 2)
+        i = max(0, int(np.searchsorted(starts, begin, side="right")) - 3)
         whole = "".join(self.pieces)
         new = whole[:begin] + text + whole[end:]
         shift = len(text) - (end - begin)
