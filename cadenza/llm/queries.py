@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import byte_bpe, minmax_dedup, substring_dedup, token_counts
+from cadenza.llm import byte_bpe, chat_format, decontaminate, embedding_dedup, kneser_ney, license_scan, minmax_dedup, substring_dedup, token_counts, toxicity_crf
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _table(spark, sf_dir, "documents")
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +35,46 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity_crf.tag(docs, toxicity_crf.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.with_control_strings(spark, _table(spark, sf_dir, "conversations"))
+    return chat_format.summary(chat_format.format_chats(turns))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op3_minmax_dedup, op4_substring_dedup, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_byte_bpe,
+        op3_minmax_dedup,
+        op4_substring_dedup,
+        op5_decontaminate,
+        op6_embedding_dedup,
+        op7_kneser_ney,
+        op8_toxicity_crf,
+        op9_chat_format,
+        op10_token_counts,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE, "op9_chat_format": chat_format.ORACLE}
