@@ -38,7 +38,8 @@ def cosine(a: Column | str, b: Column | str, compat: bool = False) -> Column:
     product = dot(a, a) * dot(b, b)
     value = dot(a, b) / F.sqrt(F.when(product == 0, None).otherwise(product))
     bounded = F.least(F.greatest(value, F.lit(-1.0)), F.lit(1.0))
-    return F.when(product == 0, F.lit(float("nan"))).otherwise(bounded) if compat else bounded
+    none = F.lit(float("nan")) if compat else F.lit(None).cast("double")
+    return F.when(product == 0, none).when(product.isNotNull(), bounded)
 
 
 def blend(a: Column | str, b: Column | str, weight: float) -> Column:
