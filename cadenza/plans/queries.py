@@ -280,7 +280,20 @@ def artist_counts(spark, sf_dir):
     return playlist.artist_counts(_lists(spark, sf_dir))
 
 
-@query()
+_CHAIN = f"""{SQL}, sims AS (SELECT a.uri AS last, b.uri, {cosine_sql('a.embedding', 'b.embedding')} AS similarity FROM track a, track b WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL),
+near AS (SELECT last, list({{'uri': uri, 'similarity': similarity}} ORDER BY similarity DESC, uri) AS near FROM sims WHERE similarity > 0.2 GROUP BY last),
+chains AS (
+  SELECT query, query AS last, CAST([] AS STRUCT(uri VARCHAR, similarity DOUBLE)[]) AS chain FROM asked
+  UNION ALL
+  SELECT query, more[-1].uri, list_concat(chain, more)
+  FROM (SELECT c.query, c.chain, list_filter(n.near, lambda x: NOT list_contains(list_transform(c.chain, lambda y: y.uri), x.uri))[1:3] AS more FROM chains c JOIN near n ON n.last = c.last WHERE len(c.chain) < 40)
+  WHERE len(more) > 0
+), longest AS (SELECT query, arg_max(chain, len(chain)) AS chain FROM chains GROUP BY query),
+rows AS (SELECT query, unnest(chain) AS c, generate_subscripts(chain, 1) AS pos FROM longest)
+SELECT query, CAST(pos AS INT) AS pos, c.uri AS uri, round(c.similarity, 6) AS similarity FROM rows"""
+
+
+@query(_CHAIN)
 def chain_walk(spark, sf_dir):
     found = playlist.chain_walk(S.tracks(spark, sf_dir), S.asked(spark, sf_dir).select("query"), 40, 3, 0.2)
     return _found(found)
