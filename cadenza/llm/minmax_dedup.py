@@ -9,9 +9,11 @@ shingle sets.
 Scale: documents with equal shingle sets are one class first (aggregated before the
 shuffle), and only class representatives are compared. A band's bucket isn't expanded
 into pairs: its members meet the one member that shares most buckets with others (the
-centre of a group of edited copies shares more than any other). Only buckets whose
-members are then still in different components give their remaining pairs across
-components, so no link is lost. Text is shuffled once, for candidates alone after that.
+centre of a group of edited copies shares more than any other). Where a bucket's members
+are then still in different components, their sets are compared in tiles of bounded size
+as matrix products, every block of the bucket with every other, and a tile gives only the
+components that it joins. So no link within a bucket is lost, and pairs are never rows.
+Text is shuffled once, for candidates alone after that.
 
 Defined results: a null text has no words; a document without words has no shingles,
 its own id as component, and is kept. With fewer than five words, the whole sequence is
@@ -34,6 +36,8 @@ from cadenza.llm.common import NOT_SPACE, Workspace, components, long_list, mix,
 PERMUTATIONS, ROWS, BANDS = 32, 4, 16
 SHINGLE = 5
 PERCENT = 85
+#: Sets in a block of a bucket, and shingles in a step of a tile's product.
+BLOCK, STEP = 512, 8192
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"
 
 _rng = np.random.Generator(np.random.PCG64(85))
@@ -109,6 +113,64 @@ def _verify(percent: int):
     return run
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            sets = _sets(batch.column(1)[lo : lo + 500])
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 500], long_list(flat.view(np.int64), np.array([len(x) for x in sets], np.int64))], names=["id", "grams"])
+
+
+def joined(labels: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The label of each set after links between the sets, the smallest of those that they join."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    useful = often > 1
+    column = np.where(useful, np.cumsum(useful) - 1, -1)[column]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(useful.sum()), STEP):
+        part = slice(*np.searchsorted(column, [lo, lo + STEP]))
+        has = np.zeros((len(sets), STEP), np.float32)
+        has[owner[part], column[part] - lo] = 1
+        shared += has @ has.T
+    linked = 100 * shared.astype(np.int64) >= percent * (size[:, None] + size[None, :] - shared.astype(np.int64))
+    out, before = labels, None
+    while before is None or (out != before).any():
+        before = out
+        out = np.minimum(out, np.where(linked, out[None, :], np.iinfo(np.int64).max).min(axis=1))
+    return out
+
+
+def _tile(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def close() -> pa.RecordBatch | None:
+            labels = np.array([row[3] for row in held])
+            if len(set(labels.tolist())) < 2:
+                return None
+            after = joined(labels, [row[4] for row in held], percent)
+            edges = sorted({(int(a), int(b)) for a, b in zip(labels, after) if a != b})
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"]) if edges else None
+
+        for batch in batches:
+            sets = [x.values.to_numpy(zero_copy_only=False) for x in batch.column(4)]
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), sets):
+                if held and held[0][:3] != row[:3]:
+                    if (out := close()) is not None:
+                        yield out
+                    held = []
+                held.append(row)
+        if held and (out := close()) is not None:
+            yield out
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     work = Workspace(docs.sparkSession)
@@ -129,24 +191,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     close = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
     pairs = work.keep(members.join(centre, "bh").where((F.col("id") != F.col("b")) & close).select(F.col("id").alias("a"), "b").distinct(), "pairs")
 
+    # Sort-merge joins, whatever the size: the text's side is never small, the ids' grow with it.
     ids = members.select("id").distinct()
-    candidates = work.keep(texts.join(ids, texts.doc_id == ids.id, "left_semi"), "candidates")
-
-    def confirmed(found: DataFrame) -> DataFrame:
-        left, right = candidates.toDF("a", "text_a"), candidates.toDF("b", "text_b")
-        both = found.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(_verify(percent), "a bigint, b bigint")
+    candidates = work.keep(texts.join(ids.hint("merge"), texts.doc_id == ids.id, "left_semi"), "candidates")
+    left, right = candidates.toDF("a", "text_a"), candidates.toDF("b", "text_b")
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "text_a", "text_b")
+    links = work.keep(both.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
 
-    links = work.keep(confirmed(pairs), "links")
     groups = components(links, work, "star")
-    labelled = members.join(groups, "id", "left").select("bh", "id", "n", F.coalesce("component", "id").alias("label"))
-    mixed = work.keep(labelled.groupBy("bh").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bh"), "mixed")
-    open_rows = work.keep(labelled.join(mixed, "bh", "left_semi"), "open")
+    labelled = members.join(groups, "id", "left").select("bh", "id", F.coalesce("component", "id").alias("label"))
+    state = labelled.groupBy("bh").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("all")).where("x <> y")
+    # Buckets with the same members need to be looked at once.
+    mixed = work.keep(state.groupBy("m", "all").agg(F.min("bh").alias("bh")).select("bh", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
+    open_rows = work.keep(labelled.join(mixed, "bh"), "open")
     if not open_rows.isEmpty():
-        x, y = open_rows.toDF("bh", "a", "n", "label_a"), open_rows.toDF("bh", "b", "nb", "label_b")
-        rest = x.join(y, "bh").where((F.col("label_a") < F.col("label_b")) & close).select("a", "b").distinct()
-        done = pairs.union(pairs.select("b", "a"))
-        more = work.keep(confirmed(work.keep(rest.join(done, ["a", "b"], "left_anti"), "rest")), "more")
+        need = open_rows.select("id").distinct()
+        sets = candidates.join(need.hint("merge"), candidates.doc_id == need.id, "left_semi").mapInArrow(_gather, "id bigint, grams array<bigint>")
+        block = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        tiles = block.select("id", "bh", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        placed = tiles.select("bh", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "label", "id")
+        dealt = placed.hint("merge").join(sets, "id").select("bh", "i", "j", "label", "grams").repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j")
+        more = work.keep(dealt.mapInArrow(_tile(percent), "a bigint, b bigint"), "more")
         if not more.isEmpty():
             groups = components(links.union(more), work, "all")
     work.drop("candidates")
