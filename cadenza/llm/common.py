@@ -50,7 +50,7 @@ class Workspace:
         if before is not None:
             self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.mode("append").parquet(path)
+            df.write.mode("append").option("compression", "zstd").parquet(path)
         finally:
             if before is not None:
                 self.spark.conf.set(CLEANUP, before)

@@ -172,8 +172,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(len(words))
             out.append(raw if keep else b" ".join(words))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(out, pa.binary()).cast(pa.string()), shared],
-            names=["doc_id", "tk", "n_words", "text", "anchors"],
+            [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(out, pa.binary()).cast(pa.string()), shared, *batch.columns[4:]],
+            names=["doc_id", "tk", "n_words", "text", "anchors", *batch.schema.names[4:]],
         )
 
 
@@ -289,24 +289,32 @@ def _remove(n: int):
                 gone = np.cumsum(cover[:-1]) > 0
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, x in zip(words, gone.tolist()) if not x) if removed[-1] else b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[4:]],
+                names=["doc_id", "n_words", "n_removed", "kept_text", *batch.schema.names[4:]],
+            )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text for every row of ``docs`` (doc_id, text)."""
+def remove_repeats(docs: DataFrame, n: int = WINDOW, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text for every row of ``docs`` (doc_id, text).
+
+    ``extra`` names columns of ``docs`` that the result has too.
+    """
     work = Workspace(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text"), *extra)
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in base.schema[3:])
     real = base.where("doc_id is not null")
     found = real.select("doc_id", "text").mapInArrow(_anchors(n), "anchor bigint, doc_id bigint")
     shared = work.keep(found.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor"), "shared")
     per_doc = work.keep(found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "per-doc")
-    joined = base.join(per_doc, "doc_id", "left").select("doc_id", "tk", "text", "anchors")
-    split = work.keep(joined.mapInArrow(_split, "doc_id bigint, tk bigint, n_words bigint, text string, anchors array<bigint>"), "split")
+    joined = base.join(per_doc, "doc_id", "left").select("doc_id", "tk", "text", "anchors", *extra)
+    split = work.keep(joined.mapInArrow(_split, f"doc_id bigint, tk bigint, n_words bigint, text string, anchors array<bigint>{more}"), "split")
     work.drop("per-doc")
+    work.drop("shared")
 
-    clean = split.where("anchors is null").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("text").alias("kept_text"))
+    clean = split.where("anchors is null").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("text").alias("kept_text"), *extra)
     touched = split.where("anchors is not null")
     source = touched.select("doc_id", "tk", "text", "anchors")
     passages = source.mapInArrow(_passages(n, True), "anchor bigint, passage string, doc_id bigint")
@@ -316,16 +324,17 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     firsts = normal.mapInArrow(_match(n), "anchor bigint, digest bigint, firsts array<bigint>")
     if not hot.isEmpty():
         rows = distinct.join(hot, "anchor", "left_semi").mapInArrow(_windows(n), "anchor bigint, digest bigint, i int, w binary, low bigint")
-        least = rows.groupBy("w").agg(F.min("low").alias("first"))
+        least = work.keep(rows.groupBy("w").agg(F.min("low").alias("first")), "least")
         ordered = rows.join(least, "w").groupBy("anchor", "digest").agg(F.sort_array(F.collect_list(F.struct("i", "first"))).alias("f"))
         firsts = firsts.union(ordered.select("anchor", "digest", F.col("f.first").alias("firsts")))
     firsts = work.keep(firsts, "firsts")
+    work.drop("distinct")
     places = source.mapInArrow(_passages(n, False), "anchor bigint, digest bigint, doc_id bigint, tk bigint, start bigint")
     hits = places.join(firsts, ["anchor", "digest"]).where(F.array_min("firsts") < F.col("doc_id"))
     by_row = work.keep(hits.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "firsts")).alias("hits")), "hits")
-    work.drop("distinct")
-    cut = touched.join(by_row, ["doc_id", "tk"], "left").select("doc_id", "n_words", "text", "hits")
-    return clean.union(cut.mapInArrow(_remove(n), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"))
+    work.drop("firsts")
+    cut = touched.join(by_row, ["doc_id", "tk"], "left").select("doc_id", "n_words", "text", "hits", *extra)
+    return clean.union(cut.mapInArrow(_remove(n), f"doc_id bigint, n_words bigint, n_removed bigint, kept_text string{more}"))
 
 
 def remove_reference(docs: DataFrame, reference: list[list[str]], n: int = WINDOW) -> DataFrame:
