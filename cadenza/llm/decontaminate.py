@@ -49,9 +49,9 @@ def _shingles(words: Column, k: int) -> Column:
     return F.get(F.transform(F.array(words), of), F.lit(0))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS, work: Workspace | None = None) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment of each document and item it contains."""
-    work = Workspace(docs.sparkSession)
+    work = work or Workspace(docs.sparkSession)
     items = with_words(benchmark, "item_id").select("item_id", F.array_distinct(_shingles(F.col("words"), k)).alias("grams"))
     items = work.keep(items.select("item_id", "grams", F.size("grams").cast("bigint").alias("q")).where("q > 0").distinct(), "items")
     largest = F.pow(F.lit(2.0), F.floor(F.log2("q")) + 1) - 1

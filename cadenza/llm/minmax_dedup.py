@@ -171,9 +171,9 @@ def _tile(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, work: Workspace | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
-    work = Workspace(docs.sparkSession)
+    work = work or Workspace(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = work.keep(texts.mapInArrow(_sign, SIGNED), "signed")
     real = signed.where("n_shingles > 0 and doc_id is not null")

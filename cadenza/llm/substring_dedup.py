@@ -297,12 +297,12 @@ def _remove(n: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, n: int = WINDOW, extra: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = WINDOW, extra: tuple[str, ...] = (), work: Workspace | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text for every row of ``docs`` (doc_id, text).
 
     ``extra`` names columns of ``docs`` that the result has too.
     """
-    work = Workspace(docs.sparkSession)
+    work = work or Workspace(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text"), *extra)
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in base.schema[3:])
     real = base.where("doc_id is not null")
