@@ -20,6 +20,18 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*((F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in KINDS.items()))
 
 
+_last: dict[str, Workspace] = {}
+
+
+def _workspace(spark: SparkSession) -> Workspace:
+    """A stage's work tables. Those of the stage before go: its result has been written and read again."""
+    key = spark.sparkContext.applicationId
+    if key in _last:
+        _last[key].release()
+    _last[key] = Workspace(spark)
+    return _last[key]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger doesn't take as toxic. The text goes along, so nothing is joined."""
     docs = _documents(docs)
@@ -29,28 +41,29 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id."""
-    docs = _documents(docs)
-    dropped = minmax_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(Workspace(spark).keep(dropped, "dropped"), "doc_id", "left_anti").select(*KINDS)
+    docs, work = _documents(docs), _workspace(spark)
+    dropped = minmax_dedup.near_duplicates(docs, work=work).where("not kept").select("doc_id").distinct()
+    return docs.join(work.keep(dropped, "dropped"), "doc_id", "left_anti").select(*KINDS)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; texts are left as words and single spaces."""
     docs = _documents(docs)
-    return substring_dedup.remove_repeats(docs, extra=("lang", "source")).select(
+    return substring_dedup.remove_repeats(docs, extra=("lang", "source"), work=_workspace(spark)).select(
         "doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("bigint").alias("n_chars")
     )
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without 0.8 or more of a benchmark item."""
-    docs = _documents(docs)
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(Workspace(spark).keep(found, "found"), "doc_id", "left_anti").select(*KINDS)
+    docs, work = _documents(docs), _workspace(spark)
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work=work).select("doc_id").distinct()
+    return docs.join(work.keep(found, "found"), "doc_id", "left_anti").select(*KINDS)
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and of the bytes decoded from them."""
+    _workspace(spark)
     return byte_bpe.digests(_documents(docs))
 
 
