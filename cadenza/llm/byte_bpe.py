@@ -38,7 +38,7 @@ CACHE_PIECES = 400_000
 #: Code points below this are split by explicit character classes, which is faster.
 PLAIN = 0x250
 #: The code points of Unicode White_Space, which the pattern's \s means.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _explicit(pattern: str, classes: dict[str, str]) -> str:
@@ -149,7 +149,7 @@ class PrefixEncoder:
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Add to ``last``, which holds the last token of each prefix so far, those of the rest of ``data``."""
-        children, token, sizes, fits = self.children, self.token, self.bytes, self._fits
+        children, token, fits = self.children, self.token, self._fits
         for end in range(len(last) + 1, len(data) + 1):
             node, start, found = 0, end, -1
             while start:

@@ -90,7 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def estimate(counts: DataFrame, work: Workspace) -> DataFrame:
-    """lang, n, code, alpha, gamma, share: discounted probabilities and back-off weights of all orders.
+    """lang, n, code, alpha, gamma: discounted probabilities and back-off weights of all orders.
 
     ``code`` is an n-gram with its ``alpha``, the discounted relative count; and a context
     of an n-gram, with ``gamma``, the weight of the next lower order after it.
