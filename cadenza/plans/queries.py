@@ -131,10 +131,10 @@ def vec_blend(spark, sf_dir):
     return m.select("a", "b", F.round(F.element_at("m", 1), 6).alias("first"), F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query("SELECT vec_id, CAST(len(embedding) AS INT) AS n, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6))), 5) AS total FROM embeddings")
+@query("SELECT vec_id, CAST(len(embedding) AS INT) AS n, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6))), 6) AS total FROM embeddings")
 def vec_text_roundtrip(spark, sf_dir):
     back = S.table(spark, sf_dir, "embeddings").select("vec_id", V.parse_vector(V.format_vector("embedding")).alias("v"))
-    return back.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+    return back.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 # ---------------------------------------------------------------- similarity
