@@ -46,14 +46,12 @@ class Workspace:
 
     def append(self, df: DataFrame, path: str) -> None:
         """Add ``df`` to the table in ``path``."""
-        before = self.spark.conf.get(CLEANUP, None)
-        if before is not None:
-            self.spark.conf.set(CLEANUP, "true")
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
         try:
             df.write.mode("append").option("compression", "zstd").parquet(path)
         finally:
-            if before is not None:
-                self.spark.conf.set(CLEANUP, before)
+            self.spark.conf.set(CLEANUP, before)
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
@@ -61,7 +59,6 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-
     def release(self) -> None:
         """Delete all tables; results that read them must have been written before."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
