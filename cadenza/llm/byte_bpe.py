@@ -29,12 +29,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import strings
-from cadenza.session import ship
+from cadenza.llm.common import prepare, strings
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces whose encodings a worker keeps.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Code points below this are split by explicit character classes, which is faster.
 PLAIN = 0x250
 #: The code points of Unicode White_Space, which the pattern's \s means.
@@ -142,7 +141,7 @@ class PrefixEncoder:
                     limit, x = left, self.parts[left][1]
                 else:
                     limit, y = right + 1, self.parts[right][0]
-        if len(self._fits) >= 1_000_000:
+        if len(self._fits) >= 250_000:
             self._fits.clear()
         self._fits[key] = out
         return out
@@ -276,7 +275,7 @@ def _tools(content: bytes, pattern: str) -> tuple[Splitter, _Cache, list[bytes]]
 
 def _vocabulary(spark: SparkSession, path: str | None):
     """The rank file, a few MB at most, for every worker."""
-    ship(spark)
+    prepare(spark)
     with open(path or public_tokenizers.path(RANKS), "rb") as file:
         return spark.sparkContext.broadcast(file.read())
 

@@ -24,13 +24,22 @@ from pyspark.sql import functions as F
 from cadenza.session import ship
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch for Python workers, which hold a few copies of one; a longer row is a batch of its own.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the code to the executors, and keep batches small unless the session has its own size."""
+    ship(spark)
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_BYTES)
 
 
 class Workspace:
     """Tables of one run below ``spark.checkpoint.dir`` (a temporary folder if unset)."""
 
     def __init__(self, spark: SparkSession) -> None:
-        ship(spark)
+        prepare(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = tempfile.mkdtemp(prefix="cadenza-")

@@ -26,8 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ALNUM, FOLD, strings
-from cadenza.session import ship
+from cadenza.llm.common import ALNUM, FOLD, prepare, strings
 
 #: The base phrases and their labels.
 BASE = {
@@ -112,7 +111,7 @@ _ready: dict[tuple, Scanner] = {}
 
 def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: tuple = NOTICES) -> DataFrame:
     """One row for every row of ``docs`` (doc_id, text), with labels and the verified spans."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     base = BASE if base is None else base
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

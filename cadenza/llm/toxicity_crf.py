@@ -32,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ALNUM, FOLD, mix, slices, word_hashes, word_spans
-from cadenza.session import ship
+from cadenza.llm.common import ALNUM, FOLD, mix, prepare, slices, word_hashes, word_spans
 
 SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 20_000
@@ -292,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> F
 
 def _mapped(docs: DataFrame, model: Field, filtered: bool) -> DataFrame:
     """Adds score and spans to the rows; ``filtered``: only rows with a score under 0.5, unchanged."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
     names = docs.columns + ([] if filtered else ["score", "spans"])
