@@ -20,6 +20,9 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*((F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in KINDS.items()))
 
 
+#: Least similarity of near duplicates, in percent.
+SIMILARITY = 80
+
 _last: dict[str, Workspace] = {}
 
 
@@ -40,9 +43,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    """One document of each group of near duplicates (0.8 or more), the one with the smallest doc_id."""
     docs, work = _documents(docs), _workspace(spark)
-    dropped = minmax_dedup.near_duplicates(docs, work=work).where("not kept").select("doc_id").distinct()
+    dropped = minmax_dedup.near_duplicates(docs, SIMILARITY, work).where("not kept").select("doc_id").distinct()
     return docs.join(work.keep(dropped, "dropped"), "doc_id", "left_anti").select(*KINDS)
 
 

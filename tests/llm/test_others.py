@@ -105,7 +105,7 @@ def test_pipeline(spark, sf_dir):
     assert all(t.columns == list(P.KINDS) for t in tables[1:-1])
     pairs = [[(i, r.text) for i, r in found.items()] for found in rows[:-1]]
     assert set(rows[1]) <= set(rows[0]) and all(rows[1][i].text == rows[0][i].text for i in rows[1])
-    assert set(rows[2]) == {i for i, (_, c) in H.near_duplicates(pairs[1]).items() if i == c}
+    assert set(rows[2]) == {i for i, (_, c) in H.near_duplicates(pairs[1], 80).items() if i == c}
     assert {i: r.text for i, r in rows[3].items()} == {i: kept for i, (_, _, kept) in H.without_repeats(pairs[2]).items()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert set(rows[4]) == set(rows[3]) - {d for d, *_ in H.containment(pairs[3], items)}
