@@ -1,44 +1,56 @@
 """Quality by a modified Kneser-Ney language model (operator 7).
 
-The model is an interpolated modified Kneser-Ney model of order 4 over 48 symbols: letters
-in lower case, classes of digits, punctuation and white space, and non-ASCII bytes folded
-into 14 classes. It is trained on trusted text, the documents labelled with quality 1, one
-model for each language. Words would be the other choice of unit; but a corpus has about
-as many distinct word trigrams as words, so joining each document's trigrams to counts
-moves several times the corpus. With 48 symbols the tables are bounded by 48^4 entries.
-
-Counts of n-grams, continuation counts, counts of counts and context totals are all
-DataFrame aggregations and joins sharded by (language, n-gram). Discounted probabilities
-and back-off weights are then sent to the workers, one broadcast table per language, which
-a worker fetches when it meets a document of that language. At most ``MAX_LANGUAGES``
-languages with most trusted documents have their own model, all others share one, so what
-is broadcast has a fixed bound.
+The model is an interpolated modified Kneser-Ney model of order 3 over words, one for each
+language, trained on trusted text, the documents labelled with quality 1. The vocabulary is
+open: the unigrams interpolate with a model of spellings, itself a modified Kneser-Ney model
+of order 4 over 48 symbols (letters in lower case, classes of digits, punctuation and
+non-ASCII bytes, and the end of a word). Words are runs of letters, digits and non-ASCII
+bytes, told apart by all of their bytes with A-Z as a-z; any other byte but white space is
+a word of its own. Perplexity is for each symbol, so languages and unseen words compare.
+
+Counts of n-grams, continuation counts, counts of counts and context totals are DataFrame
+aggregations and joins sharded by n-gram, counted per batch before the shuffle. What they
+hold grows with the trusted text. To score, documents are dealt by a hash into chunks of
+``CHUNK`` bytes; each chunk asks once for each of its distinct n-grams, the join with the
+model answers with those that it has, and the chunk's documents meet the answers. No n-gram
+is a hot key there, as a chunk asks once. Only the spelling models, of at most 48^4 entries
+for each language, are broadcast; a worker loads a language's model when it meets it and
+holds ``LOADED`` of them. Each language with trusted text has a model of its own, all
+others share one that is trained on all trusted text.
 
 A document is kept if its perplexity is at most the ``QUANTILE`` quantile of the trusted
-documents of its language, or of all of its language's documents if none is trusted.
+documents of its language that the model wasn't trained on: word n-grams know the text that
+they were counted on, so other text would fall behind it. One of ``HELD`` trusted documents
+is held out by a hash of its id, in languages with ``LEAST`` of them. In other languages
+the quantile is that of all documents, as no trusted one can be compared.
 
-Defined results: null and empty texts have a null perplexity and aren't kept. A null
-language is a language of its own in the shared model. Without any trusted text there is
-no evidence: all perplexities are those of the uniform model, and documents with text are
+Defined results: null and empty texts and those of white space have a null perplexity and
+aren't kept. A null language is the language ''. Without any trusted text there is no
+evidence: all perplexities are those of the uniform model, and documents with words are
 kept. Rows with null or repeated doc_ids are scored like any other; of repeated labels the
 largest counts. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import FOLD, Workspace, slices
+from cadenza.llm.common import ALNUM, FOLD, Workspace, mix, slices, word_hashes
 
 ORDER, SYMBOLS = 4, 48
 QUANTILE = 0.98
-MAX_LANGUAGES = 32
+#: Model of the languages without trusted text; the others are named by "=" and their language.
 SHARED = "*"
+#: Bytes of text that ask the model together, and spelling models that a worker holds.
+CHUNK, LOADED = 8 << 20, 8
+#: One of so many trusted documents is held out, in languages with so many at least.
+HELD, LEAST = 8, 20
 
 
 def _symbol_table() -> np.ndarray:
@@ -74,19 +86,99 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, offs
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        langs = batch.column(0).to_pylist()
-        held: dict[str, list] = {}
-        for lo, _, data, offs in slices(batch.column(1)):
-            code, at = grams(data, offs)
-            for lang in {*langs[lo : lo + len(offs) - 1]}:
-                rows = [code[at[r] : at[r + 1]] for r in range(len(offs) - 1) if langs[lo + r] == lang]
-                held.setdefault(lang, []).append(np.unique(np.concatenate(rows), return_counts=True))
-        for lang, parts in held.items():
-            codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts[: len(codes)])], names=["lang", "code", "c"])
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the index of each row's first word (one more at the end)."""
+    word = ALNUM[data]
+    joined = np.zeros(len(data) + 1, bool)  # the byte goes on with the word of the byte before
+    joined[1:-1] = word[1:] & word[:-1]
+    joined[offs] = False
+    some = _SYMBOL[data] != 0
+    starts = np.flatnonzero(some & ~joined[:-1])
+    return starts, np.flatnonzero(some & ~joined[1:]) + 1, np.searchsorted(starts, offs)
+
+
+def spelt(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the words, each with a space as its end, and the words' offsets in them."""
+    offs = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    place = np.arange(offs[-1]) + np.repeat(starts - offs[:-1], ends - starts + 1)
+    out = data[np.minimum(place, len(data) - 1)]
+    out[offs[1:] - 1] = 0x20
+    return out, offs
+
+
+def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, model: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes x, y, z of each word z and the two before it; they differ between models."""
+    salt = np.frombuffer(hashlib.blake2b(model.encode(), digest_size=8).digest(), np.uint64)
+    z = mix(word_hashes(data, starts, ends, fold=True) ^ salt)
+    size = np.diff(first)
+    place = np.arange(len(z)) + np.repeat((np.arange(len(size)) + 1) * 2, size)
+    wide = np.repeat(mix(salt), len(z) + 2 * len(size))
+    wide[place] = z
+    return wide[place - 2], wide[place - 1], z
+
+
+def key(*words: np.ndarray) -> np.ndarray:
+    """A hash of the n-gram of the given words."""
+    out = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + w)
+    return out.view(np.int64)
+
+
+def _by_model(langs: pa.Array, column: pa.Array, model_of) -> Iterator[tuple]:
+    """Model, rows, bytes, offsets and words of texts, one model and about 1 MB at a time."""
+    names = np.array([model_of(x) for x in langs.to_pylist()], object)
+    for model in sorted({*names}):
+        rows = np.flatnonzero(names == model)
+        for lo, hi, data, offs in slices(column.take(pa.array(rows))):
+            yield model, rows[lo:hi], data, offs, tokens(data, offs)
+
+
+def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of the columns, with the sums of their counts."""
+    if not len(counts):
+        return columns, counts
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    new = np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+    return [c[new] for c in columns], np.add.reduceat(counts[order], np.flatnonzero(new))
+
+
+def _models(lang: str, shared: bool) -> list[str]:
+    return [f"={lang}", SHARED] if shared else [f"={lang}"]
+
+
+def _counter(what: str, shared: bool):
+    """Counts of symbol n-grams (lang, code, c) or of word n-grams (lang, x, y, z, c) of a batch's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, list] = {}
+            for own, _, data, offs, (starts, ends, first) in _by_model(batch.column(0), batch.column(1), lambda x: x):
+                for model in _models(own, shared):
+                    if what == "code":
+                        columns = [grams(*spelt(data, starts, ends))[0]]
+                    else:
+                        columns = [w.view(np.int64) for w in word_grams(data, starts, ends, first, model)]
+                    held.setdefault(model, []).append(_summed(columns, np.ones(len(columns[0]), np.int64)))
+            for model, parts in held.items():
+                columns, counts = _summed([np.concatenate(c) for c in zip(*(p[0] for p in parts))], np.concatenate([p[1] for p in parts]))
+                names = ["code"] if what == "code" else ["x", "y", "z"]
+                yield pa.RecordBatch.from_arrays([pa.array([model] * len(counts), pa.string()), *map(pa.array, columns), pa.array(counts)], names=["lang", *names, "c"])
+
+    return run
+
+
+def _less(counts: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """Counts with ``taken``, the discount of their language."""
+    ones = [F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
+    cut = [(F.lit(i) - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1))) for i in (1, 2, 3)]
+    # Discounts that small counts of counts would put out of (0, i) are set inside.
+    discount = counts.groupBy("lang").agg(*ones).select("lang", *(F.least(F.greatest(d, F.lit(0.1)), F.lit(i - 0.1)).alias(f"d{i}") for i, d in enumerate(cut, 1)))
+    taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    discount = work.keep(discount, name)  # a row for each language
+    return counts.join(discount, "lang").withColumn("taken", taken)
 
 
 def estimate(counts: DataFrame, work: Workspace) -> DataFrame:
@@ -98,14 +190,7 @@ def estimate(counts: DataFrame, work: Workspace) -> DataFrame:
     out = None
     for n in range(ORDER, 0, -1):
         counts = work.keep(counts, f"count-{n}")
-        ones = [F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
-        cut = [(F.lit(i) - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1))) for i in (1, 2, 3)]
-        # Discounts that small counts of counts would put out of (0, i) are set inside.
-        discount = counts.groupBy("lang").agg(*ones).select("lang", *(F.least(F.greatest(d, F.lit(0.1)), F.lit(i - 0.1)).alias(f"d{i}") for i, d in enumerate(cut, 1)))
-        taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        discount = work.keep(discount, f"discount-{n}")  # a row for each language
-        each = counts.join(discount, "lang").withColumn("context", F.floor(F.col("code") / SYMBOLS)).withColumn("taken", taken)
+        each = _less(counts, work, f"discount-{n}").withColumn("context", F.floor(F.col("code") / SYMBOLS))
         total = each.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("taken").alias("spare"))
         alpha = each.join(total, ["lang", "context"]).select("lang", F.lit(n).alias("n"), "code", ((F.col("c") - F.col("taken")) / F.col("total")).alias("alpha"), F.lit(None).cast("double").alias("gamma"))
         gamma = total.select("lang", F.lit(n).alias("n"), F.col("context").alias("code"), F.lit(None).cast("double").alias("alpha"), (F.col("spare") / F.col("total")).alias("gamma"))
@@ -132,55 +217,177 @@ def assemble(n: np.ndarray, code: np.ndarray, alpha: np.ndarray, gamma: np.ndarr
     return np.log(below).astype(np.float32)
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams' keys for their words; a batch is of one order, those of lower orders have nulls in front."""
+    for batch in batches:
+        words = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[:3] if c.null_count < len(c)]
+        if len(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(key(*words)), batch.column(3), batch.column(4)], names=["key", "p", "g"])
+
+
+def word_model(counts: DataFrame, spellings: DataFrame, work: Workspace) -> tuple[DataFrame, dict[str, float]]:
+    """key, p, g of the words' n-grams of all orders, and each language's weight of spellings.
+
+    ``counts`` are the trigrams (lang, x, y, z, c) and ``spellings`` has the log probability
+    s of the spelling of each word z. ``p`` is the interpolated probability of an n-gram's
+    last word, ``g`` the weight of the next lower order after the n-gram as a context.
+    """
+    two = work.keep(counts.groupBy("lang", "y", "z").agg(F.count("*").alias("c")), "words-2")
+    one = work.keep(two.groupBy("lang", "z").agg(F.count("*").alias("c")), "words-1")
+    sums = [F.sum("c").alias("total"), (F.sum("taken") / F.sum("c")).alias("g")]
+    alpha = (F.col("c") - F.col("taken")) / F.col("total")
+
+    each = _less(one, work, "word-discount-1")
+    top = work.keep(each.groupBy("lang").agg(*sums), "context-0")
+    p1 = work.keep(each.join(top, "lang").join(spellings, "z").select("z", (alpha + F.col("g") * F.exp("s")).alias("p")), "p1")
+    each = _less(two, work, "word-discount-2")
+    after1 = work.keep(each.groupBy("y").agg(*sums), "context-1")
+    p2 = work.keep(each.join(after1, "y").join(p1, "z").select("y", "z", (alpha + F.col("g") * F.col("p")).alias("p")), "p2")
+    each = _less(counts, work, "word-discount-3")
+    after2 = work.keep(each.groupBy("x", "y").agg(*sums), "context-2")
+    p3 = each.join(after2, ["x", "y"]).join(p2, ["y", "z"]).select("x", "y", "z", (alpha + F.col("g") * F.col("p")).alias("p"), F.lit(None).cast("double").alias("g"))
+
+    none = F.lit(None).cast("bigint")
+    uni = p1.join(after1.select(F.col("y").alias("z"), "g"), "z", "full").select(none.alias("x"), none.alias("y"), "z", "p", "g")
+    bi = p2.join(after2.select(F.col("x").alias("y"), F.col("y").alias("z"), "g"), ["y", "z"], "full").select(none.alias("x"), "y", "z", "p", "g")
+    made = [df.mapInArrow(_keyed, "key bigint, p double, g double") for df in (uni, bi, p3)]
+    table = work.keep(made[0].union(made[1]).union(made[2]).select("key", F.col("p").cast("float").alias("p"), F.col("g").cast("float").alias("g")), "words")
+    weights = {r.lang: float(r.g) for r in top.select("lang", "g").collect()}
+    for name in ("words-1", "words-2", "context-0", "context-1", "context-2", "p1", "p2"):
+        work.drop(name)
+    return table, weights
+
+
 _tables: dict[tuple[str, str], np.ndarray] = {}
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+def _spelling(table: DataFrame, names: list[str], run: str):
+    """The function that gives a language's log probabilities of symbol n-grams, on any worker."""
+    spark, held = table.sparkSession, {}
+    size = {r.lang: r.n for r in table.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    some: list[str] = []
+    for i, name in enumerate(names):
+        some.append(name)
+        # At most 2 * 48^4 rows a language; small languages are fetched together.
+        if i + 1 < len(names) and sum(size[x] for x in some) + size[names[i + 1]] <= 4_000_000 and len(some) < 500:
+            continue
+        rows = table.where(F.col("lang").isin(some)).toArrow()
+        of = np.array(rows["lang"].to_pylist(), object)
+        columns = [rows[c].to_numpy() for c in ("n", "code", "alpha", "gamma")]
+        for x in some:
+            part = [c[of == x] for c in columns]
+            held[x] = spark.sparkContext.broadcast([part[0].astype(np.int8), part[1].astype(np.int32), part[2].astype(np.float32), part[3].astype(np.float32)])
+        some = []
+
+    def log_p(name: str) -> np.ndarray:
+        if (run, name) not in _tables:
+            for old in [k for k in _tables if k[0] != run] + [k for k in _tables if k[0] == run][: -LOADED + 1 or None]:
+                _tables.pop(old, None)
+            none = np.zeros(0)
+            n, code, alpha, gamma = held[name].value if name in held else (none, none.astype(int), none, none)
+            _tables[run, name] = assemble(n, code, alpha.astype(np.float64), gamma.astype(np.float64))
+        return _tables[run, name]
+
+    def spell(name: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words, the log probabilities of their spellings, and where each word of z is among them."""
+        words, at, where = np.unique(z, return_index=True, return_inverse=True)
+        code, offs = grams(*spelt(data, starts[at], ends[at]))
+        return words, np.add.reduceat(log_p(name)[code].astype(np.float64), offs[:-1]), where
+
+    return spell
+
+
+def held_out() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, chunk: int = CHUNK) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept for every row of ``docs`` (doc_id, lang, text)."""
     spark = docs.sparkSession
     work = Workspace(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     good = work.keep(good, "good")
-    trusted = texts.join(good, "doc_id", "left_semi").where("text <> ''")
-    counts = trusted.select("lang", "text").mapInArrow(_count, "lang string, code bigint, c bigint").groupBy("lang", "code").agg(F.sum("c").alias("c"))
-    counts = work.keep(counts, "counts")
-    own = [r.lang for r in counts.groupBy("lang").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "lang").limit(max_languages).collect()]
-    every = counts.where(F.col("lang").isin(own)).union(counts.select(F.lit(SHARED).alias("lang"), "code", "c").groupBy("lang", "code").agg(F.sum("c").alias("c")))
-    table = work.keep(estimate(every, work), "model")
-
-    held = {}
-    for lang in [*own, SHARED]:
-        # At most 2 * 48^4 rows, whatever the corpus.
-        rows = table.where(F.col("lang") == lang).select("n", "code", "alpha", "gamma").toArrow()
-        columns = [rows[c].to_numpy(zero_copy_only=False) for c in ("n", "code", "alpha", "gamma")]
-        held[lang] = spark.sparkContext.broadcast([columns[0].astype(np.int8), columns[1].astype(np.int32), columns[2].astype(np.float32), columns[3].astype(np.float32)])
-
-    model = work.root
-
-    def log_p(lang: str) -> np.ndarray:
-        lang = lang if lang in held else SHARED
-        if (model, lang) not in _tables:
-            for old in [k for k in _tables if k[0] != model]:
-                del _tables[old]
-            n, code, alpha, gamma = held[lang].value
-            _tables[model, lang] = assemble(n, code, alpha.astype(np.float64), gamma.astype(np.float64))
-        return _tables[model, lang]
+    trusted = texts.join(good, "doc_id", "left_semi").where(F.col("text").rlike(r"[^\x00-\x20]"))
+    sizes = {r.lang: r.n or 0 for r in texts.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    per_lang = trusted.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(held_out(), 1)).alias("out")).collect()
+    own = {r.lang for r in per_lang}
+    held = held_out() & F.col("lang").isin([r.lang for r in per_lang if r.n >= LEAST and 0 < r.out < r.n])
+    trusted = trusted.where(~held).select("lang", "text")
+    shared = bool(own) and bool(sizes.keys() - own)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def model_of(lang: str) -> str:
+        return f"={lang}" if lang in own else SHARED
+
+    def counted(what: str, names: str) -> DataFrame:
+        each = trusted.mapInArrow(_counter(what, shared), f"lang string, {', '.join(f'{c} bigint' for c in names.split())}, c bigint")
+        return work.keep(each.groupBy("lang", *names.split()).agg(F.sum("c").alias("c")), f"count-{what}")
+
+    table = work.keep(estimate(counted("code", "code"), work), "model")
+    spell = _spelling(table, sorted(f"={x}" for x in own) + [SHARED] * shared, work.root)
+
+    def spell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            for lo, hi, data, offs in slices(batch.column(2)):
-                code, at = grams(data, offs)
-                size = np.diff(at)
-                out = np.full(hi - lo, np.nan)
-                for r in np.flatnonzero(size):
-                    out[r] = np.exp(-log_p(langs[lo + r])[code[at[r] : at[r + 1]]].mean(dtype=np.float64))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(out, mask=np.isnan(out))], names=["doc_id", "lang", "perplexity"])
-
-    scored = work.keep(texts.select("doc_id", "lang", "text").mapInArrow(run, "doc_id bigint, lang string, perplexity double"), "scored")
+            for lang, _, data, offs, (starts, ends, first) in _by_model(batch.column(0), batch.column(1), lambda x: x):
+                for name in _models(lang, shared) if len(starts) else []:
+                    words, s, _ = spell(name, data, starts, ends, word_grams(data, starts, ends, first, name)[2])
+                    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(s)], names=["z", "s"])
+
+    spellings = work.keep(trusted.mapInArrow(spell_batches, "z bigint, s double").groupBy("z").agg(F.max("s").alias("s")), "spellings")
+    model, weights = word_model(counted("word", "x y z"), spellings, work)
+    work.drop("count-word")
+    work.drop("spellings")
+
+    n = max(1, -(-sum(sizes.values()) // chunk))
+    dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(n)).cast("int"))
+
+    def ask(group: pa.Table) -> pa.Table:
+        asked = [np.zeros(0, np.int64)]
+        for name, _, data, offs, (starts, ends, first) in _by_model(group["lang"], group["text"].combine_chunks(), model_of):
+            x, y, z = word_grams(data, starts, ends, first, name)
+            asked += [np.unique(k) for k in (key(x, y, z), key(y, z), key(x, y), key(y), key(z))]
+        keys = np.unique(np.concatenate(asked))
+        number = group["chunk"][0].as_py()
+        return pa.table({"chunk": pa.array(np.full(len(keys), number, np.int32)), "key": pa.array(keys)})
+
+    found = dealt.groupBy("chunk").applyInArrow(ask, "chunk int, key bigint").join(model, "key")
+    found = work.keep(found.select("chunk", "key", "p", "g"), "found")
+
+    def score(group: pa.Table, answers: pa.Table) -> pa.Table:
+        known = answers["key"].to_numpy()
+        order = np.argsort(known)
+        known = np.append(known[order], 0)
+        logs = [np.append(np.log(answers[c].to_numpy().astype(np.float64)[order]), np.nan) for c in ("p", "g")]
+
+        def look(*words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Logarithms of p, NaN if unseen, and of g, 0 if unseen."""
+            k = key(*words)
+            at = np.searchsorted(known[:-1], k)
+            at = np.where(known[at] == k, at, len(known) - 1)
+            return logs[0][at], np.nan_to_num(logs[1][at])
+
+        out = np.full(len(group), np.nan)
+        for name, rows, data, offs, (starts, ends, first) in _by_model(group["lang"], group["text"].combine_chunks(), model_of):
+            if not len(starts):
+                continue
+            x, y, z = word_grams(data, starts, ends, first, name)
+            _, s, where = spell(name, data, starts, ends, z)
+            total = look(z)[0]
+            total = np.where(np.isnan(total), np.log(weights.get(name, 1.0)) + s[where], total)
+            for seen, weight in ((look(y, z)[0], look(y)[1]), (look(x, y, z)[0], look(x, y)[1])):
+                total = np.where(np.isnan(seen), weight + total, seen)
+            row = np.repeat(np.arange(len(rows)), np.diff(first))
+            symbols = np.bincount(row, ends - starts + 1, len(rows))
+            some = symbols > 0
+            out[rows[some]] = np.exp(-np.bincount(row, total, len(rows))[some] / symbols[some])
+        return pa.table({"doc_id": group["doc_id"], "lang": group["lang"], "perplexity": pa.array(out, mask=np.isnan(out))})
+
+    scored = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, "doc_id bigint, lang string, perplexity double")
+    scored = work.keep(scored, "scored")
+    work.drop("found")
+    work.drop("words")
     of = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)).alias("t")
-    per_trusted = scored.join(good, "doc_id", "left_semi").groupBy("lang").agg(of)
+    per_trusted = scored.where(held).join(good, "doc_id", "left_semi").groupBy("lang").agg(of)
     limits = scored.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)).alias("any")).join(per_trusted, "lang", "left")
     limits = work.keep(limits.select("lang", F.coalesce("t", "any").alias("threshold")), "limits")
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))

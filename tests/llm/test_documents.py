@@ -248,6 +248,79 @@ def test_language_model(spark, nothing):
     assert all(r.perplexity is None or abs(r.perplexity - kneser_ney.SYMBOLS) < 1e-3 for r in uniform)
 
 
+def test_word_model(spark):
+    """Perplexities against the formula over words, term by term; each of many languages has its own model."""
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    words = ["été", "èté", "cat", "sat", "on", "日本", "本日", "mat"]
+    rows = [(i, f"l{i % 40}" if i >= 60 else "en", " ".join(rng.choice(words, 30))) for i in range(180)]
+    rows += [(1000, "xx", "cat sat on"), (1001, "en", "été cat"), (1002, "en", "éta cat, unseen"), (1003, "en", " \n ")]
+    labels = spark.createDataFrame([(i, 1) for i in range(180)], "doc_id bigint, quality int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    got = {r.doc_id: r for r in kneser_ney.quality(docs, labels, chunk=2000).collect()}
+    held = {r.doc_id for r in docs.where("lang = 'en' and doc_id < 180").where(kneser_ney.held_out()).collect()}
+    assert held and len({r.threshold for r in got.values() if r.lang == "en"}) == 1
+    assert max(got[i].perplexity for i in held) == pytest.approx(got[0].threshold)
+    assert len(got) == len(rows) and got[1003].perplexity is None and got[1000].perplexity > 1
+
+    def cuts(counts):
+        often = Counter(counts.values())
+        y = often[1] / max(often[1] + 2 * often[2], 1)
+        return [min(max(i - (i + 1) * y * often[i + 1] / max(often[i], 1), 0.1), i - 0.1) for i in (1, 2, 3)]
+
+    def model(texts, base):
+        counts = {3: Counter(g for t in texts for g in zip(["^", "^", *t], ["^", *t], t))}
+        for k in (2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        cut = {k: cuts(c) for k, c in counts.items()}
+
+        def p(k, g):
+            if k == 0:
+                return base(g)
+            after = [v for x, v in counts[k].items() if x[:-1] == g[-k:-1]]
+            if not after:
+                return p(k - 1, g)
+            own = counts[k].get(g[-k:], 0)
+            return (own - cut[k][min(own, 3) - 1] if own else 0) / sum(after) + sum(cut[k][min(v, 3) - 1] for v in after) / sum(after) * p(k - 1, g)
+
+        return p
+
+    def perplexity(lang, text):
+        texts = [kneser_ney_words(t) for j, x, t in rows[:180] if lang in (x, "*") and j not in held]
+        codes = lambda w: [int(c) for c in kneser_ney.grams(np.frombuffer((w + " ").encode(), np.uint8), np.array([0, len(w.encode()) + 1]))[0]]
+        counts = {4: Counter(c for t in texts for w in t for c in codes(w))}
+        size = kneser_ney.SYMBOLS
+        for k in (3, 2, 1):
+            counts[k] = Counter(c % size**k for c in counts[k + 1])
+        cut = {k: cuts(c) for k, c in counts.items()}
+
+        def symbol(k, c):
+            if k == 0:
+                return 1 / size
+            c %= size**k
+            after = [v for x, v in counts[k].items() if x // size == c // size]
+            if not after:
+                return symbol(k - 1, c)
+            own = counts[k].get(c, 0)
+            return (own - cut[k][min(own, 3) - 1] if own else 0) / sum(after) + sum(cut[k][min(v, 3) - 1] for v in after) / sum(after) * symbol(k - 1, c)
+
+        p = model(texts, lambda g: np.prod([symbol(4, c) for c in codes(g[-1])]))
+        t = kneser_ney_words(text)
+        logs = [np.log(p(3, g)) for g in zip(["^", "^", *t], ["^", *t], t)]
+        return np.exp(-sum(logs) / sum(len(w.encode()) + 1 for w in t))
+
+    for i, lang in ((0, "en"), (100, "l20"), (179, "l19"), (1000, "*"), (1001, "en"), (1002, "en")):
+        text = next(t for j, _, t in rows if j == i)
+        assert got[i].perplexity == pytest.approx(perplexity(lang, text), rel=1e-3), i
+
+
+def kneser_ney_words(text):
+    import re
+
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+|[^\x00-\x20]", text)
+
+
 def test_kneser_ney_numbers(spark):
     """Probabilities against the formula, computed term by term from the text's counts."""
     from collections import Counter
