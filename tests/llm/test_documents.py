@@ -315,6 +315,15 @@ def test_word_model(spark):
         assert got[i].perplexity == pytest.approx(perplexity(lang, text), rel=1e-3), i
 
 
+def test_each_language_has_its_own_model(spark):
+    """40 languages with the same trusted text: the same model, so the same perplexity, in all of them."""
+    rows = [(i, f"l{i:02}", "the cat sat on the mat and the dog sat on the cat") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (50, "l39", "the dog sat on the mat"), (51, "l00", "the dog sat on the mat")], "doc_id bigint, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id bigint, quality int")
+    got = {r.doc_id: r.perplexity for r in kneser_ney.quality(docs, labels).collect()}
+    assert len(got) == 42 and [got[i] for i in range(40)] == pytest.approx([got[0]] * 40) and got[50] == pytest.approx(got[51])
+
+
 def kneser_ney_words(text):
     import re
 
