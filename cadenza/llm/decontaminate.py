@@ -10,6 +10,8 @@ Candidates therefore miss nothing; they are verified by exact containment of ful
 
 Words are those of the text in lower case, split at ASCII characters that are neither
 letters nor digits; a text of fewer than five words has its whole sequence as one shingle.
+An item that short is sought in documents of any length, as the same words in a row; the
+SQL finds it only as a whole text, and has the same results where no item is that short.
 
 Scale: documents are read once and not shuffled. Signatures are broadcast only while they
 number at most ``BROADCAST_ROWS``; beyond that, (document, shingle) rows are joined by
@@ -39,11 +41,18 @@ def with_words(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias(key), words.alias("words"))
 
 
-def _shingles(words: Column, k: int) -> Column:
+def _shingles(words: Column, k: int, lengths: tuple[int, ...] = ()) -> Column:
+    """Shingles of k words, and those of an item of n words for each n of ``lengths``."""
+
+    def run(w: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "), F.lit(n)))
+
     def of(w: Column) -> Column:
         grams = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))
         short = F.array(F.xxhash64(F.array_join(w, " "), F.size(w)))
-        return F.when(F.size(w) >= k, grams).when(F.size(w) > 0, short).otherwise(F.array().cast("array<bigint>"))
+        out = F.when(F.size(w) >= k, grams).when(F.size(w) > 0, short).otherwise(F.array().cast("array<bigint>"))
+        runs = [F.when(F.size(w) >= n, run(w, n)).otherwise(F.array().cast("array<bigint>")) for n in lengths]
+        return F.concat(out, *runs) if runs else out
 
     # As a variable of a lambda the words are split once, not again for every shingle.
     return F.get(F.transform(F.array(words), of), F.lit(0))
@@ -52,7 +61,10 @@ def _shingles(words: Column, k: int) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS, work: Workspace | None = None) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment of each document and item it contains."""
     work = work or Workspace(docs.sparkSession)
-    items = with_words(benchmark, "item_id").select("item_id", F.array_distinct(_shingles(F.col("words"), k)).alias("grams"))
+    items = with_words(benchmark, "item_id")
+    sizes = items.select(F.size("words").alias("n")).where(f"n between 1 and {k - 1}").distinct()
+    lengths = tuple(sorted(row.n for row in sizes.collect()))
+    items = items.select("item_id", F.array_distinct(_shingles(F.col("words"), k)).alias("grams"))
     items = work.keep(items.select("item_id", "grams", F.size("grams").cast("bigint").alias("q")).where("q > 0").distinct(), "items")
     largest = F.pow(F.lit(2.0), F.floor(F.log2("q")) + 1) - 1
     kept = F.floor(largest * (1 - similarity) + 1e-9).cast("int") + 1
@@ -60,7 +72,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     smallest = items.withColumn("s", F.slice(ordered, 1, kept))
     signature = work.keep(smallest.select("item_id", "q", F.explode("s.gram").alias("gram")), "signature")
 
-    sets = with_words(docs, "doc_id").select("doc_id", _shingles(F.col("words"), k).alias("sh"))
+    sets = with_words(docs, "doc_id").select("doc_id", _shingles(F.col("words"), k, lengths).alias("sh"))
     enough = F.col("n_shared") >= F.ceil(F.col("q") * similarity - 1e-9)
     if signature.count() <= broadcast_rows:
         hit = sets.select("doc_id", "sh", F.explode("sh").alias("gram")).join(F.broadcast(signature.select("item_id", "gram")), "gram")

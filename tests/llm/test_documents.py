@@ -232,6 +232,15 @@ def test_contamination(spark, edges, nothing):
     assert decontaminate.contaminated(nothing, bench).count() == 0 == decontaminate.contaminated(edges, bench.limit(0)).count()
 
 
+def test_short_items_inside_documents(spark):
+    items = [(1, "alpha beta"), (2, "Gamma"), (3, "one two three four")]
+    rows = [(1, "x y z alpha-beta q r s t"), (2, "beta alpha beta"), (3, "beta alpha one two three"), (4, "a b c gamma one TWO three, four five"), (5, "gammas alphabeta"), (6, None)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for broadcast in (500_000, 0):
+        got = {(r.doc_id, r.item_id, r.n_shared) for r in decontaminate.contaminated(H.frame(spark, rows), bench, broadcast_rows=broadcast).collect()}
+        assert got == {(1, 1, 1), (2, 1, 1), (4, 2, 1), (4, 3, 1)}, broadcast
+
+
 # ---------------------------------------------------------------- 7
 
 
