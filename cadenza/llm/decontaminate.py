@@ -18,7 +18,8 @@ number at most ``BROADCAST_ROWS``; beyond that, (document, shingle) rows are joi
 shuffles instead, with the same result.
 
 Defined results: null and empty texts, on either side, have no shingles and no result.
-Repeated rows give one result. A null doc_id or item_id stays null in the result. Other
+Repeated rows give one result. Rows that repeat an id, on either side, are each judged by
+their own text. A null doc_id or item_id stays null in the result. Other
 columns are ignored.
 """
 
@@ -38,7 +39,7 @@ SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 def with_words(docs: DataFrame, key: str) -> DataFrame:
     words = F.array_remove(F.split(F.lower(F.col("text").cast("string")), SEPARATORS), "")
-    return docs.select(F.col(key).cast("bigint").alias(key), words.alias("words"))
+    return docs.select(F.col(key).cast("bigint").alias(key), words.alias("words"), F.xxhash64(F.col("text").cast("string")).alias("digest"))
 
 
 def _shingles(words: Column, k: int, lengths: tuple[int, ...] = ()) -> Column:
@@ -60,6 +61,12 @@ def _shingles(words: Column, k: int, lengths: tuple[int, ...] = ()) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS, work: Workspace | None = None) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment of each document and item it contains."""
+    found = contaminated_rows(docs, benchmark, similarity, k, broadcast_rows, work).drop("digest").distinct()
+    return found.select("doc_id", "item_id", F.col("q").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"))
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS, work: Workspace | None = None) -> DataFrame:
+    """doc_id, digest, item_id, q, n_shared; ``digest`` tells rows with one doc_id apart by their text."""
     work = work or Workspace(docs.sparkSession)
     items = with_words(benchmark, "item_id")
     sizes = items.select(F.size("words").alias("n")).where(f"n between 1 and {k - 1}").distinct()
@@ -70,24 +77,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     kept = F.floor(largest * (1 - similarity) + 1e-9).cast("int") + 1
     ordered = F.sort_array(F.transform("grams", lambda g: F.struct(F.xxhash64(g, F.lit(k)).alias("h"), g.alias("gram"))))
     smallest = items.withColumn("s", F.slice(ordered, 1, kept))
-    signature = work.keep(smallest.select("item_id", "q", F.explode("s.gram").alias("gram")), "signature")
+    signature = work.keep(smallest.select("item_id", F.xxhash64("grams").alias("item"), "q", F.explode("s.gram").alias("gram")), "signature")
 
-    sets = with_words(docs, "doc_id").select("doc_id", _shingles(F.col("words"), k, lengths).alias("sh"))
+    sets = with_words(docs, "doc_id").select("doc_id", "digest", _shingles(F.col("words"), k, lengths).alias("sh"))
     enough = F.col("n_shared") >= F.ceil(F.col("q") * similarity - 1e-9)
     if signature.count() <= broadcast_rows:
-        hit = sets.select("doc_id", "sh", F.explode("sh").alias("gram")).join(F.broadcast(signature.select("item_id", "gram")), "gram")
+        hit = sets.select("doc_id", "digest", "sh", F.explode("sh").alias("gram")).join(F.broadcast(signature.select("item_id", "gram")), "gram")
         whole = F.broadcast(items.toDF("item", "grams", "q"))
         shared = F.size(F.array_intersect("grams", "sh")).cast("bigint")
-        pairs = hit.join(whole, F.col("item_id").eqNullSafe(F.col("item"))).select("doc_id", "item_id", "q", shared.alias("n_shared"))
-        found = pairs.where(enough).distinct()
-    else:
-        rows = sets.select("doc_id", F.explode(F.array_distinct("sh")).alias("gram")).distinct()
-        every = work.keep(items.select("item_id", "q", F.explode("grams").alias("gram")), "every")
-        candidates = rows.join(signature, "gram").select("doc_id", "item_id", "q").distinct()
-        same = F.col("c.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("c.item_id").eqNullSafe(F.col("m.item_id")) & (F.col("c.q") == F.col("m.q"))
-        counted = rows.join(every, "gram").groupBy("doc_id", "item_id", "q").agg(F.count("*").alias("n_shared"))
-        found = counted.alias("m").join(candidates.alias("c"), same, "left_semi").where(enough)
-    return found.select("doc_id", "item_id", F.col("q").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"))
+        pairs = hit.join(whole, F.col("item_id").eqNullSafe(F.col("item"))).select("doc_id", "digest", "item_id", "q", shared.alias("n_shared"))
+        return pairs.where(enough).distinct()
+    unit = ["doc_id", "digest", "item_id", "item", "q"]
+    rows = sets.select("doc_id", "digest", F.explode(F.array_distinct("sh")).alias("gram")).distinct()
+    every = work.keep(items.select("item_id", F.xxhash64("grams").alias("item"), "q", F.explode("grams").alias("gram")), "every")
+    candidates = rows.join(signature, "gram").select(unit).distinct()
+    same = F.lit(True)
+    for c in unit:
+        same &= F.col(f"c.{c}").eqNullSafe(F.col(f"m.{c}"))
+    counted = rows.join(every, "gram").groupBy(unit).agg(F.count("*").alias("n_shared"))
+    found = counted.alias("m").join(candidates.alias("c"), same, "left_semi").where(enough)
+    return found.select("doc_id", "digest", "item_id", "q", "n_shared").distinct()
 
 
 ORACLE = """

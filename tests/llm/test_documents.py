@@ -241,6 +241,18 @@ def test_short_items_inside_documents(spark):
         assert got == {(1, 1, 1), (2, 1, 1), (4, 2, 1), (4, 3, 1)}, broadcast
 
 
+def test_contamination_with_repeated_ids(spark):
+    """Rows and items that share an id are judged one by one, whether signatures are broadcast or not."""
+    w = H.BASE.split()
+    items = [(1, " ".join(w[:24])), (1, " ".join(w[40:64])), (2, " ".join(w[:24])), (None, " ".join(w[70:90]))]
+    rows = [(1, " ".join(w[:16])), (1, " ".join(w[12:24])), (2, " ".join(w[:20] + ["x"] + w[44:64])), (3, H.BASE), (None, " ".join(w[:24])), (None, "clean")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for broadcast in (500_000, 0):
+        got = sorted(((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in decontaminate.contaminated(H.frame(spark, rows), bench, broadcast_rows=broadcast).collect()), key=str)
+        want = {(2, 1, 20, 16), (2, 2, 20, 16), (3, 1, 20, 20), (3, 2, 20, 20), (3, None, 16, 16), (None, 1, 20, 20), (None, 2, 20, 20)}
+        assert got == sorted(want, key=str), broadcast
+
+
 # ---------------------------------------------------------------- 7
 
 
