@@ -38,7 +38,7 @@ SHINGLE = 5
 PERCENT = 85
 #: Sets in a block of a bucket, and shingles in a step of a tile's product.
 BLOCK, STEP = 512, 8192
-SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"
+SIGNED = "doc_id bigint, tk bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"
 
 _rng = np.random.Generator(np.random.PCG64(85))
 _XOR = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, PERMUTATIONS, dtype=np.uint64)
@@ -79,8 +79,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest[row] = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
             bands = band_hashes(signatures(grams, at[:-1][full])) if len(full) else np.zeros((0, BANDS), np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[lo:hi], pa.array(n), pa.array(digest[:, 0]), pa.array(digest[:, 1]), long_list(bands.reshape(-1).view(np.int64), np.where(size > 0, BANDS, 0))],
-                names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+                [batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(n), pa.array(digest[:, 0]), pa.array(digest[:, 1]), long_list(bands.reshape(-1).view(np.int64), np.where(size > 0, BANDS, 0))],
+                names=["doc_id", "tk", "n_shingles", "d1", "d2", "bands"],
             )
 
 
@@ -173,27 +173,33 @@ def _tile(percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, work: Workspace | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    return linked_rows(docs, percent, work).drop("tk")
+
+
+def linked_rows(docs: DataFrame, percent: int = PERCENT, work: Workspace | None = None) -> DataFrame:
+    """The same with tk, a hash of the text, which tells rows with one doc_id apart."""
     work = work or Workspace(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tk", F.xxhash64("text"))
     signed = work.keep(texts.mapInArrow(_sign, SIGNED), "signed")
     real = signed.where("n_shingles > 0 and doc_id is not null")
     # One representative for each class of equal sets, with its bands, aggregated before the shuffle.
-    classes = work.keep(real.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("d1", "d2", "r.*"), "classes")
-    rows = classes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bh"))
+    # Classes are named by their digest, as a repeated doc_id can stand for several.
+    classes = work.keep(real.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tk", "n_shingles", "bands")).alias("r")).select("d1", "d2", "r.*"), "classes")
+    rows = classes.select(F.col("d1").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bh"))
     # Aggregates are written before they are joined, so that a join can split a hot bucket.
     sizes = work.keep(rows.groupBy("bh").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
     shared = work.keep(rows.join(sizes, "bh"), "shared")
     weight = shared.groupBy("id").agg(F.sum("m").alias("w"))
     members = work.keep(shared.join(weight, "id").select("bh", "id", "n", "w"), "members")
     work.drop("shared")
-    centre = members.groupBy("bh").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"), "n")).alias("c"))
-    centre = work.keep(centre.select("bh", (-F.col("c.neg")).alias("b"), F.col("c.n").alias("nb")), "centre")
+    centre = members.groupBy("bh").agg(F.max(F.struct("w", F.bitwise_not("id").alias("neg"), "n")).alias("c"))
+    centre = work.keep(centre.select("bh", F.bitwise_not("c.neg").alias("b"), F.col("c.n").alias("nb")), "centre")
     close = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
     pairs = work.keep(members.join(centre, "bh").where((F.col("id") != F.col("b")) & close).select(F.col("id").alias("a"), "b").distinct(), "pairs")
 
     # Sort-merge joins, whatever the size: the text's side is never small, the ids' grow with it.
-    ids = members.select("id").distinct()
-    candidates = work.keep(texts.join(ids.hint("merge"), texts.doc_id == ids.id, "left_semi"), "candidates")
+    ids = members.select("id").distinct().hint("merge").join(classes.select(F.col("d1").alias("id"), "doc_id", "tk"), "id")
+    candidates = work.keep(texts.join(ids.hint("merge"), ["doc_id", "tk"]).select("id", "text"), "candidates")
     left, right = candidates.toDF("a", "text_a"), candidates.toDF("b", "text_b")
     both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "text_a", "text_b")
     links = work.keep(both.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
@@ -206,7 +212,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, work: Workspace | N
     open_rows = work.keep(labelled.join(mixed, "bh"), "open")
     if not open_rows.isEmpty():
         need = open_rows.select("id").distinct()
-        sets = candidates.join(need.hint("merge"), candidates.doc_id == need.id, "left_semi").mapInArrow(_gather, "id bigint, grams array<bigint>")
+        sets = candidates.join(need.hint("merge"), "id", "left_semi").mapInArrow(_gather, "id bigint, grams array<bigint>")
         block = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         tiles = block.select("id", "bh", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         placed = tiles.select("bh", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "label", "id")
@@ -216,9 +222,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, work: Workspace | N
             groups = components(links.union(more), work, "all")
     work.drop("candidates")
 
-    rep = classes.select("d1", "d2", F.col("doc_id").alias("rep"))
-    named = rep.join(groups, rep.rep == groups.id, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    linked = real.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"])
-    least = F.least("component_id", "doc_id")
-    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n_shingles", least.alias("component_id")).union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = work.keep(classes.select("d1", "d2", "doc_id").join(groups, classes.d1 == groups.id, "left").select("d1", "d2", "doc_id", F.coalesce("component", "d1").alias("component")), "named")
+    first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = real.select("doc_id", "tk", "n_shingles", "d1", "d2").join(named.join(work.keep(first, "first"), "component").select("d1", "d2", "component_id"), ["d1", "d2"])
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "tk", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.select("doc_id", "tk", "n_shingles", "component_id").union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

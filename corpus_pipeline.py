@@ -35,6 +35,12 @@ def _workspace(spark: SparkSession) -> Workspace:
     return _last[key]
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` but those of ``gone`` (doc_id, tk: a hash of the text); ids may be null or repeated."""
+    same = docs.doc_id.eqNullSafe(gone.doc_id) & (F.xxhash64(docs.text) == gone.tk)
+    return docs.join(gone, same, "left_anti").select(*KINDS)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger doesn't take as toxic. The text goes along, so nothing is joined."""
     docs = _documents(docs)
@@ -45,8 +51,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (0.8 or more), the one with the smallest doc_id."""
     docs, work = _documents(docs), _workspace(spark)
-    dropped = minmax_dedup.near_duplicates(docs, SIMILARITY, work).where("not kept").select("doc_id").distinct()
-    return docs.join(work.keep(dropped, "dropped"), "doc_id", "left_anti").select(*KINDS)
+    dropped = minmax_dedup.linked_rows(docs, SIMILARITY, work).where("not kept").select("doc_id", "tk").distinct()
+    return _without(docs, work.keep(dropped, "dropped"))
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +66,8 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without 0.8 or more of a benchmark item."""
     docs, work = _documents(docs), _workspace(spark)
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work=work).select("doc_id").distinct()
-    return docs.join(work.keep(found, "found"), "doc_id", "left_anti").select(*KINDS)
+    found = decontaminate.contaminated_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work=work).select("doc_id", F.col("digest").alias("tk")).distinct()
+    return _without(docs, work.keep(found, "found"))
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

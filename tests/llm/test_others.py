@@ -122,3 +122,15 @@ def test_edges_of_the_pipeline(spark, tmp_path):
     got = {r.doc_id for r in P.run(spark, str(tmp_path)).collect()}
     assert {1, 6, 7, 8, 9, 12, 14, None} <= got and 2 not in got and 5 not in got
     assert minmax_dedup and substring_dedup
+
+
+def test_pipeline_with_repeated_and_null_ids(spark, tmp_path):
+    """Only the rejected row goes, not others with its id; contaminated rows without an id go too."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, H.FAR)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, H.BASE), (5, H.EDITED), (5, "clean text of five"), (5, H.FAR), (None, H.FAR), (None, "clean"), (None, None)]
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    docs = H.frame(spark, rows)
+    assert texts(P.minhash_dedup(spark, docs, "")) == sorted((r for r in rows if r != (5, H.EDITED)), key=str)
+    assert texts(P.decontamination(spark, docs, str(tmp_path))) == sorted((r for r in rows if r[1] != H.FAR), key=str)
