@@ -226,3 +226,17 @@ def test_engine(spark, tracks, tmp_path):
     assert engine.coverage() == {"completed": 41, "missing": 1}
     with pytest.raises(ValueError):
         Config("")
+
+
+def test_mmr_of_thirty_picks_against_a_plain_version():
+    rng = np.random.default_rng(11)
+    vectors, q = rng.normal(size=(50, 8)), rng.normal(size=8)
+    p = rerank.Selection(limit=30, selection="argmax", penalty_global=0.0, penalty_streak=0.0, inertia=1.0, noise=0.0)
+    u, v = vectors / np.linalg.norm(vectors, axis=1, keepdims=True), q / np.linalg.norm(q)
+    picks, scores = rerank.select(vectors, [[] for _ in vectors], v, p)
+    want = []
+    for _ in range(30):
+        value = {i: 0.7 * float(u[i] @ v) - 0.3 * max((float(u[i] @ u[j]) for j in want), default=0.0) for i in range(50) if i not in want}
+        want.append(max(value, key=value.get))
+        assert scores[len(want) - 1] == pytest.approx(value[want[-1]])
+    assert list(picks) == want
