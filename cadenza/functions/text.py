@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The extensions of audio files.
 AUDIO = (".mp3", ".flac", ".wav", ".m4a", ".ogg")
 
 
@@ -26,9 +27,13 @@ def stem(key: Column) -> Column:
     return F.regexp_replace(basename(key), r"(?<=[^.])\.[^.]*$", "")
 
 
+#: Fixed value: a file name with its number on an album.
+NUMBERED = r"^(\d{2})\s*-\s*(.+)$"
+
+
 def unnumbered(name: Column) -> Column:
     """What follows two digits and a dash; empty if the name doesn't start so."""
-    return F.regexp_extract(name, r"^(\d{2})\s*-\s*(.+)$", 2)
+    return F.regexp_extract(name, NUMBERED, 2)
 
 
 def dictionary_names(text: Column, names: list[str], match: str = "substring") -> Column:

@@ -6,6 +6,9 @@ NaN with ``compat`` as a database's distance operator gives it.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +68,11 @@ def centroid(rows: DataFrame, keys: list[str], vector: str, name: str = "centroi
     return vector_mean(unit, keys, "_unit", "_mean").select(*keys, l2norm("_mean").alias(name))
 
 
+def format_rounded(x: Column | str, digits: int = 3) -> Column:
+    """A number with a fixed number of decimals, as playlists are listed (STR-8)."""
+    return F.format_string(f"%.{digits}f", (F.col(x) if isinstance(x, str) else x).cast("double"))
+
+
 def format_vector(v: Column | str) -> Column:
     """[0.123456,...] with six decimals."""
     return F.concat(F.lit("["), F.array_join(F.transform(_double(v), lambda x: F.format_string("%.6f", x)), ","), F.lit("]"))
@@ -90,3 +98,13 @@ def hash_uniform(*parts: Column) -> Column:
 def gumbel(*parts: Column) -> Column:
     """Gumbel noise: the argmax of score / T + noise is a softmax draw at temperature T."""
     return -F.log(-F.log(F.greatest(hash_uniform(*parts), F.lit(1e-12))))
+
+
+def hash_number(*parts: object) -> float:
+    """``hash_uniform`` of the same parts in a Python worker."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def gumbel_number(*parts: object) -> float:
+    """``gumbel`` of the same parts in a Python worker."""
+    return -math.log(-math.log(max(hash_number(*parts), 1e-12)))

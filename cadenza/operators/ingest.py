@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.names import ARTISTS
 from cadenza.functions.text import AUDIO, basename, dictionary_names, extension, sanitize, stem, unnumbered
+from cadenza.sources.sinks import keyed_update
+from cadenza.sources.tables import list_media
 
 
 def flatten(library: DataFrame) -> DataFrame:
@@ -33,12 +35,15 @@ def coverage(tracks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tracks.where("embedding is null").select(*columns), tracks.where("embedding is not null").select(*columns), counts
 
 
-def current_item(queue: DataFrame) -> DataFrame:
-    """uri, name, album, artists of the first active player's media item, players by key (FLT-12)."""
-    players = F.sort_array(F.map_entries("service_response"))
-    playing = F.filter(F.transform(players, lambda p: p["value"]), lambda p: p["active"] & p["current_item"]["media_item"].isNotNull())
-    item = queue.select(F.get(playing, F.lit(0))["current_item"]["media_item"].alias("m")).where("m is not null")
-    return item.select("m.uri", "m.name", F.col("m.album.name").alias("album"), F.transform("m.artists", lambda a: a["name"]).alias("artists"))
+def current_item(queue: DataFrame, *keys: str) -> DataFrame:
+    """uri, name, album, artists of the first active player's media item, in the response's order (FLT-12).
+
+    ``keys`` names columns of ``queue`` that the result has too.
+    """
+    players = F.transform(F.map_entries("service_response"), lambda p: p["value"])
+    playing = F.filter(players, lambda p: p["active"] & p["current_item"]["media_item"].isNotNull())
+    item = queue.select(*keys, F.get(playing, F.lit(0))["current_item"]["media_item"].alias("m")).where("m is not null")
+    return item.select(*keys, "m.uri", "m.name", F.col("m.album.name").alias("album"), F.transform("m.artists", lambda a: a["name"]).alias("artists"))
 
 
 def match_media(tracks: DataFrame, listing: DataFrame) -> DataFrame:
@@ -104,16 +109,55 @@ def embed(files: DataFrame, dimension: int = 512, model: Callable[[bytes, int],
     return files.select("uri", "content").mapInPandas(run, "uri string, embedding array<float>")
 
 
-def embed_missing(tracks: DataFrame, listing: DataFrame, files: DataFrame, done: DataFrame, dimension: int = 512, model: Callable = stub_frames) -> DataFrame:
+def embed_missing(tracks: DataFrame, listing: DataFrame, files: DataFrame, done: DataFrame, dimension: int = 512, model: Callable = stub_frames, match: Callable = match_media) -> DataFrame:
     """Embeddings of tracks that lack one and whose file is found, without those stored (CMP-13).
 
     ``files`` has key and content; only matched files are read into the model.
     """
     work = to_embed(tracks.where("embedding is null").select("uri", "name", "artists", "album"), done)
-    found = match_media(work, listing).join(files.select("key", "content"), "key")
+    found = match(work, listing).join(files.select("key", "content"), "key")
     return embed(found, dimension, model)
 
 
+def shuffled(work: DataFrame, seed: int) -> DataFrame:
+    """A work list in random order (TOP-8): dealt to tasks at random, and each task's rows in order of a hash.
+
+    Spark has no order between tasks, so that's what a shuffle of the list is for: every
+    part of it is taken up at once and runs that stop early leave no region untouched.
+    """
+    order = F.xxhash64("uri", F.lit(seed))
+    return work.repartition(order).sortWithinPartitions(order)
+
+
+def store_embeddings(tracks: DataFrame, listing: DataFrame, files: DataFrame, store: str, dimension: int = 512, model: Callable = stub_frames, rounds: int = 8, seed: int = 0) -> DataFrame:
+    """uri, embedding: the key-value table in ``store`` after all missing embeddings were put there (SNK-8).
+
+    The work list goes in ``rounds`` parts by a hash of the uri; each part is appended as
+    soon as it is made, and what the table has already isn't made again. So a job that
+    broke goes on where it was, at the cost of one part at most.
+    """
+    spark, kind = tracks.sparkSession, "uri string, embedding array<float>"
+    spark.createDataFrame([], kind).write.mode("append").parquet(store)
+    for turn in range(rounds):
+        part = tracks.where(F.pmod(F.xxhash64("uri", F.lit(seed)), F.lit(rounds)) == turn)
+        done = spark.read.schema(kind).parquet(store)
+        embed_missing(shuffled(part, seed), listing, files, done, dimension, model).write.mode("append").parquet(store)
+    return spark.read.schema(kind).parquet(store)
+
+
+def embed_local(tracks: DataFrame, folder: str, dimension: int = 256, model: Callable = stub_frames) -> DataFrame:
+    """``tracks`` with the embeddings of those that lacked one and have a file in ``folder`` (CMP-14).
+
+    Files are matched by their exact path; the keyed update gives one new snapshot, so
+    either all of the embeddings are there or none. Tracks without a file, or whose file
+    gives no embedding, stay as they are.
+    """
+    files = list_media(tracks.sparkSession, folder, content=True)
+    none = tracks.sparkSession.createDataFrame([], "uri string, embedding array<float>")
+    made = embed_missing(tracks, files.select("key"), files, none, dimension, model, match_media_exact)
+    return keyed_update(tracks, made, "uri", "embedding")
+
+
 def frame_mean(frames: DataFrame, key: str = "uri", column: str = "frames") -> DataFrame:
     """Mean vector of an array of frames, by built-in functions; NaN or no frames give no row."""
     each = frames.select(key, F.explode(column).alias("f")).select(key, F.posexplode("f").alias("i", "x"))

@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.vectors import hash_uniform
+from cadenza.functions.vectors import format_rounded, hash_uniform
 from cadenza.operators.feedback import soft_skip, without_skipped_songs
 from cadenza.operators.similarity import FLOOR, similar_groups, top_k
 from cadenza.session import ship
+from cadenza.sources.work import drop, keep
 
 CHAIN, BATCH, STREAK = 40, 3, 3
 ROW = "query string, pos int, uri string, name string, artists array<string>, similarity double, sim_source string"
@@ -67,8 +68,6 @@ def chain_walk(tracks: DataFrame, seeds: DataFrame, limit: int = CHAIN, batch: i
     limit - 1 + batch tracks of the last one hold its next batch. Each step searches for
     the last elements of all chains together and keeps only the next batch of each.
     """
-    from cadenza.sources.work import keep
-
     spark = tracks.sparkSession
     embedded = tracks.where("embedding is not null").select("uri", "embedding")
     state = keep(spark, seeds.select("query", F.col("query").alias("last"), F.array().cast("array<struct<uri: string, similarity: double>>").alias("chain")))
@@ -79,7 +78,8 @@ def chain_walk(tracks: DataFrame, seeds: DataFrame, limit: int = CHAIN, batch: i
         fresh = F.filter(F.coalesce("near", F.array()), lambda x: ~F.array_contains(F.coalesce(F.col("chain.uri"), F.array()), x["uri"]))
         added = F.transform(F.slice(fresh, 1, batch), lambda x: F.struct(x["uri"].alias("uri"), x["similarity"].alias("similarity")))
         new = state.join(near, "last", "left").withColumn("more", F.when(open_, added).otherwise(F.array()))
-        state = keep(spark, new.select("query", F.when(F.size("more") > 0, F.element_at("more", -1)["uri"]).alias("last"), F.concat("chain", "more").alias("chain")))
+        before, state = state, keep(spark, new.select("query", F.when(F.size("more") > 0, F.element_at("more", -1)["uri"]).alias("last"), F.concat("chain", "more").alias("chain")))
+        drop(before)
         if state.where(F.col("last").isNotNull() & (F.size("chain") < limit)).isEmpty():
             break
     return state.select("query", F.posexplode("chain").alias("i", "c")).select("query", (F.col("i") + 1).cast("int").alias("pos"), "c.uri", "c.similarity")
@@ -90,22 +90,28 @@ def chain_from_graph(graph: DataFrame, seeds: DataFrame, limit: int = CHAIN, bat
 
     Each step is a join of the chains' last elements with the graph.
     """
-    from cadenza.sources.work import keep
-
     spark = graph.sparkSession
     near = keep(spark, graph.groupBy(F.col("query").alias("last")).agg(F.sort_array(F.collect_list(F.struct("pos", "uri", "similarity"))).alias("near")))
-    state = seeds.select("query", F.col("query").alias("last"), F.array().cast("array<struct<uri: string, similarity: double>>").alias("chain"))
+    state = keep(spark, seeds.select("query", F.col("query").alias("last"), F.array().cast("array<struct<uri: string, similarity: double>>").alias("chain")))
     for step in range(-(-limit // batch) + limit):
         open_ = (F.size("chain") < limit) & F.col("last").isNotNull()
         fresh = F.filter(F.coalesce("near", F.array()), lambda x: ~F.array_contains(F.coalesce(F.col("chain.uri"), F.array()), x["uri"]))
         added = F.transform(F.slice(fresh, 1, batch), lambda x: F.struct(x["uri"].alias("uri"), x["similarity"].alias("similarity")))
         new = state.join(near, "last", "left").withColumn("more", F.when(open_, added).otherwise(F.array()))
-        state = keep(spark, new.select("query", F.when(F.size("more") > 0, F.element_at("more", -1)["uri"]).alias("last"), F.concat("chain", "more").alias("chain")))
+        before, state = state, keep(spark, new.select("query", F.when(F.size("more") > 0, F.element_at("more", -1)["uri"]).alias("last"), F.concat("chain", "more").alias("chain")))
+        drop(before)
         if state.where(F.col("last").isNotNull() & (F.size("chain") < limit)).isEmpty():
             break
+    drop(near)
     return state.select("query", F.posexplode("chain").alias("i", "c")).select("query", (F.col("i") + 1).cast("int").alias("pos"), "c.uri", "c.similarity")
 
 
+def listing(rows: DataFrame) -> DataFrame:
+    """One line for each track of a playlist: artists, name, similarity with three decimals, uri (STR-8)."""
+    line = F.concat(F.array_join("artists", ", "), F.lit(": "), F.col("name"), F.lit(", similarity: "), format_rounded("similarity"), F.lit(", uri: "), F.col("uri"))
+    return rows.select("query", "pos", line.alias("line"))
+
+
 def weave(rows: list[dict], solos: dict[str, list[dict]], draws: dict[str, float]) -> list[dict]:
     """Puts random solo tracks of a row's artists before it, from the last row to the first.
 

@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.vectors import cosine, hash_uniform, vector_mean
+from cadenza.functions.vectors import cosine, hash_number, hash_uniform, vector_mean
 from cadenza.operators.feedback import without_skipped
 from cadenza.session import ship
 
 FLOOR, CANDIDATE_FLOOR, JITTER = 0.5, 0.55, 0.02
-#: Queries held by a worker at once; more are taken in rounds.
-QUERY_BLOCK = 4096
+#: Queries held by a worker at once; more are taken in rounds. Rows that a task holds for them before it passes them on.
+QUERY_BLOCK, HELD_ROWS = 4096, 1_000_000
+#: Queries that array functions answer, broadcast without a further check.
+FEW = 1024
 
 
 def _bounds(sim: Column, floor: float | None, ceiling: float | None) -> Column:
@@ -39,8 +41,10 @@ def ranked(rows: DataFrame, keys: list[str], k: int, score: str = "similarity")
 def top_k_expressions(corpus: DataFrame, queries: DataFrame, k: int, floor: float | None = FLOOR, ceiling: float | None = None) -> DataFrame:
     """query, uri, similarity, pos by array functions alone: for a few queries, which are broadcast.
 
-    ``queries`` has query and vector and is expected to be a handful of rows.
+    ``queries`` has query and vector; more than ``FEW`` rows go to ``top_k``, with the same result.
     """
+    if len(queries.where("vector is not null").limit(FEW + 1).collect()) > FEW:
+        return top_k(corpus, queries, k, floor, ceiling)
     usable = corpus.where("embedding is not null").select("uri", F.col("embedding").cast("array<double>").alias("v"))
     sim = usable.crossJoin(F.broadcast(queries.where("vector is not null"))).select("query", "uri", cosine("v", "vector").alias("similarity"))
     return ranked(sim.where(_bounds(F.col("similarity"), floor, ceiling)), ["query"], k)
@@ -49,9 +53,14 @@ def top_k_expressions(corpus: DataFrame, queries: DataFrame, k: int, floor: floa
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, floor: float | None = FLOOR, ceiling: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """query, uri, similarity, pos by matrix products: queries are broadcast in blocks of ``block``.
 
-    Every block is one pass over the corpus. A batch of the corpus keeps k rows for each
-    query, so what is shuffled is k rows per query and batch, never all pairs.
+    Every block is one pass over the corpus. A task keeps k rows for each query, so what is
+    shuffled is k rows per query and task, never all pairs.
     """
+    return ranked(_searched(corpus, queries, k, floor, ceiling, block).drop("score"), ["query"], k)
+
+
+def _searched(corpus: DataFrame, queries: DataFrame, k: int, floor: float | None, ceiling: float | None, block: int, jitter: float = 0.0, seed: int = 0) -> DataFrame:
+    """query, uri, similarity, score: rows among which the first k of each query by score are."""
     spark = corpus.sparkSession
     ship(spark)
     asked = queries.where("vector is not null").select("query", F.col("vector").cast("array<double>").alias("vector"))
@@ -61,42 +70,61 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, floor: float | None = F
         # Rows beyond a block's size by chance of the hash are taken too; a block stays within a few standard deviations.
         mine = asked if number <= block else asked.where(F.pmod(F.xxhash64("query"), F.lit(-(-number // block))) == turn)
         held = spark.sparkContext.broadcast([(r.query, r.vector) for r in mine.collect()])
-        parts.append(corpus.where("embedding is not null").select("uri", F.col("embedding").cast("array<double>").alias("v")).mapInArrow(_search(held, k, floor, ceiling), "query string, uri string, similarity double"))
-    return ranked(functools.reduce(DataFrame.union, parts), ["query"], k)
+        usable = corpus.where("embedding is not null").select("uri", F.col("embedding").cast("array<double>").alias("v"))
+        parts.append(usable.mapInArrow(_search(held, k, floor, ceiling, jitter, seed), "query string, uri string, similarity double, score double"))
+    return functools.reduce(DataFrame.union, parts)
+
+
+def _search(held, k: int, floor: float | None, ceiling: float | None, jitter: float, seed: int):
+    def first(scores: np.ndarray) -> np.ndarray:
+        """Places of the k largest and of those that tie with the last of them."""
+        if len(scores) <= k:
+            return np.arange(len(scores))
+        return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
 
+    def emit(found: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+        for q, (uris, sims, scores) in enumerate(found):
+            if len(uris):
+                yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(uris), pa.string()), pa.array(uris.tolist(), pa.string()), pa.array(sims), pa.array(scores)], names=["query", "uri", "similarity", "score"])
 
-def _search(held, k: int, floor: float | None, ceiling: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_size: dict[int, tuple[list[str], np.ndarray]] = {}
+        none = np.zeros(0, object), np.zeros(0), np.zeros(0)
+        names = [q for q, _ in held.value]
+        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size in {len(v) for _, v in held.value}:
-            found = [(q, v) for q, v in held.value if len(v) == size]
-            by_size[size] = [q for q, _ in found], np.array([v for _, v in found], np.float64)
+            places = np.array([i for i, (_, v) in enumerate(held.value) if len(v) == size])
+            by_size[size] = places, np.array([held.value[i][1] for i in places], np.float64)
+        kept = [none] * len(names)
         for batch in batches:
-            uris = batch.column(0).to_pylist()
+            uris = np.array(batch.column(0).to_pylist(), object)
             vectors = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64) if x.is_valid else np.zeros(0) for x in batch.column(1)]
-            names, others, values = [], [], []
-            for size, (queries, matrix) in by_size.items():
-                rows = [i for i, v in enumerate(vectors) if len(v) == size]
-                if not rows or not size:
+            noise = jitter * np.array([hash_number(u, seed) for u in uris]) if jitter else None
+            for size, (places, matrix) in by_size.items():
+                rows = np.array([i for i, v in enumerate(vectors) if len(v) == size], int)
+                if not len(rows) or not size:
                     continue
                 block = np.stack([vectors[i] for i in rows])
                 scale = np.sqrt(np.outer((matrix * matrix).sum(axis=1), (block * block).sum(axis=1)))
                 with np.errstate(invalid="ignore", divide="ignore"):
                     sim = np.clip(np.where(scale > 0, matrix @ block.T / scale, -np.inf), -np.inf, 1.0)
                 sim[sim > 1 - 1e-12] = 1.0  # equal vectors, whatever the order of summation
-                for q in range(len(queries)):
-                    row = sim[q]
+                for q, row in zip(places.tolist(), sim):
                     good = np.isfinite(row)
                     good &= row > floor if floor is not None else True
                     good &= row < ceiling if ceiling is not None else True
                     hit = np.flatnonzero(good)
-                    if len(hit) > k:
-                        edge = np.partition(row[hit], len(hit) - k)[len(hit) - k]
-                        hit = hit[row[hit] >= edge]  # ties at the edge stay
-                    names += [queries[q]] * len(hit)
-                    others += [uris[rows[i]] for i in hit]
-                    values += row[hit].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(others, pa.string()), pa.array(values, pa.float64())], names=["query", "uri", "similarity"])
+                    value = row[hit] if noise is None else row[hit] + noise[rows[hit]]
+                    best = first(value)
+                    new = uris[rows[hit[best]]], row[hit[best]], value[best]
+                    if len(kept[q][0]):
+                        new = tuple(np.concatenate(x) for x in zip(kept[q], new))
+                        best = first(new[2])
+                        new = tuple(x[best] for x in new)
+                    kept[q] = new
+            if sum(len(x[0]) for x in kept) > HELD_ROWS:
+                yield from emit(kept, names)
+                kept = [none] * len(names)
+        yield from emit(kept, names)
 
     return run
 
@@ -159,14 +187,12 @@ def pool_size(limit: int, ann_pool: int | None = None) -> int:
 def candidates(tracks: DataFrame, queries: DataFrame, skipped_songs: DataFrame, skipped_artists: DataFrame, pool: int, exclude: list[str] = [], jitter: float = JITTER, floor: float = CANDIDATE_FLOOR, seed: int = 0) -> DataFrame:
     """query, uri, name, artists, album, embedding, similarity, score, pos (CMP-9).
 
-    The score is the similarity and noise in [0, jitter), computed once. With ``jitter``
-    the noise comes after the cut of the search, so the search keeps every track above
-    the floor that noise could lift into the pool.
+    The score is the similarity and noise in [0, jitter), computed once. The noise comes
+    before the cut, and a task cuts to ``pool`` rows for each query, so a pool of any size
+    is cut before the shuffle. Only the final pool is joined with the tracks' other
+    columns: to carry vectors of ``pool`` rows from every task would shuffle more.
     """
     free = without_skipped(tracks.where("embedding is not null"), skipped_songs, skipped_artists)
     free = free.where(~F.col("uri").isin(exclude)) if exclude else free
-    asked = queries.where("vector is not null")
-    sim = free.select("uri", F.col("embedding").cast("array<double>").alias("v")).crossJoin(F.broadcast(asked)).select("query", "uri", cosine("v", "vector").alias("similarity"))
-    noise = hash_uniform(F.col("uri"), F.lit(seed)) * jitter if jitter else F.lit(0.0)
-    scored = sim.where(F.col("similarity") > floor).withColumn("score", F.col("similarity") + noise)
-    return ranked(scored, ["query"], pool, "score").join(tracks.select("uri", "name", "artists", "album", "embedding"), "uri")
+    found = ranked(_searched(free, queries, pool, floor, None, QUERY_BLOCK, jitter, seed), ["query"], pool, "score")
+    return found.join(tracks.select("uri", "name", "artists", "album", "embedding"), "uri")

@@ -63,12 +63,16 @@ class Engine:
     def prepare_next(self, **options) -> None:
         self.next = self._snapshot(self.recommend(**options), "next")
 
-    def play_next(self, **options) -> DataFrame:
-        """Send the prepared playlist and prepare another; gives back the one that is played."""
+    def play_prepared(self, **options) -> DataFrame:
+        """Send the prepared playlist, which is made now if there is none; gives it back."""
         if self.next is None:
             self.prepare_next(**options)
-        playing = self.next
-        sinks.post_playlist(playing, self.config.webhook)
+        sinks.post_playlist(self.next, self.config.webhook)
+        return self.next
+
+    def play_next(self, **options) -> DataFrame:
+        """Send the prepared playlist and prepare another; gives back the one that is played."""
+        playing = self.play_prepared(**options)
         self.prepare_next(**options)
         return playing
 

@@ -309,56 +309,109 @@ def _picks(df: DataFrame) -> DataFrame:
     return df.select("query", "pos", "uri", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
-# The query stays as it is and nothing is penalised: each pick is a top-1 search.
-_MMR = f"""{_BLEND}, {_FREE},
-pool AS (SELECT q.query, t.uri, {unit_sql('t.embedding')} AS u, {cosine_sql('t.embedding', 'q.vector')} AS similarity, list_inner_product({unit_sql('t.embedding')}, q.vector) AS rel FROM free t, blended q WHERE {cosine_sql('t.embedding', 'q.vector')} > 0),
-cand AS (SELECT query, list({{'uri': uri, 'u': u, 'rel': rel, 'sim': similarity}} ORDER BY similarity DESC, uri) AS c FROM pool GROUP BY query),
+def _mmr(limit: int, weight: float = 0.7, jitter: float = 0.0, softmax: bool = False, seed: int = 0, noise: float = 0.0, inertia: float = 0.9, penalties: tuple[float, float] = (0.03, 0.06)) -> str:
+    """The selection, one step a round: candidates in order of the pool with the largest similarity to the picks."""
+    draw = f"{hash_sql("'pick'", 'query', 'pos + 1', f"'{seed}'")}"
+    weights = f"list_transform(scores, lambda x: exp(x / {0.12}))"
+    best = f"list_position(list_transform(range(1, len(c) + 1), lambda i: {draw} * list_sum(w) - list_sum(w[1:i]) <= 0), true)" if softmax else "list_position(scores, list_max(scores))"
+    unit = unit_sql("m")
+    moved = f"list_transform(list_zip(q, c[best].u), lambda z: {inertia} * z[1] + {1 - inertia!r} * z[2])"
+    shaken = f"list_transform({unit}, lambda x, i: x + {noise} * (2 * {hash_sql("'noise'", 'query', 'pos + 1', 'i', f"'{seed}'")} - 1))" if noise else unit
+    spread = "CASE WHEN pos = 0 THEN 0 ELSE near[i] END"
+    counted = "coalesce(list_sum(list_transform(x.artists, lambda a: len(list_filter(picked, lambda p: p = a)))), 0)"
+    shares = "CASE WHEN list_has_any(x.artists, last) THEN greatest(0, streak - 2) ELSE 0 END"
+    return f"""{_BLEND}, {_FREE},
+pool0 AS (SELECT q.query, t.uri, t.artists, {unit_sql('t.embedding')} AS u, {cosine_sql('t.embedding', 'q.vector')} AS similarity, q.vector FROM free t, blended q),
+pool AS (SELECT *, similarity + {jitter} * {hash_sql('uri', "'0'")} AS score FROM pool0 WHERE similarity > 0),
+cand AS (SELECT query, any_value(vector) AS q, list({{'uri': uri, 'u': u, 'artists': artists, 'sim': similarity}} ORDER BY score DESC, uri) AS c FROM pool GROUP BY query),
 steps AS (
-  SELECT query, 0 AS pos, c, CAST(NULL AS VARCHAR) AS uri, CAST(NULL AS DOUBLE) AS sim, CAST(NULL AS DOUBLE) AS score, list_transform(c, lambda x: CAST(NULL AS DOUBLE)) AS near FROM cand
+  SELECT query, 0 AS pos, c, q, CAST(NULL AS VARCHAR) AS uri, CAST(NULL AS DOUBLE) AS sim, CAST(NULL AS DOUBLE) AS score, list_transform(c, lambda x: CAST(-2 AS DOUBLE)) AS near, CAST([] AS VARCHAR[]) AS picked, CAST([] AS VARCHAR[]) AS last, 0 AS streak FROM cand
   UNION ALL
-  SELECT query, pos + 1, list_filter(c, lambda x, i: i <> best), c[best].uri, c[best].sim, scores[best],
-    list_filter(list_transform(c, lambda x, i: greatest(coalesce(near[i], -2), list_inner_product(x.u, c[best].u))), lambda x, i: i <> best)
-  FROM (SELECT *, list_position(scores, list_max(scores)) AS best FROM (SELECT *, list_transform(c, lambda x, i: 0.7 * x.rel - 0.3 * coalesce(near[i], 0)) AS scores FROM steps WHERE pos < 5 AND len(c) > 0))
+  SELECT query, pos + 1, list_filter(c, lambda x, i: i <> best), {unit_sql('s')}, c[best].uri, c[best].sim, scores[best],
+    list_filter(list_transform(c, lambda x, i: greatest(near[i], list_inner_product(x.u, c[best].u))), lambda x, i: i <> best),
+    list_concat(picked, c[best].artists), c[best].artists, CASE WHEN list_has_any(c[best].artists, last) THEN streak + 1 ELSE 1 END
+  FROM (SELECT *, {shaken} AS s FROM (SELECT *, {moved} AS m FROM (SELECT *, {best} AS best FROM (SELECT *, {weights} AS w FROM
+    (SELECT *, list_transform(c, lambda x, i: {weight} * list_inner_product(x.u, q) - {1 - weight!r} * {spread} - {penalties[0]} * {counted} - {penalties[1]} * {shares}) AS scores FROM steps WHERE pos < {limit} AND len(c) > 0)))))
 )
 SELECT query, CAST(pos AS INT) AS pos, uri, round(sim, 6) AS similarity, round(score, 6) AS score FROM steps WHERE pos > 0"""
 
 
-@query(_MMR)
+@query(_mmr(30, inertia=1.0, penalties=(0.0, 0.0)))
 def mmr_argmax(spark, sf_dir):
+    """A query that stays as it is, and nothing penalised."""
     pool, q = _pool(spark, sf_dir, 0.0)
-    plain = rerank.Selection(limit=5, selection="argmax", penalty_global=0.0, penalty_streak=0.0, inertia=1.0, noise=0.0)
+    plain = rerank.Selection(limit=30, selection="argmax", penalty_global=0.0, penalty_streak=0.0, inertia=1.0, noise=0.0)
     return _picks(rerank.rerank(pool, q, plain))
 
 
-@query()
+@query(_mmr(30))
 def mmr_penalty_argmax(spark, sf_dir):
     pool, q = _pool(spark, sf_dir, 0.0)
     return _picks(rerank.rerank(pool, q, rerank.Selection(limit=30, selection="argmax", noise=0.0)))
 
 
-@query()
+@query(_mmr(30, softmax=True, seed=3, noise=0.01))
 def mmr_softmax(spark, sf_dir):
     pool, q = _pool(spark, sf_dir, 0.0)
     return _picks(rerank.rerank(pool, q, rerank.Selection(limit=30, seed=3)))
 
 
-@query()
+@query(_mmr(60, weight=0.8, jitter=similarity.JITTER, softmax=True, seed=1, noise=0.01))
 def recommend(spark, sf_dir):
     pool, q = _pool(spark, sf_dir, similarity.JITTER)
     return _picks(rerank.rerank(pool, q, rerank.Selection(limit=60, weight=0.8, seed=1)))
 
 
-@query()
+def _weave(rows: str, seed: int) -> str:
+    """CTEs ending in woven (query, pos, uri, artists, similarity) for the CTE ``rows`` (query, pos, uri, artists, similarity)."""
+    return f"""wanted AS (SELECT DISTINCT query, unnest(artists) AS artist FROM {rows}),
+solo AS (SELECT query, artist, list({{'uri': uri, 'artists': artists, 'similarity': CAST(1 AS DOUBLE)}} ORDER BY h, uri)[1:3] AS few
+  FROM (SELECT w.query, w.artist, t.uri, t.artists, {hash_sql('t.uri', 'w.query', f"'{seed}'")} AS h FROM wanted w JOIN track t ON t.artists = [w.artist]) GROUP BY query, artist),
+byq AS (SELECT query, list({{'artist': artist, 'few': few}}) AS solos FROM solo GROUP BY query),
+listed AS (SELECT r.query, list({{'uri': r.uri, 'artists': r.artists, 'similarity': r.similarity, 'draw': {hash_sql("'n'", 'r.uri', 'r.query', f"'{seed}'")}}} ORDER BY r.pos) AS r FROM {rows} r GROUP BY r.query),
+turns AS (
+  SELECT query, len(r) AS i, r, coalesce(solos, []) AS solos, CAST([] AS STRUCT(uri VARCHAR, artists VARCHAR[], similarity DOUBLE)[]) AS out FROM listed LEFT JOIN byq USING (query)
+  UNION ALL
+  SELECT query, i - 1, r, solos, list_concat(CASE WHEN len(out) > 0 AND list_has_any(own, out[1].artists) THEN [me] ELSE list_filter(g, lambda x, j: list_position(list_transform(g, lambda y: y.uri), x.uri) = j) END, out)
+  FROM (SELECT *, list_concat(flatten(list_transform(own, lambda a: coalesce(list_filter(solos, lambda s: s.artist = a)[1].few, [])[1:n])), [me]) AS g
+    FROM (SELECT *, r[i].artists AS own, {{'uri': r[i].uri, 'artists': r[i].artists, 'similarity': r[i].similarity}} AS me,
+      CASE WHEN i > 1 AND list_has_any(r[i].artists, r[greatest(i - 1, 1)].artists) THEN 1 WHEN r[i].draw < 0.5 THEN 2 ELSE 3 END AS n FROM turns WHERE i > 0))
+),
+woven AS (SELECT query, pos, o.uri AS uri, o.artists AS artists, o.similarity AS similarity FROM (SELECT query, unnest(out) AS o, generate_subscripts(out, 1) AS pos FROM turns WHERE i = 0))"""
+
+
+_RELATED = _top_sql(20, f"similarity > {FLOOR}").replace("SELECT query, pos, uri, round(similarity, 6) AS similarity FROM ranked WHERE pos <= 20", "found AS (SELECT r.query, r.pos, r.uri, t.artists, r.similarity FROM ranked r JOIN track t ON t.uri = r.uri WHERE r.pos <= 20)")
+
+
+@query(f"""{SQL}, {_RELATED.replace("found AS", ", found AS", 1)}, {_weave("found", 9)}
+SELECT query, CAST(pos AS INT) AS pos, uri, array_to_string(artists, '|') AS artists, round(similarity, 6) AS similarity FROM woven""")
 def artist_interleave(spark, sf_dir):
     tracks = S.tracks(spark, sf_dir)
     found = similarity.top_k(tracks, S.asked(spark, sf_dir), 20, FLOOR).join(tracks.select("uri", "name", "artists"), "uri").withColumn("sim_source", F.lit("related"))
     return _flat(playlist.interleave(found, tracks, 9)).select("query", "pos", "uri", "artists", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+_PLAYLIST = f"""{_CHAIN.replace("SELECT query, CAST(pos AS INT) AS pos, c.uri AS uri, round(c.similarity, 6) AS similarity FROM rows", "")}
+, chained AS (SELECT query, pos, c.uri AS uri, c.similarity AS similarity, 'chain' AS src, 0 AS k FROM rows),
+around AS (SELECT a.query, s.uri, s.similarity FROM asked a JOIN sims s ON s.last = a.query WHERE s.similarity > 0.2),
+grouped AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, uri) AS pos, uri, similarity FROM around WHERE similarity < 1 - 1e-12),
+close AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, uri) AS pos, uri, similarity FROM around),
+every AS (SELECT * FROM chained UNION ALL SELECT *, 'artists', 1000 FROM grouped WHERE pos <= 30 UNION ALL SELECT *, 'album', 2000 FROM grouped WHERE pos <= 30 UNION ALL SELECT *, 'related', 3000 FROM close WHERE pos <= 20),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, uri ORDER BY k + pos) AS n FROM every) WHERE n = 1),
+merged AS (SELECT o.query, row_number() OVER (PARTITION BY o.query ORDER BY o.similarity DESC, k + pos) AS pos, o.uri, t.artists, o.similarity FROM once o JOIN track t ON t.uri = o.uri),
+{_weave("merged", 4)},
+sharing AS (SELECT *, CASE WHEN coalesce(list_has_any(artists, lag(artists) OVER (PARTITION BY query ORDER BY pos)), false) THEN 0 ELSE 1 END AS brk FROM woven),
+run AS (SELECT *, sum(brk) OVER (PARTITION BY query ORDER BY pos) AS run FROM sharing),
+streak AS (SELECT *, row_number() OVER (PARTITION BY query, run ORDER BY pos) AS streak FROM run),
+capped AS (SELECT * FROM streak t WHERE streak <= 3 AND NOT (EXISTS (SELECT 1 FROM skipped_artists s WHERE list_contains(t.artists, s.name)) AND {hash_sql('uri', "'4'")} < 0.3)),
+first AS (SELECT *, row_number() OVER (PARTITION BY query, uri ORDER BY pos) AS n FROM capped)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY pos) AS INT) AS pos, uri, round(similarity, 6) AS similarity FROM first f WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM skipped_songs s WHERE s.uri = f.uri)"""
+
+
+@query(_PLAYLIST)
 def similar_tracks_playlist(spark, sf_dir):
     found = playlist.similar_tracks(S.tracks(spark, sf_dir), S.asked(spark, sf_dir).select("query"), S.skipped_songs(spark, sf_dir), S.skipped_artists(spark), floor=0.2, seed=4)
-    return found.select("query", "pos", "uri", F.round("similarity", 6).alias("similarity"), "sim_source")
+    return found.select("query", "pos", "uri", F.round("similarity", 6).alias("similarity"))
 
 
 # ---------------------------------------------------------------- ingestion
@@ -427,10 +480,11 @@ def media_match_none(spark, sf_dir):
     return ingest.match_media(S.tracks(spark, sf_dir), keys)
 
 
-@query(f"{SQL} SELECT uri, upper(name) AS title FROM track WHERE len(artists) > 0 AND length(uri) % 2 = 0")
+@query(f"{SQL} SELECT uri, artists[-1] || '/' || replace(album, '/', '_') || '/' || upper(name) || '.MP3' AS key FROM track WHERE len(artists) > 0 AND length(uri) % 2 = 0")
 def media_match_remote(spark, sf_dir):
+    """The key of each track, without the number in front of the file's name."""
     found = ingest.match_media(S.tracks(spark, sf_dir), _listing(spark, sf_dir, True))
-    return found.select("uri", T.unnumbered(T.stem(F.col("key"))).alias("title"))
+    return found.select("uri", F.regexp_replace("key", r"/\d{2} - ([^/]*)$", "/$1").alias("key"))
 
 
 @query(f"{SQL} SELECT uri, artists[-1] || '/' || album || '/' || name || '.mp3' AS key FROM track WHERE len(artists) > 0")
@@ -443,11 +497,10 @@ def queue_current_item(spark, sf_dir):
     key = F.col("c_custkey")
     item = lambda n: F.struct(F.struct(F.concat(F.lit("library://track/"), n.cast("string")).alias("uri"), F.array(F.struct(F.col("c_name").alias("name"))).alias("artists")).alias("media_item"))
     player = lambda active, n: F.struct(active.alias("active"), item(n).alias("current_item"))
-    players = F.create_map(F.lit("a"), player((key % 2 == 0) & (key % 5 != 0), key), F.lit("b"), player(key % 5 != 0, key + 1))
+    players = F.create_map(F.lit("z"), player((key % 2 == 0) & (key % 5 != 0), key), F.lit("b"), player(key % 5 != 0, key + 1))
     raw = S.table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct(players.alias("service_response"))).alias("body"))
     parsed = raw.select("c_custkey", F.from_json("body", tables.QUEUE)["service_response"].alias("service_response"))
-    playing = F.filter(F.transform(F.sort_array(F.map_entries("service_response")), lambda p: p["value"]), lambda p: p["active"] & p["current_item"]["media_item"].isNotNull())
-    return parsed.select("c_custkey", F.get(playing, F.lit(0))["current_item"]["media_item"]["uri"].alias("uri")).where("uri is not null")
+    return ingest.current_item(parsed, "c_custkey").select("c_custkey", "uri")
 
 
 @query(f"{SQL} SELECT uri, round(list_sum(embedding) * 2, 6) AS total FROM track WHERE embedding IS NOT NULL")
@@ -463,11 +516,18 @@ def embed_resume(spark, sf_dir):
     return ingest.to_embed(S.tracks(spark, sf_dir), done).select("uri")
 
 
-@query()
+@query(
+    """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS uri, hex(encode(text)) AS h FROM documents WHERE text <> ''),
+pieces AS (SELECT uri, unnest(list_transform(range(0, CAST(ceil(length(h) / 8192.0) AS BIGINT)), lambda i: sha256(unhex(substr(h, CAST(8192 * i + 1 AS BIGINT), 8192))))) AS s FROM d),
+bytes AS (SELECT uri, s, unnest(range(0, 16)) AS j FROM pieces),
+means AS (SELECT uri, j, avg(CAST('0x' || substr(s, CAST(2 * j + 1 AS BIGINT), 2) AS INT) / 255.0) AS x FROM bytes GROUP BY uri, j)
+SELECT uri, round(max(x) FILTER (j = 0), 4) AS first, round(sum(x), 4) AS total FROM means GROUP BY uri"""
+)
 def embed_documents(spark, sf_dir):
     """The pluggable embedder over whole texts, with the stub model."""
     files = S.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uri"), F.col("text").cast("binary").alias("content"))
-    return ingest.embed(files, 16)
+    v = F.col("embedding").cast("array<double>")
+    return ingest.embed(files, 16).select("uri", F.round(F.element_at(v, 1), 4).alias("first"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 @query(f"{SQL} SELECT 'UPDATE track SET embedding = ''[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', x)), ',') || ']''::vector WHERE uri = ''' || uri || ''';' AS value FROM track WHERE embedding IS NOT NULL")

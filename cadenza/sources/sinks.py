@@ -16,21 +16,30 @@ def insert_ignore(target: DataFrame, rows: DataFrame, key: str, order: str | Non
 
     Without ``order`` rows with equal keys are taken as equal.
     """
+    return target.unionByName(new_keys(target, rows, key, order).select(*target.columns))
+
+
+def new_keys(target: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The rows that ``insert_ignore`` adds."""
     if order is None:
         once = rows.dropDuplicates([key])
     else:
         first = Window.partitionBy(key).orderBy(order)
         once = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    new = once.where(F.col(key).isNotNull()).join(target.select(key), key, "left_anti")
-    return target.unionByName(new.select(*target.columns))
+    return once.where(F.col(key).isNotNull()).join(target.select(key), key, "left_anti")
 
 
 def keyed_update(target: DataFrame, updates: DataFrame, key: str, column: str, order: str | None = None) -> DataFrame:
-    """``target`` with the column of matching updates, the last of each key by ``order``; unknown keys do nothing."""
-    value = F.max(F.struct(order, column))[column] if order else F.max_by(column, F.lit(0))
-    last = updates.where(F.col(key).isNotNull()).groupBy(key).agg(value.alias("_new"))
+    """``target`` with the column of matching updates, the last of each key by ``order``; unknown keys do nothing.
+
+    An update to null sets null. Of updates that are equal in ``order``, or of all without
+    one, the largest value counts, so that the result doesn't depend on the layout.
+    """
+    ranks = ["_order", "_set", "_value"] if order else ["_set", "_value"]
+    rows = updates.where(F.col(key).isNotNull()).select(F.col(key), *([F.col(order).alias("_order")] if order else []), F.col(column).isNotNull().alias("_set"), F.col(column).cast(target.schema[column].dataType).alias("_value"))
+    last = rows.groupBy(key).agg(F.max(F.struct(*ranks)).alias("_new"))
     merged = target.join(last, key, "left")
-    return merged.withColumn(column, F.coalesce(F.col("_new").cast(target.schema[column].dataType), column)).select(*target.columns)
+    return merged.withColumn(column, F.when(F.col("_new").isNotNull(), F.col("_new._value")).otherwise(F.col(column))).select(*target.columns)
 
 
 def publish(df: DataFrame, path: str) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import urllib.request
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
@@ -18,7 +21,6 @@ LIBRARY_TRACK = f"struct<{_ITEM}, artists: array<{_ARTIST}>, album: {_ALBUM}>"
 LIBRARY = f"service_response struct<artists: array<{_ARTIST}>, albums: array<{_ALBUM}>, tracks: array<{LIBRARY_TRACK}>, playlists: array<{_ARTIST}>, radio: array<{_ARTIST}>, audiobooks: array<string>, podcasts: array<string>>"
 _QUEUE_ITEM = f"struct<queue_item_id: string, name: string, duration: double, media_item: {LIBRARY_TRACK}, stream_title: string, stream_details: struct<content_type: string, sample_rate: int, bit_depth: int, provider: string, item_id: string>>"
 QUEUE = f"service_response map<string, struct<queue_id: string, active: boolean, name: string, items: int, shuffle_enabled: boolean, repeat_mode: string, current_index: int, elapsed_time: double, current_item: {_QUEUE_ITEM}, next_item: {_QUEUE_ITEM}>>"
-WORK_LIST = "uri string, name string, artists array<string>, album string"
 
 
 @dataclass(frozen=True)
@@ -35,6 +37,14 @@ class Config:
         if not self.tables:
             raise ValueError("the folder of the tables is required")
 
+    @classmethod
+    def from_environment(cls, env: Mapping[str, str] | None = None) -> Config:
+        """From DATABASE_URL (the tables' folder, required), HOST, TOKEN, WEBHOOK_URL and DIMENSION."""
+        env = os.environ if env is None else env
+        if not env.get("DATABASE_URL"):
+            raise ValueError("DATABASE_URL is not set")
+        return cls(env["DATABASE_URL"], env.get("HOST"), env.get("TOKEN"), env.get("WEBHOOK_URL"), int(env.get("DIMENSION") or 512))
+
 
 def read_tracks(spark: SparkSession, path: str, dimension: int | None = None) -> DataFrame:
     """The track table; with ``dimension``, vectors of another length are an error when read."""
@@ -54,16 +64,30 @@ def read_queue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_work_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(WORK_LIST).option("multiLine", True).json(path)
+    """A list of tracks; ``artists`` may be one name instead of a list (ARR-5), then ``artist`` too."""
+    raw = spark.read.schema("uri string, name string, artists string, artist string, album string").option("multiLine", True).json(path)
+    return raw.select("uri", "name", as_list(F.coalesce("artists", "artist")).alias("artists"), "album")
+
+
+def as_list(text: Column) -> Column:
+    """JSON text of a list of strings, or one plain string, as a list; null and blank names go."""
+    some = F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<string>")).otherwise(F.array(text))
+    return F.filter(F.coalesce(some, F.array().cast("array<string>")), lambda a: a.isNotNull() & (F.trim(a) != ""))
 
 
 def list_media(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     """key, path, length of the files below a folder, with their bytes if asked for."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    key = F.regexp_replace("path", "^.*?" + path.rstrip("/").replace(".", "\\.") + "/", "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob_quoted(path))
+    folder = re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", path.rstrip("/"))
+    key = F.regexp_replace("path", f"^.*?{folder}/", "")
     return files.select(key.alias("key"), "path", "length", *(["content"] if content else []))
 
 
+def glob_quoted(path: str) -> str:
+    """A path that stands for itself where a pattern is expected."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 class HttpJson(DataSource):
     """One JSON response of a POST request, as one row of text: options url, token, body."""
 

@@ -12,14 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.plans import standin
-from cadenza.sources.sinks import insert_ignore
+from cadenza.sources.sinks import new_keys
+from cadenza.sources.work import base
 
 
 def work_folder(spark: SparkSession) -> str:
-    from cadenza.sources.work import keep
-
-    keep(spark, spark.range(0))  # sets spark.checkpoint.dir if it is unset
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/cadenza-stream-{uuid.uuid4().hex}"
+    return f"{base(spark)}/cadenza-stream-{uuid.uuid4().hex}"
 
 
 def upsert_keys(events: DataFrame, key: str, table: str, checkpoint: str) -> DataFrame:
@@ -29,8 +27,7 @@ def upsert_keys(events: DataFrame, key: str, table: str, checkpoint: str) -> Dat
 
     def add(batch: DataFrame, number: int) -> None:
         known = spark.read.schema(f"{key} string").parquet(table)
-        new = insert_ignore(known, batch.select(key), key).join(known, key, "left_anti")
-        new.write.mode("append").parquet(table)
+        new_keys(known, batch.select(key), key).write.mode("append").parquet(table)
 
     events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(f"{key} string").parquet(table)

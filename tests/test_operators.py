@@ -240,3 +240,163 @@ def test_mmr_of_thirty_picks_against_a_plain_version():
         want.append(max(value, key=value.get))
         assert scores[len(want) - 1] == pytest.approx(value[want[-1]])
     assert list(picks) == want
+
+
+def test_selection_draws():
+    rng = np.random.default_rng(2)
+    vectors, artists, q = rng.normal(size=(20, 4)), [[f"a{i % 3}", "x"] if i % 2 else [] for i in range(20)], rng.normal(size=4)
+    for kind in ("softmax", "gumbel", "epsilon"):
+        runs = [rerank.select(vectors, artists, q, rerank.Selection(limit=20, selection=kind, seed=s), name=n)[0] for s, n in ((1, "r"), (1, "r"), (2, "r"), (1, "other"))]
+        assert runs[0] == runs[1] and all(sorted(r) == list(range(20)) for r in runs)
+        assert kind == "epsilon" or len({tuple(r) for r in runs}) == 3
+    # Gumbel draws at a temperature are softmax draws.
+    same, wide = np.eye(3), rerank.Selection(limit=1, selection="gumbel", noise=0.0, weight=1.0)
+    picks = [rerank.select(same, [[]] * 3, np.array([0.1, 0.0, -0.1]), wide, name=str(n))[0][0] for n in range(4000)]
+    want = np.exp(np.array([0.1, 0.0, -0.1]) / 0.12)
+    assert np.abs(np.bincount(picks, minlength=3) / 4000 - want / want.sum()).max() < 0.03
+    state = rerank.State({"a0": 5}, ("a0",), 4)
+    p = rerank.Selection(limit=1, selection="argmax", noise=0.0, weight=1.0)
+    scores = rerank.select(vectors[:2], [["a0", "a0"], []], q, p, state)[1]
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert scores[0] == pytest.approx(max(unit[0] @ q - 0.03 * 10 - 0.06 * 2, unit[1] @ q))
+
+
+def test_candidates_of_any_pool(spark, tracks):
+    none, nobody = spark.createDataFrame([], "uri string"), spark.createDataFrame([], "name string")
+    asked = tracks.where("uri in ('t00', 't03')").select(F.col("uri").alias("query"), F.col("embedding").alias("vector"))
+    every = similarity.candidates(tracks, asked, none, nobody, 2000, jitter=0.5, floor=0.0, seed=3).collect()
+    few = similarity.candidates(tracks.repartition(5), asked, none, nobody, 4, jitter=0.5, floor=0.0, seed=3).collect()
+    assert {(r.query, r.uri, r.pos) for r in few} == {(r.query, r.uri, r.pos) for r in every if r.pos <= 4} and len(few) == 8
+    assert {r.uri for r in every if r.query == "t00"} == {u for u, _ in near(tracks.collect(), "t00", 0.0)}
+
+
+def test_updates_to_null_and_ties(spark):
+    target = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "uri string, x double")
+    updates = spark.createDataFrame([("a", None), ("b", 5.0), ("b", 7.0)], "uri string, x double")
+    assert {(r.uri, r.x) for r in sinks.keyed_update(target, updates, "uri", "x").collect()} == {("a", None), ("b", 7.0), ("c", 3.0)}
+    later = spark.createDataFrame([("a", 4.0, 1), ("a", None, 2)], "uri string, x double, at int")
+    assert sinks.keyed_update(target, later, "uri", "x", "at").where("uri = 'a'").first().x is None
+
+
+def test_current_item_in_order_of_the_response(spark):
+    from cadenza.sources import tables
+
+    body = '{"service_response": {"z": {"active": true, "current_item": {"media_item": {"uri": "first", "artists": [{"name": "A"}]}}}, "b": {"active": true, "current_item": {"media_item": {"uri": "second"}}}}}'
+    queue = spark.createDataFrame([(body,)], "body string").select(F.from_json("body", tables.QUEUE).alias("r")).select("r.*")
+    assert [(r.uri, r.artists) for r in ingest.current_item(queue).collect()] == [("first", ["A"])]
+
+
+def test_work_list_and_media_folder(spark, tmp_path):
+    from cadenza.sources import tables
+
+    (tmp_path / "list.json").write_text('[{"uri": "u1", "name": "N", "artists": "One, Two", "album": "A"}, {"uri": "u2", "artists": ["x", " ", null, "y"]}, {"uri": "u3", "artist": "Solo"}, {"uri": "u4"}]')
+    got = {r.uri: r.artists for r in tables.read_work_list(spark, str(tmp_path / "list.json")).collect()}
+    assert got == {"u1": ["One, Two"], "u2": ["x", "y"], "u3": ["Solo"], "u4": []}
+    folder = tmp_path / "a+b (c) [d].e$"
+    (folder / "X" / "Y").mkdir(parents=True)
+    (folder / "X" / "Y" / "n.mp3").write_bytes(b"sound")
+    assert [(r.key, bytes(r.content)) for r in tables.list_media(spark, str(folder) + "/", content=True).collect()] == [("X/Y/n.mp3", b"sound")]
+    rows = [("u1", "n", ["X"], "Y", None), ("u2", "gone", ["X"], "Y", None), ("u3", "n", ["X"], "Y", [0.5] * 4)]
+    tracks = spark.createDataFrame(rows, "uri string, name string, artists array<string>, album string, embedding array<float>")
+    done = {r.uri: r.embedding for r in ingest.embed_local(tracks, str(folder), 4).collect()}
+    assert len(done["u1"]) == 4 and done["u2"] is None and done["u3"] == [0.5] * 4
+    files, store = tables.list_media(spark, str(folder), content=True), str(tmp_path / "store")
+    first = ingest.store_embeddings(tracks, files.select("key"), files, store, 4, rounds=2).collect()
+    assert [r.uri for r in first] == ["u1"] and first[0].embedding == done["u1"]
+    fail = lambda content, dimension: 1 / 0
+    assert ingest.store_embeddings(tracks, files.select("key"), files, store, 4, fail, rounds=2).count() == 1  # nothing is made again
+    assert {r.uri for r in ingest.shuffled(tracks, 3).collect()} == {"u1", "u2", "u3"}
+
+
+def test_configuration():
+    from cadenza.sources.tables import Config
+
+    assert Config.from_environment({"DATABASE_URL": "/t", "TOKEN": "x", "DIMENSION": "8"}) == Config("/t", None, "x", None, 8)
+    with pytest.raises(ValueError):
+        Config.from_environment({})
+
+
+def test_listing_has_three_decimals(spark):
+    rows = spark.createDataFrame([("q", 1, "u", "n", ["a", "b"], 0.12345)], "query string, pos int, uri string, name string, artists array<string>, similarity double")
+    assert playlist.listing(rows).first().line == "a, b: n, similarity: 0.123, uri: u"
+
+
+def test_work_folder_is_named_on_a_cluster():
+    from cadenza.sources import work
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        work.base(Session)
+
+
+def test_service(spark, tracks, tmp_path):
+    """Routes of the service, and the readers and writers of other services, against local servers."""
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from cadenza.plans.api import Engine
+    from cadenza.plans.service import Service
+    from cadenza.sources import tables
+
+    seen, playing = [], [True]
+    queue = lambda: {"service_response": {"p": {"active": playing[0], "current_item": {"media_item": {"uri": "t05", "name": "n", "artists": [{"name": "a1"}]}}}}}
+
+    class Other(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            seen.append((self.path, self.headers.get("Authorization"), json.loads(body)))
+            data = json.dumps(queue()).encode()
+            self.send_response(500 if self.path == "/broken" else 200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    other = HTTPServer(("127.0.0.1", 0), Other)
+    threading.Thread(target=other.serve_forever, daemon=True).start()
+    host = f"http://127.0.0.1:{other.server_port}"
+    fetched = tables.fetch(spark, f"{host}/queue", "secret", {"a": 1}, tables.QUEUE)
+    assert ingest.current_item(fetched).first().uri == "t05" and ("/queue", "Bearer secret", {"a": 1}) in seen
+    with pytest.raises(urllib.error.HTTPError):
+        sinks.post_playlist(spark.createDataFrame([("u", 1)], "uri string, pos int"), f"{host}/broken")
+    (tmp_path / "queue.json").write_text(json.dumps(queue(), indent=1))
+    assert ingest.current_item(tables.read_queue(spark, str(tmp_path / "queue.json"))).first().uri == "t05"
+    sinks.write_json(tracks.select("uri").limit(2), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+    empty = lambda c: spark.createDataFrame([], f"{c} string")
+    engine = Engine(spark, tables.Config(str(tmp_path), webhook=f"{host}/hook"), tracks, empty("uri"), empty("uri"), empty("name"))
+    service = Service(engine, lambda: tables.fetch(spark, f"{host}/queue", None, {}, tables.QUEUE), {"seeds": ["t00"], "limit": 3, "floor": -1.0})
+    server = service.serve(0)
+
+    def ask(method, path):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", b"" if method == "POST" else None, method=method)
+        try:
+            with urllib.request.urlopen(request, timeout=120) as answer:
+                return answer.status, answer.read().decode()
+        except urllib.error.HTTPError as error:
+            return error.code, error.read().decode()
+
+    assert ask("GET", "/api/status") == (200, "OK") and ask("GET", "/elsewhere") == (404, "Not Found") == ask("GET", "/track/skip")
+    assert json.loads(ask("GET", "/music/play")[1]) == {"uri": "t05", "artists": ["a1"]}
+    assert ask("POST", "/track/skip")[0] == 200
+    assert [r.uri for r in engine.skipped_songs.collect()] == ["t05"] and [r.name for r in engine.skipped_artists.collect()] == ["a1"]
+    played = json.loads(ask("POST", "/music/play")[1])
+    assert played["success"] and len(played["tracks"]) == 3 and not any("a1" in t["artists"] for t in played["tracks"])
+    assert [b for p, _, b in seen if p == "/hook"] == [{"media_ids": [t["uri"] for t in played["tracks"]]}]
+    service.preparing.join()
+    playing[0] = False
+    assert ask("GET", "/music/play") == (404, "No track found") == ask("POST", "/track/skip")
+    server.shutdown()
+    other.shutdown()
