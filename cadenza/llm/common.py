@@ -11,7 +11,7 @@ bytes alone, so every byte of 0x80 and more counts as part of a word.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.session import ship
+from cadenza.sources.work import base, delete
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a batch for Python workers, which hold a few copies of one; a longer row is a batch of its own.
@@ -36,20 +37,23 @@ def prepare(spark: SparkSession) -> None:
 
 
 class Workspace:
-    """Tables of one run below ``spark.checkpoint.dir`` (a temporary folder if unset)."""
+    """Tables of one run below ``spark.checkpoint.dir`` (a temporary folder in a session on one machine without it).
+
+    A result may read some of them when it is written, so whoever gave the workspace
+    releases it after that. What is left goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         prepare(spark)
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="cadenza-")
-            spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
-        self.root = f"{base.rstrip('/')}/cadenza-{uuid.uuid4().hex}"
+        self.root = f"{base(spark)}/cadenza-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+        _open[self.root] = self
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back; its shuffle files go once it is written."""
         path = f"{self.root}/{name}"
+        self.names.add(name)
         self.append(df, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -64,14 +68,30 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.discard(name)
+        delete(self.spark, f"{self.root}/{name}")
+
+    def only(self, *names: str) -> None:
+        """Delete all tables but these."""
+        for name in self.names - {*names}:
+            self.drop(name)
 
     def release(self) -> None:
         """Delete all tables; results that read them must have been written before."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _open.pop(self.root, None)
+        delete(self.spark, self.root)
+
+
+_open: dict[str, Workspace] = {}
+
+
+@atexit.register
+def _release_all() -> None:
+    for work in list(_open.values()):
+        try:
+            work.release()
+        except Exception:  # noqa: BLE001  the session has ended before, nothing can be deleted through it
+            _open.clear()
 
 
 # ---------------------------------------------------------------- words as arrays

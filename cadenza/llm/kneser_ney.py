@@ -8,15 +8,26 @@ non-ASCII bytes, and the end of a word). Words are runs of letters, digits and n
 bytes, told apart by all of their bytes with A-Z as a-z; any other byte but white space is
 a word of its own. Perplexity is for each symbol, so languages and unseen words compare.
 
-Counts of n-grams, continuation counts, counts of counts and context totals are DataFrame
-aggregations and joins sharded by n-gram, counted per batch before the shuffle. What they
-hold grows with the trusted text. To score, documents are dealt by a hash into chunks of
-``CHUNK`` bytes; each chunk asks once for each of its distinct n-grams, the join with the
-model answers with those that it has, and the chunk's documents meet the answers. No n-gram
-is a hot key there, as a chunk asks once. Only the spelling models, of at most 48^4 entries
-for each language, are broadcast; a worker loads a language's model when it meets it and
-holds ``LOADED`` of them. Each language with trusted text has a model of its own, all
-others share one that is trained on all trusted text.
+N-grams are dealt to shards by the word in their middle, y of x y z. A shard then has all
+that the trigrams x y z and the bigrams y z need: counts, continuation counts, totals of
+the contexts x y and y. What isn't there, the continuation counts of single words z, is
+summed over the shards. Documents send their n-grams to the same shards, packed, with the
+probability of z that the interpolation ends in, and a shard gives back one sum of
+logarithms for each document. So every n-gram is shuffled once to be counted and once to be
+scored, text is never shuffled, and what is held grows with the trusted text.
+
+A word that makes more than a share of a shard of all middles is dealt to several shards by
+the word before it; a pair that does, by the word after it too. The totals that such shards
+lack come from sums over all shards. Which words are common is measured on one of
+``SAMPLE`` documents: it decides where an n-gram is counted, never its number.
+
+Shards are taken in ``PASSES`` turns, each of which reads the documents again, so that the
+disk holds one turn's n-grams only. The ``KNOWN`` words with most continuations, about 50
+MB, are broadcast; n-grams that end in another word leave their shard with the sum so far
+and are joined with the whole table of words. Besides these, only the spelling models, of
+at most 48^4 entries for each language, are broadcast; a worker loads a language's model
+when it meets it and holds ``LOADED`` of them. Each language with trusted text has a model
+of its own, all others share one that is trained on all trusted text.
 
 A document is kept if its perplexity is at most the ``QUANTILE`` quantile of the trusted
 documents of its language that the model wasn't trained on: word n-grams know the text that
@@ -33,8 +44,9 @@ largest counts. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +59,14 @@ ORDER, SYMBOLS = 4, 48
 QUANTILE = 0.98
 #: Model of the languages without trusted text; the others are named by "=" and their language.
 SHARED = "*"
-#: Bytes of text that ask the model together, and spelling models that a worker holds.
-CHUNK, LOADED = 8 << 20, 8
+#: Spelling models that a worker holds.
+LOADED = 8
+#: Bytes of text for each shard of n-grams, turns in which the shards are taken, and n-grams that a worker packs together.
+SHARD, PASSES, PACKED = 8 << 20, 4, 2_000_000
+#: Words whose continuation counts are broadcast, 12 bytes each; ids of trusted documents that are.
+KNOWN, BROADCAST_IDS = 4_000_000, 4_000_000
+#: Common words are sought in one of so many documents.
+SAMPLE = 16
 #: One of so many trusted documents is held out, in languages with so many at least.
 HELD, LEAST = 8, 20
 
@@ -148,23 +166,19 @@ def _models(lang: str, shared: bool) -> list[str]:
     return [f"={lang}", SHARED] if shared else [f"={lang}"]
 
 
-def _counter(what: str, shared: bool):
-    """Counts of symbol n-grams (lang, code, c) or of word n-grams (lang, x, y, z, c) of a batch's texts."""
+def _symbols(shared: bool):
+    """Counts of symbol n-grams (lang, code, c) of a batch's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[str, list] = {}
-            for own, _, data, offs, (starts, ends, first) in _by_model(batch.column(0), batch.column(1), lambda x: x):
+            for own, _, data, offs, (starts, ends, _) in _by_model(batch.column(0), batch.column(1), lambda x: x):
+                code = grams(*spelt(data, starts, ends))[0]
                 for model in _models(own, shared):
-                    if what == "code":
-                        columns = [grams(*spelt(data, starts, ends))[0]]
-                    else:
-                        columns = [w.view(np.int64) for w in word_grams(data, starts, ends, first, model)]
-                    held.setdefault(model, []).append(_summed(columns, np.ones(len(columns[0]), np.int64)))
+                    held.setdefault(model, []).append(_summed([code], np.ones(len(code), np.int64)))
             for model, parts in held.items():
-                columns, counts = _summed([np.concatenate(c) for c in zip(*(p[0] for p in parts))], np.concatenate([p[1] for p in parts]))
-                names = ["code"] if what == "code" else ["x", "y", "z"]
-                yield pa.RecordBatch.from_arrays([pa.array([model] * len(counts), pa.string()), *map(pa.array, columns), pa.array(counts)], names=["lang", *names, "c"])
+                (code,), counts = _summed([np.concatenate([p[0][0] for p in parts])], np.concatenate([p[1] for p in parts]))
+                yield pa.RecordBatch.from_arrays([pa.array([model] * len(counts), pa.string()), pa.array(code), pa.array(counts)], names=["lang", "code", "c"])
 
     return run
 
@@ -217,47 +231,6 @@ def assemble(n: np.ndarray, code: np.ndarray, alpha: np.ndarray, gamma: np.ndarr
     return np.log(below).astype(np.float32)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams' keys for their words; a batch is of one order, those of lower orders have nulls in front."""
-    for batch in batches:
-        words = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[:3] if c.null_count < len(c)]
-        if len(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(key(*words)), batch.column(3), batch.column(4)], names=["key", "p", "g"])
-
-
-def word_model(counts: DataFrame, spellings: DataFrame, work: Workspace) -> tuple[DataFrame, dict[str, float]]:
-    """key, p, g of the words' n-grams of all orders, and each language's weight of spellings.
-
-    ``counts`` are the trigrams (lang, x, y, z, c) and ``spellings`` has the log probability
-    s of the spelling of each word z. ``p`` is the interpolated probability of an n-gram's
-    last word, ``g`` the weight of the next lower order after the n-gram as a context.
-    """
-    two = work.keep(counts.groupBy("lang", "y", "z").agg(F.count("*").alias("c")), "words-2")
-    one = work.keep(two.groupBy("lang", "z").agg(F.count("*").alias("c")), "words-1")
-    sums = [F.sum("c").alias("total"), (F.sum("taken") / F.sum("c")).alias("g")]
-    alpha = (F.col("c") - F.col("taken")) / F.col("total")
-
-    each = _less(one, work, "word-discount-1")
-    top = work.keep(each.groupBy("lang").agg(*sums), "context-0")
-    p1 = work.keep(each.join(top, "lang").join(spellings, "z").select("z", (alpha + F.col("g") * F.exp("s")).alias("p")), "p1")
-    each = _less(two, work, "word-discount-2")
-    after1 = work.keep(each.groupBy("y").agg(*sums), "context-1")
-    p2 = work.keep(each.join(after1, "y").join(p1, "z").select("y", "z", (alpha + F.col("g") * F.col("p")).alias("p")), "p2")
-    each = _less(counts, work, "word-discount-3")
-    after2 = work.keep(each.groupBy("x", "y").agg(*sums), "context-2")
-    p3 = each.join(after2, ["x", "y"]).join(p2, ["y", "z"]).select("x", "y", "z", (alpha + F.col("g") * F.col("p")).alias("p"), F.lit(None).cast("double").alias("g"))
-
-    none = F.lit(None).cast("bigint")
-    uni = p1.join(after1.select(F.col("y").alias("z"), "g"), "z", "full").select(none.alias("x"), none.alias("y"), "z", "p", "g")
-    bi = p2.join(after2.select(F.col("x").alias("y"), F.col("y").alias("z"), "g"), ["y", "z"], "full").select(none.alias("x"), "y", "z", "p", "g")
-    made = [df.mapInArrow(_keyed, "key bigint, p double, g double") for df in (uni, bi, p3)]
-    table = work.keep(made[0].union(made[1]).union(made[2]).select("key", F.col("p").cast("float").alias("p"), F.col("g").cast("float").alias("g")), "words")
-    weights = {r.lang: float(r.g) for r in top.select("lang", "g").collect()}
-    for name in ("words-1", "words-2", "context-0", "context-1", "context-2", "p1", "p2"):
-        work.drop(name)
-    return table, weights
-
-
 _tables: dict[tuple[str, str], np.ndarray] = {}
 
 
@@ -297,98 +270,479 @@ def _spelling(table: DataFrame, names: list[str], run: str):
     return spell
 
 
+# ---------------------------------------------------------------- n-grams of words, packed and dealt
+
+BLOBS = "shard int, kind tinyint, lang string, data binary"
+COUNTED, COMMON, ASKED = 0, 1, 2
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Arrays as one compressed string, bytes of equal weight together."""
+    head = ";".join(f"{c.dtype.str},{len(c)}" for c in columns).encode()
+    raw = b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
+    return len(head).to_bytes(4, "little") + len(raw).to_bytes(8, "little") + head + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    cut, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:12], "little")
+    raw = pa.decompress(data[12 + cut :], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    out, at = [], 0
+    for kind, n in (x.split(",") for x in data[12 : 12 + cut].decode().split(";")):
+        dtype, n = np.dtype(kind), int(n)
+        part = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
+        out.append(np.ascontiguousarray(part.T).reshape(-1).view(dtype))
+        at += n * dtype.itemsize
+    return out
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint16 if not len(values) or values.max() < 1 << 16 else np.uint32)
+
+
+def _coded(*columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct words, and each column as places among them."""
+    words, codes = np.unique(np.concatenate(columns), return_inverse=True)
+    return words, np.split(codes, len(columns))
+
+
+def _steps(words: np.ndarray) -> np.ndarray:
+    return np.diff(words, prepend=np.uint64(0))
+
+
+class Route:
+    """The shard of each n-gram x y z. ``ways`` gives the number of shards of common words, ``pairs`` the common pairs."""
+
+    def __init__(self, shards: int, ways: dict[int, int], pairs: set[int]) -> None:
+        self.shards = shards
+        self.words = np.array(sorted(ways), np.uint64)
+        self.ways = np.array([ways[int(w)] for w in self.words], np.uint64)
+        self.pairs = np.array(sorted(pairs), np.int64)
+
+    def common(self, words: np.ndarray) -> np.ndarray:
+        """Number of each word among the common ones, or -1."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1)
+
+    def first(self, y: np.ndarray) -> np.ndarray:
+        return (mix(y ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(self.shards)).astype(np.int64)
+
+    def __call__(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        out, number = self.first(y), self.common(y)
+        some = np.flatnonzero(number >= 0)
+        if len(some):
+            x, y, z = x[some], y[some], z[some]
+            by = np.where(np.isin(key(x, y), self.pairs), key(z, x), key(x)).view(np.uint64)
+            out[some] = (out[some] + (mix(by) % self.ways[number[some]]).astype(np.int64)) % self.shards
+        return out
+
+
+def _common(shards: int, model_of):
+    """Words and pairs that make more than half of a shard's share of a batch; with the number of all (what 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, total = [], 0
+            for name, _, data, offs, (starts, ends, first) in _by_model(batch.column(0), batch.column(1), model_of):
+                if len(starts):
+                    x, y, _ = word_grams(data, starts, ends, first, name)
+                    total += len(y)
+                    for what, values in ((0, y.view(np.int64)), (1, key(x, y))):
+                        values, n = np.unique(values, return_counts=True)
+                        often = n >= max(2, len(y) / (2 * shards))
+                        found += [(what, int(v), int(c)) for v, c in zip(values[often], n[often])]
+            found.append((2, 0, total))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.int8(), pa.int64(), pa.int64()))], names=["what", "a", "n"])
+
+    return run
+
+
+def _dealer(route: Route, turn: int, turns: int, shared: bool, model_of, spell: Callable | None, known: Callable | None, weights: dict[str, float], counted: bool):
+    """Blobs of a turn's shards: n-grams of the rows to train on (``counted``), and those that rows ask for (``spell``).
+
+    Columns are lang, text, train, key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], list[tuple]] = {}
+        size = 0
+
+        def take(kind: int, name: str, x: np.ndarray, y: np.ndarray, z: np.ndarray, *more: np.ndarray) -> int:
+            if len(z):
+                held.setdefault((kind, name), []).append((x, y, z, *more))
+            return len(z)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows: list[tuple] = []
+            for (kind, name), parts in held.items():
+                columns = [np.concatenate(c) for c in zip(*parts)]
+                shard = route(*columns[:3])
+                order = np.argsort(shard, kind="stable")
+                shard, columns = shard[order], [c[order] for c in columns]
+                edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+                for lo, hi in zip(edges, edges[1:]):
+                    x, y, z, *more = (c[lo:hi] for c in columns)
+                    words, codes = _coded(y, x, z)
+                    if kind == COUNTED:
+                        codes, counts = _summed(codes[::-1], np.ones(hi - lo, np.int64))
+                        data = pack(_steps(words), *map(_narrow, codes[::-1]), _narrow(counts))
+                    else:
+                        value, doc = more
+                        values = np.zeros(len(words), np.float32)
+                        values[codes[2]] = value
+                        new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                        data = pack(_steps(words), *map(_narrow, codes), values, doc[new], _narrow(np.diff(new, append=len(doc))))
+                    rows.append((int(shard[lo]), kind, name, data))
+            held.clear()
+            for lo in range(0, len(rows), 200):
+                part = rows[lo : lo + 200]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int32(), pa.int8(), pa.string(), pa.binary()))], names=["shard", "kind", "lang", "data"])
+
+        for batch in batches:
+            train, keys = batch.column(2).to_numpy(zero_copy_only=False).astype(bool), batch.column(3).to_numpy()
+            for lang, rows, data, offs, (starts, ends, first) in _by_model(batch.column(0), batch.column(1), lambda x: x):
+                if not len(starts):
+                    continue
+                row = np.repeat(rows, np.diff(first))
+                asks = model_of(lang)
+                for name in dict.fromkeys([asks] * (spell is not None) + _models(lang, shared) * bool(counted and train[rows].any())):
+                    x, y, z = word_grams(data, starts, ends, first, name)
+                    mine = route(x, y, z) % turns == turn
+                    if counted and name in _models(lang, shared):
+                        some = mine & train[row]
+                        size += take(COUNTED, name, x[some], y[some], z[some])
+                    if spell is not None and name == asks:
+                        some = np.flatnonzero(mine)
+                        if len(some):
+                            words, s, where = spell(name, data, starts[some], ends[some], z[some])
+                            more, sure = known(words)
+                            value = weights.get(name, 1.0) * np.exp(s) + more
+                            value = np.where(sure, value, -value).astype(np.float32)
+                            size += take(ASKED, name, x[some], y[some], z[some], value[where], keys[row[some]])
+                if size >= PACKED:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return run
+
+
+def _spread(route: Route, turn: int, turns: int):
+    """Blobs of the bigrams (lang, y, z, c) after common words, for each shard of the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, z, c = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            number, names = route.common(y.view(np.uint64)), np.array(batch.column(0).to_pylist(), object)
+            rows = []
+            for word in np.unique(number):
+                at = number == word
+                part = pack(y[at], z[at], c[at])
+                base = int(route.first(route.words[word : word + 1])[0])
+                rows += [(shard, COMMON, names[at][0], part) for way in range(int(route.ways[word])) if (shard := (base + way) % route.shards) % turns == turn]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int8(), pa.string(), pa.binary()))], names=["shard", "kind", "lang", "data"])
+
+    return run
+
+
+# ---------------------------------------------------------------- shards
+
+
+def _groups(rows: pa.Table) -> Iterator[tuple[str, dict[int, list[list[np.ndarray]]]]]:
+    """Each model with its unpacked blobs by kind."""
+    names, kinds, data = (rows[c].to_pylist() for c in ("lang", "kind", "data"))
+    for name in sorted({*names}):
+        held: dict[int, list] = {}
+        for i, n in enumerate(names):
+            if n == name:
+                held.setdefault(kinds[i], []).append(unpack(data[i]))
+        yield name, held
+
+
+def _trigrams(blobs: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Keys in order, x, y, z and counts of the distinct trigrams."""
+    columns: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] * 1 for _ in range(3)] + [[np.zeros(0, np.int64)]]
+    for steps, cy, cx, cz, counts in blobs:
+        words = np.cumsum(steps)
+        for held, values in zip(columns, (words[cx], words[cy], words[cz], counts.astype(np.int64))):
+            held.append(values)
+    x, y, z, c = (np.concatenate(v) for v in columns)
+    keys, at, where = np.unique(key(x, y, z), return_index=True, return_inverse=True)
+    return keys, x[at], y[at], z[at], np.bincount(where, c, len(keys)).astype(np.int64)
+
+
+def _totals(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys; sum of c, and how many are 1, 2, more, for each."""
+    distinct, where = np.unique(keys, return_inverse=True)
+    return distinct, np.stack([np.bincount(where, w, len(distinct)) for w in (c, c == 1, c == 2, c > 2)], axis=1).astype(np.int64)
+
+
+STATS = "kind tinyint, lang string, a bigint, b bigint, n bigint, ones bigint, twos bigint, more bigint"
+
+
+def _stats(route: Route):
+    """What a shard tells the others: counts of counts (kinds 3, 2), continuations (1), common words' bigrams (9) and pairs (8)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+
+        def tell(kind: int, lang: str, a: np.ndarray, b: np.ndarray | None, n: np.ndarray, more: np.ndarray | None = None) -> None:
+            size, none = len(a), np.zeros(len(a), np.int64)
+            columns = [a, none if b is None else b, n, *(more.T if more is not None else [none] * 3)]
+            out.append((np.full(size, kind, np.int8), [lang] * size, *(c.astype(np.int64, copy=False) for c in columns)))
+
+        for lang, held in _groups(rows):
+            _, x, y, z, c = _trigrams(held.get(COUNTED, []))
+            often = np.arange(1, 5)
+            tell(3, lang, often, None, np.array([(c == i).sum() for i in often]))
+            pairs, sums = _totals(key(x, y), c)
+            shared = np.isin(pairs, route.pairs)
+            tell(8, lang, pairs[shared], None, sums[shared, 0], sums[shared, 1:])
+            _, at, where = np.unique(key(y, z), return_index=True, return_inverse=True)
+            c2, y, z = np.bincount(where, minlength=len(at)), y[at], z[at]
+            usual = route.common(y) < 0
+            tell(9, lang, y[~usual].view(np.int64), z[~usual].view(np.int64), c2[~usual])
+            tell(2, lang, often, None, np.array([(c2[usual] == i).sum() for i in often]))
+            words, n = np.unique(z[usual], return_counts=True)
+            tell(1, lang, words.view(np.int64), None, n)
+        names = ["kind", "lang", "a", "b", "n", "ones", "twos", "more"]
+        columns = [[x for part in out for x in part[1]] if i == 1 else np.concatenate([part[i] for part in out]) for i in range(8)]
+        return pa.table({n: pa.array(v, pa.string()) if n == "lang" else pa.array(v) for n, v in zip(names, columns)})
+
+    return run
+
+
+def cuts(often: list[int]) -> np.ndarray:
+    """Discounts of counts 1, 2 and more from the numbers of counts 1 to 4, set inside (0, i)."""
+    y = often[0] / max(often[0] + 2 * often[1], 1)
+    return np.array([min(max(i - (i + 1) * y * often[i] / max(often[i - 1], 1), 0.1), i - 0.1) for i in (1, 2, 3)])
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key in the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+SCORED = "key bigint, s double, z bigint, p double, b double"
+
+
+def _scorer(route: Route, cut: dict[str, list[np.ndarray]], words: dict[int, np.ndarray], pairs: dict[int, np.ndarray]):
+    """Sums of logarithms by document; n-grams that end in a word that isn't known yet with p and b of p + b P(z).
+
+    ``cut`` has each model's discounts by order, ``words`` and ``pairs`` the totals of common ones.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
+        sums: list[np.ndarray] = []
+        for lang, held in _groups(rows):
+            if ASKED not in held:
+                continue
+            d = [np.append(0.0, x) for x in cut.get(lang, [np.zeros(3)] * 3)]
+            less = lambda order, c: d[order - 1][np.minimum(c, 3)]
+            spare = lambda order, t: t[:, 1:] @ d[order - 1][1:] / t[:, 0]
+            k3, x, y, z, c3 = _trigrams(held.get(COUNTED, []))
+            context = key(x, y)
+            k2c, t3 = _totals(context, c3)
+            for i in np.flatnonzero(np.isin(k2c, route.pairs)):
+                t3[i] = pairs[int(k2c[i])]
+            a3 = (c3 - less(3, c3)) / t3[np.searchsorted(k2c, context), 0]
+            g3 = spare(3, t3)
+            usual = np.flatnonzero(route.common(y) < 0)
+            k2, at, where = np.unique(key(y, z)[usual], return_index=True, return_inverse=True)
+            c2, y2 = np.bincount(where, minlength=len(k2)), y[usual][at].view(np.int64)
+            for by, bz, bc in held.get(COMMON, []):
+                k2, y2, c2 = np.append(k2, key(by.view(np.uint64), bz.view(np.uint64))), np.append(y2, by), np.append(c2, bc)
+            order = np.argsort(k2)
+            k2, y2, c2 = k2[order], y2[order], c2[order]
+            k1, t2 = _totals(y2, c2)
+            for i in np.flatnonzero(route.common(k1.view(np.uint64)) >= 0):
+                t2[i] = words[int(k1[i])]
+            a2 = (c2 - less(2, c2)) / t2[np.searchsorted(k1, y2), 0]
+            g2 = spare(2, t2)
+
+            for steps, cy, cx, cz, value, keys, sizes in held[ASKED]:
+                w = np.cumsum(steps)
+                at1, seen1 = _find(k1, w.view(np.int64))
+                n = len(cy)
+                p, b = np.zeros(n), np.ones(n)
+                some = np.flatnonzero(seen1[cy])  # n-grams whose middle is in the model
+                if len(some):
+                    sx, sy, sz = w[cx[some]], w[cy[some]], w[cz[some]]
+                    at, seen = _find(k2, key(sy, sz))
+                    lower, rest = np.where(seen, a2[at], 0.0), g2[at1[cy[some]]]
+                    at, after = _find(k2c, key(sx, sy))
+                    gamma = np.where(after, g3[at], 1.0) if len(g3) else np.ones(len(some))
+                    high = np.zeros(len(some))
+                    both = np.flatnonzero(seen & after)
+                    at, seen = _find(k3, key(sx[both], sy[both], sz[both]))
+                    high[both[seen]] = a3[at[seen]]
+                    p[some], b[some] = high + gamma * lower, gamma * rest
+                last = value[cz].astype(np.float64)
+                p += b * np.abs(last)
+                late = np.flatnonzero(last < 0)
+                doc = np.repeat(np.arange(len(keys)), sizes)
+                logs = np.log(p)
+                if len(late):
+                    logs[late] = 0.0
+                    for held_out, column in zip(out, (keys[doc[late]], np.full(len(late), np.nan), w[cz[late]].view(np.int64), p[late], b[late])):
+                        held_out.append(column)
+                sums.append(np.bincount(doc, logs, len(keys)))
+                out[0].append(keys)
+                out[1].append(sums[-1])
+                out[2].append(np.zeros(len(keys), np.int64))
+                out[3].append(np.full(len(keys), np.nan))
+                out[4].append(np.full(len(keys), np.nan))
+        key_, s, z, p, b = (np.concatenate(c) for c in out)
+        asked = np.isnan(s)
+        return pa.table({"key": key_, "s": pa.array(s, mask=asked), "z": pa.array(z, mask=~asked), "p": pa.array(p, mask=~asked), "b": pa.array(b, mask=~asked)})
+
+    return run
+
+
 def held_out() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, chunk: int = CHUNK) -> DataFrame:
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of symbols of each text, in the last column."""
+    for batch in batches:
+        for lo, hi, data, offs in slices(batch.column(4)):
+            starts, ends, first = tokens(data, offs)
+            row = np.repeat(np.arange(hi - lo), np.diff(first))
+            symbols = np.bincount(row, ends - starts + 1, hi - lo).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i)[lo:hi] for i in range(4)), pa.array(symbols)], names=["doc_id", "lang", "key", "good", "symbols"])
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard: int = SHARD, passes: int = PASSES, known: int = KNOWN, sample: int = SAMPLE, work: Workspace | None = None) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept for every row of ``docs`` (doc_id, lang, text)."""
     spark = docs.sparkSession
-    work = Workspace(spark)
+    work = work or Workspace(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    good = work.keep(good, "good")
-    trusted = texts.join(good, "doc_id", "left_semi").where(F.col("text").rlike(r"[^\x00-\x20]"))
-    sizes = {r.lang: r.n or 0 for r in texts.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    per_lang = trusted.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(held_out(), 1)).alias("out")).collect()
-    own = {r.lang for r in per_lang}
+    texts = texts.withColumn("key", F.xxhash64("doc_id", "lang", "text"))
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1")
+    good = work.keep(good.select("doc_id", F.lit(True).alias("mark")), "good")
+    few = good.count() <= BROADCAST_IDS
+    marked = texts.join(F.broadcast(good) if few else good, "doc_id", "left")
+    marked = marked.select("doc_id", "lang", "key", (F.col("mark").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x00-\x20]"), F.lit(False))).alias("good"), "text")
+    if not few:
+        marked = work.keep(marked, "marked")
+    is_good, is_held = F.when(F.col("good"), 1), F.when(F.col("good") & held_out(), 1)
+    per_lang = marked.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"), F.count(is_good).alias("n"), F.count(is_held).alias("out")).collect()
+    own = {r.lang for r in per_lang if r.n}
     held = held_out() & F.col("lang").isin([r.lang for r in per_lang if r.n >= LEAST and 0 < r.out < r.n])
-    trusted = trusted.where(~held).select("lang", "text")
-    shared = bool(own) and bool(sizes.keys() - own)
+    shared = bool(own) and len(own) < len(per_lang)
 
     def model_of(lang: str) -> str:
         return f"={lang}" if lang in own else SHARED
 
-    def counted(what: str, names: str) -> DataFrame:
-        each = trusted.mapInArrow(_counter(what, shared), f"lang string, {', '.join(f'{c} bigint' for c in names.split())}, c bigint")
-        return work.keep(each.groupBy("lang", *names.split()).agg(F.sum("c").alias("c")), f"count-{what}")
-
-    table = work.keep(estimate(counted("code", "code"), work), "model")
+    train = F.col("good") & ~held
+    symbols = marked.where(train).select("lang", "text").mapInArrow(_symbols(shared), "lang string, code bigint, c bigint")
+    symbols = work.keep(symbols.groupBy("lang", "code").agg(F.sum("c").alias("c")), "symbols")
+    table = work.keep(estimate(symbols, work), "model")
     spell = _spelling(table, sorted(f"={x}" for x in own) + [SHARED] * shared, work.root)
 
-    def spell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, _, data, offs, (starts, ends, first) in _by_model(batch.column(0), batch.column(1), lambda x: x):
-                for name in _models(lang, shared) if len(starts) else []:
-                    words, s, _ = spell(name, data, starts, ends, word_grams(data, starts, ends, first, name)[2])
-                    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(s)], names=["z", "s"])
-
-    spellings = work.keep(trusted.mapInArrow(spell_batches, "z bigint, s double").groupBy("z").agg(F.max("s").alias("s")), "spellings")
-    model, weights = word_model(counted("word", "x y z"), spellings, work)
-    work.drop("count-word")
-    work.drop("spellings")
-
-    n = max(1, -(-sum(sizes.values()) // chunk))
-    dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(n)).cast("int"))
-
-    def ask(group: pa.Table) -> pa.Table:
-        asked = [np.zeros(0, np.int64)]
-        for name, _, data, offs, (starts, ends, first) in _by_model(group["lang"], group["text"].combine_chunks(), model_of):
-            x, y, z = word_grams(data, starts, ends, first, name)
-            asked += [np.unique(k) for k in (key(x, y, z), key(y, z), key(x, y), key(y), key(z))]
-        keys = np.unique(np.concatenate(asked))
-        number = group["chunk"][0].as_py()
-        return pa.table({"chunk": pa.array(np.full(len(keys), number, np.int32)), "key": pa.array(keys)})
-
-    found = dealt.groupBy("chunk").applyInArrow(ask, "chunk int, key bigint").join(model, "key")
-    found = work.keep(found.select("chunk", "key", "p", "g"), "found")
-
-    def score(group: pa.Table, answers: pa.Table) -> pa.Table:
-        known = answers["key"].to_numpy()
-        order = np.argsort(known)
-        known = np.append(known[order], 0)
-        logs = [np.append(np.log(answers[c].to_numpy().astype(np.float64)[order]), np.nan) for c in ("p", "g")]
-
-        def look(*words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Logarithms of p, NaN if unseen, and of g, 0 if unseen."""
-            k = key(*words)
-            at = np.searchsorted(known[:-1], k)
-            at = np.where(known[at] == k, at, len(known) - 1)
-            return logs[0][at], np.nan_to_num(logs[1][at])
-
-        out = np.full(len(group), np.nan)
-        for name, rows, data, offs, (starts, ends, first) in _by_model(group["lang"], group["text"].combine_chunks(), model_of):
-            if not len(starts):
-                continue
-            x, y, z = word_grams(data, starts, ends, first, name)
-            _, s, where = spell(name, data, starts, ends, z)
-            total = look(z)[0]
-            total = np.where(np.isnan(total), np.log(weights.get(name, 1.0)) + s[where], total)
-            for seen, weight in ((look(y, z)[0], look(y)[1]), (look(x, y, z)[0], look(x, y)[1])):
-                total = np.where(np.isnan(seen), weight + total, seen)
-            row = np.repeat(np.arange(len(rows)), np.diff(first))
-            symbols = np.bincount(row, ends - starts + 1, len(rows))
-            some = symbols > 0
-            out[rows[some]] = np.exp(-np.bincount(row, total, len(rows))[some] / symbols[some])
-        return pa.table({"doc_id": group["doc_id"], "lang": group["lang"], "perplexity": pa.array(out, mask=np.isnan(out))})
-
-    scored = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, "doc_id bigint, lang string, perplexity double")
-    scored = work.keep(scored, "scored")
-    work.drop("found")
-    work.drop("words")
+    shards = max(1, -(-sum(r.size or 0 for r in per_lang) // shard))
+    route = _routed(marked, shards, sample, model_of, work)
+    rows = marked.select("lang", "text", train.alias("train"), "key")
+
+    halves = max(1, passes // 2)
+    parts = []
+    for turn in range(halves):
+        blobs = rows.where("train").mapInArrow(_dealer(route, turn, halves, shared, model_of, None, None, {}, True), BLOBS)
+        told = blobs.groupBy("shard").applyInArrow(_stats(route), STATS)
+        parts.append(work.keep(told.groupBy("kind", "lang", "a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "ones", "twos", "more"))), f"stats-{turn}"))
+    stats = functools.reduce(DataFrame.union, parts)
+    common = work.keep(stats.where("kind = 9").groupBy("lang", F.col("a").alias("y"), F.col("b").alias("z")).agg(F.sum("n").alias("c")), "common")
+    ends = stats.where("kind = 1").select("lang", F.col("a").alias("z"), "n").union(common.select("lang", "z", F.lit(1).cast("bigint")))
+    ends = work.keep(ends.groupBy("lang", "z").agg(F.sum("n").alias("c")), "ends")
+
+    totals = [F.sum("c").alias("total"), *(F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)), F.count(F.when(F.col("c") > 2, 1)).alias("more")]
+    often: dict[str, list[list[int]]] = {f"={x}": [[0] * 4 for _ in range(3)] for x in own} | {SHARED: [[0] * 4 for _ in range(3)]}
+    for r in stats.where("kind in (2, 3)").groupBy("kind", "lang", "a").agg(F.sum("n").alias("n")).collect():
+        often[r.lang][r.kind - 1][r.a - 1] += r.n
+    for r in common.groupBy("lang").agg(*totals).collect():
+        often[r.lang][1] = [a + b for a, b in zip(often[r.lang][1], (r.n1, r.n2, r.n3, r.n4))]
+    first = {r.lang: r for r in ends.groupBy("lang").agg(*totals).collect()}
+    for name, r in first.items():
+        often[name][0] = [r.n1, r.n2, r.n3, r.n4]
+    cut = {name: [cuts(o) for o in orders] for name, orders in often.items()}
+    weights = {name: float(cut[name][0] @ np.array([r.n1, r.n2, r.more]) / r.total) for name, r in first.items()}
+    of_words = {r.y: np.array([r.total, r.n1, r.n2, r.more]) for r in common.groupBy("y").agg(*totals).collect()}
+    of_pairs = {r.a: np.array([r.n, r.ones, r.twos, r.more]) for r in stats.where("kind = 8").groupBy("a").agg(*(F.sum(c).alias(c) for c in ("n", "ones", "twos", "more"))).collect()}
+
+    by_lang = [(name, float(r.total), *map(float, cut[name][0])) for name, r in first.items()]
+    by_lang = spark.createDataFrame(by_lang, "lang string, total double, d1 double, d2 double, d3 double")
+    share = (F.col("c") - F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
+    alphas = work.keep(ends.join(by_lang, "lang").select("z", "c", share.alias("alpha")), "alphas")
+    for i in range(halves):
+        work.drop(f"stats-{i}")
+    work.drop("ends")
+    least, number = 0, 0
+    sizes = sorted(((r.c, r.n) for r in alphas.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)
+    for c, n in sizes:
+        number += n
+        if number > known:
+            least = c + 1
+            break
+    most = alphas.where(F.col("c") >= least).select("z", "alpha").toArrow().sort_by("z")
+    kept = spark.sparkContext.broadcast((most["z"].to_numpy(), most["alpha"].to_numpy().astype(np.float32)))
+
+    def find(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Discounted share of each word, and whether that is known here."""
+        at, seen = _find(kept.value[0], words.view(np.int64))
+        if not len(kept.value[0]):
+            return np.zeros(len(words)), np.full(len(words), not least)
+        return np.where(seen, kept.value[1][at], 0.0), seen | (not least)
+
+    parts = []
+    for turn in range(passes):
+        blobs = rows.mapInArrow(_dealer(route, turn, passes, shared, model_of, spell, find, weights, True), BLOBS)
+        if len(route.words):
+            blobs = blobs.union(common.select("lang", "y", "z", "c").mapInArrow(_spread(route, turn, passes), BLOBS))
+        scored = blobs.groupBy("shard").applyInArrow(_scorer(route, cut, of_words, of_pairs), SCORED)
+        if least:  # words beyond the broadcast ones
+            scored = work.keep(scored, f"scored-{turn}")
+            late = scored.where("z is not null").join(alphas.where(F.col("c") < least).select("z", "alpha"), "z", "left")
+            scored = scored.where("z is null").select("key", "s").union(late.select("key", F.log(F.col("p") + F.col("b") * F.coalesce("alpha", F.lit(0.0)))))
+        parts.append(work.keep(scored.groupBy("key").agg(F.sum("s").alias("s")), f"part-{turn}"))
+        if least:
+            work.drop(f"scored-{turn}")
+    work.drop("common")
+    work.drop("alphas")
+
+    # Equal rows have one key: their logarithms and their symbols are both summed over them.
+    rows = work.keep(marked.select("doc_id", "lang", "key", "good", "text").mapInArrow(_lengths, "doc_id bigint, lang string, key bigint, good boolean, symbols bigint"), "rows")
+    if not few:
+        work.drop("marked")
+    summed = functools.reduce(DataFrame.union, parts).groupBy("key").agg(F.sum("s").alias("s"))
+    size = rows.groupBy("key").agg(F.sum("symbols").alias("n")).where("n > 0")
+    each = work.keep(summed.join(size, "key").select("key", F.exp(-F.col("s") / F.col("n")).alias("perplexity")), "each")
+    for turn in range(passes):
+        work.drop(f"part-{turn}")
+    scored = work.keep(rows.join(each, "key", "left").select("doc_id", "lang", "good", "perplexity"), "scored")
     of = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)).alias("t")
-    per_trusted = scored.where(held).join(good, "doc_id", "left_semi").groupBy("lang").agg(of)
+    per_trusted = scored.where(held & F.col("good")).groupBy("lang").agg(of)
     limits = scored.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)).alias("any")).join(per_trusted, "lang", "left")
     limits = work.keep(limits.select("lang", F.coalesce("t", "any").alias("threshold")), "limits")
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
-    return scored.join(limits, "lang").select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))
+    work.only("scored", "limits")
+    kept_row = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
+    return scored.join(limits, "lang").select("doc_id", "lang", "perplexity", "threshold", kept_row.alias("kept"))
+
+
+def _routed(marked: DataFrame, shards: int, sample: int, model_of, work: Workspace) -> Route:
+    """The route with the words and pairs that are too common for one shard: at most 2 * shards of them."""
+    if shards < 2:
+        return Route(shards, {}, set())
+    some = marked.where(F.pmod(F.xxhash64("key"), F.lit(sample)) == 0).select("lang", "text")
+    found = some.mapInArrow(_common(shards, model_of), "what tinyint, a bigint, n bigint").groupBy("what", "a").agg(F.sum("n").alias("n"))
+    found = work.keep(found, "frequent")
+    total = found.where("what = 2").agg(F.sum("n")).first()[0] or 0
+    often = found.where((F.col("what") < 2) & (F.col("n") * shards >= 1.5 * total)).collect() if total else []
+    work.drop("frequent")
+    ways = {int(np.int64(r.a).view(np.uint64)): min(shards, -(-r.n * shards // total)) for r in often if r.what == 0}
+    return Route(shards, ways, {r.a for r in often if r.what == 1})

@@ -279,7 +279,7 @@ def test_word_model(spark):
     rows += [(1000, "xx", "cat sat on"), (1001, "en", "été cat"), (1002, "en", "éta cat, unseen"), (1003, "en", " \n ")]
     labels = spark.createDataFrame([(i, 1) for i in range(180)], "doc_id bigint, quality int")
     docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
-    got = {r.doc_id: r for r in kneser_ney.quality(docs, labels, chunk=2000).collect()}
+    got = {r.doc_id: r for r in kneser_ney.quality(docs, labels, shard=2000).collect()}
     held = {r.doc_id for r in docs.where("lang = 'en' and doc_id < 180").where(kneser_ney.held_out()).collect()}
     assert held and len({r.threshold for r in got.values() if r.lang == "en"}) == 1
     assert max(got[i].perplexity for i in held) == pytest.approx(got[0].threshold)
@@ -336,6 +336,29 @@ def test_word_model(spark):
         assert got[i].perplexity == pytest.approx(perplexity(lang, text), rel=1e-3), i
 
 
+def test_shards_turns_and_common_words_change_nothing(spark):
+    """One shard against many, with words and pairs of several shards and ends that are joined instead of broadcast."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(200)]
+    text = lambda: " ".join(x for _ in range(15) for x in ("the", "of", *rng.choice(words, 2)))
+    rows = [(i, ["en", "de", None, "*"][i % 4], text() if i % 9 else "never seen " + text()) for i in range(200)]
+    rows += [rows[3], (3, "*", text()), (None, "fr", text()), (300, "en", None), (301, "", ""), (302, None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(5, 0), (None, 1)], "doc_id bigint, quality int")
+    by = lambda **o: sorted(((r.doc_id, r.lang, r.perplexity and round(r.perplexity, 4), r.threshold and round(r.threshold, 4), r.kept) for r in kneser_ney.quality(docs, labels, **o).collect()), key=str)
+    plain = by(passes=1)
+    assert len(plain) == len(rows) and {r[1] for r in plain} == {"en", "de", "", "*", "fr"}
+    assert plain == by(shard=2500, passes=3, known=20, sample=1)
+    assert plain == by(shard=2500, known=0, sample=1)
+
+
+def test_packed_arrays():
+    columns = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.zeros(0, np.uint16), np.array([1.5, -2.0], np.float32)]
+    back = kneser_ney.unpack(kneser_ney.pack(*columns))
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(columns, back))
+    assert [len(x) for x in kneser_ney.unpack(kneser_ney.pack(np.zeros(0, np.int64)))] == [0]
+
+
 def test_each_language_has_its_own_model(spark):
     """40 languages with the same trusted text: the same model, so the same perplexity, in all of them."""
     rows = [(i, f"l{i:02}", "the cat sat on the mat and the dog sat on the cat") for i in range(40)]
