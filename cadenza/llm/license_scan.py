@@ -7,7 +7,8 @@ regex library's bounded-error matching verifies the edits and reports the span.
 phrases are sought as whole words without edits by the same automaton.
 
 Both work on the words of the text with A-Z lower-cased, joined by one space, so that
-punctuation and line breaks don't matter; non-ASCII bytes are parts of words.
+punctuation and line breaks don't matter; non-ASCII characters are parts of words, and an
+edit is one of a character.
 
 Everything happens within a row: no shuffle, and memory for one batch of texts.
 
@@ -18,15 +19,17 @@ other; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ALNUM, FOLD, prepare, strings
+from cadenza.llm.common import ALNUM, FOLD, lean, prepare, resident, strings
 
 #: The base phrases and their labels.
 BASE = {
@@ -48,6 +51,25 @@ NOTICES = (
     ("licensed under cc by nc", "cc-by-nc", 1),
     ("licensed under cc by sa", "cc-by-sa", 1),
     ("creative commons attribution", "cc-by", 2),
+    ("gnu free documentation license", "gfdl", 2),
+    ("eclipse public license", "epl", 2),
+    ("boost software license", "bsl", 2),
+    ("european union public licence", "eupl", 2),
+    ("bsd 3 clause license", "bsd", 2),
+    ("isc license", "isc", 0),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 4),
+    ("licensed under cc by nd", "cc-by-nd", 1),
+    ("creative commons zero", "cc0", 1),
+    ("dedicated to the public domain", "public-domain", 2),
+    ("spdx license identifier mit", "mit", 1),
+    ("spdx license identifier apache", "apache", 1),
+    ("spdx license identifier gpl", "gpl", 1),
+    ("spdx license identifier lgpl", "lgpl", 1),
+    ("spdx license identifier agpl", "agpl", 1),
+    ("spdx license identifier bsd", "bsd", 1),
+    ("spdx license identifier mpl", "mpl", 1),
+    ("spdx license identifier cc by", "cc-by", 1),
+    ("spdx license identifier cc0", "cc0", 1),
     ("all rights reserved", "reserved", 1),
 )
 SPANS = "array<struct<label: string, first_word: bigint, last_word: bigint, edits: int>>"
@@ -74,30 +96,44 @@ class Scanner:
         self.seeds.make_automaton()
 
     def scan(self, raw: bytes) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, int]]]:
-        """Number of words, base places (label, first word), verified spans (label, first, last word, edits)."""
+        """Number of words, base places (label, first word), verified spans (label, first, last word, edits).
+
+        Time is proportional to the text and its places: words are counted once, and a window
+        whose text was verified before has the same matches.
+        """
         words = raw.translate(_TABLE).split()
-        text = (b" " + b" ".join(words) + b" ").decode("latin-1")
+        text = (b" " + b" ".join(words) + b" ").decode()
         places: list[tuple[str, int]] = []
         best: dict[tuple[str, int, int], int] = {}
         tried: set[tuple[int, int]] = set()
+        verified: dict[tuple[int, str], tuple[int, int, int] | None] = {}
+        begins: list[int] = []  # of each word, once they are needed
         for end, (piece, uses) in self.seeds.iter(text):
+            if not begins:
+                begins = np.cumsum([1, *(len(w) + 1 for w in text.split())]).tolist()
             start = end - len(piece) + 1
             for number, offset in uses:
                 if number < 0:
-                    places.append((self.base[piece[1:-1]], text.count(" ", 0, start + 1) - 1))
+                    places.append((self.base[piece[1:-1]], bisect_right(begins, start + 1) - 1))
                     continue
                 phrase, label, edits = self.notices[number]
                 window = start - offset - edits
                 if (number, window) in tried:
                     continue
                 tried.add((number, window))
-                found = self.patterns[number].search(text, max(0, window), min(len(text), window + len(phrase) + 2 * edits + 1))
-                if found:
-                    begin, stop = found.span()
-                    begin += found[0][:1] == " "
-                    stop -= found[0][-1:] == " "
-                    span = label, text.count(" ", 0, begin) - 1, text.count(" ", 0, stop) - 1
-                    best[span] = min(best.get(span, edits), sum(found.fuzzy_counts))
+                low = max(0, window - 1)
+                part = text[low : window + len(phrase) + 2 * edits + 2]
+                if (number, part) not in verified:
+                    found = self.patterns[number].search(part, 1 if window > 0 else 0, len(part) - 1 if low + len(part) < len(text) else len(part))
+                    if found:
+                        begin, stop = found.span()
+                        verified[number, part] = begin + (found[0][:1] == " "), stop - (found[0][-1:] == " "), sum(found.fuzzy_counts)
+                    else:
+                        verified[number, part] = None
+                if (match := verified[number, part]) is not None:
+                    begin, stop, count = match
+                    span = label, bisect_right(begins, low + begin) - 1, bisect_right(begins, low + stop - 1) - 1
+                    best[span] = min(best.get(span, edits), count)
         return len(words), places, [(*span, edits) for span, edits in sorted(best.items())]
 
 
@@ -106,19 +142,13 @@ def _score(places: list, spans: list) -> float:
     return max([1.0 if places else 0.0, *(max(0.0, 0.95 - 0.1 * edits) for *_, edits in spans)])
 
 
-_ready: dict[tuple, Scanner] = {}
-
-
 def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: tuple = NOTICES) -> DataFrame:
     """One row for every row of ``docs`` (doc_id, text), with labels and the verified spans."""
     prepare(docs.sparkSession)
     base = BASE if base is None else base
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tuple(base.items()), tuple(notices))
-        if key not in _ready:
-            _ready[key] = Scanner(base, notices)
-        scanner = _ready[key]
+        scanner = resident(f"notices-{sorted(base.items())}-{notices}", lambda: Scanner(base, notices))
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32())]))]
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
         for batch in batches:
@@ -133,4 +163,4 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: tuple = N
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, SCHEMA)
+    return texts.mapInArrow(lean(run), SCHEMA)
