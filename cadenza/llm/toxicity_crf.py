@@ -9,8 +9,8 @@ transition weights for neighbours and for tokens further apart. Forward-backward
 give each token its chance to be toxic; a document's score is calibrated on the largest
 marginal and on their sum, and runs of toxic tokens are reported with their offsets.
 
-Training takes a bounded sample: at most ``SAMPLE_ROWS`` rows of each label, of texts up
-to ``SAMPLE_CHARS`` characters, chosen by a hash of the id, and never rows whose
+Training takes a bounded sample: at most ``sample_rows`` different rows of each label, of
+texts up to ``sample_chars`` characters, chosen by a hash of the id, and never rows whose
 crc32(doc_id as text) mod 5 is 0. Every whole text is scored, in one pass without a
 shuffle. Labels, language, source and id are no inputs of a score.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ALNUM, FOLD, mix, prepare, slices, word_hashes, word_spans
+from cadenza.llm.common import ALNUM, FOLD, lean, mix, prepare, slices, word_hashes, word_spans
 
 SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 20_000
@@ -275,17 +275,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("bigint").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
-    """Train on the labelled documents that aren't held out, at most ``sample_rows`` of each label."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Field:
+    """Train on the labelled documents that aren't held out.
+
+    At most ``sample_rows`` different rows (doc_id, text) of each label come to the driver,
+    each of at most ``sample_chars`` characters, however often an id is repeated.
+    """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~held_out(F.col("doc_id")))
-    picked = None
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= sample_chars)
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    parts = []
     for label in (0, 1):
-        some = marks.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-        picked = some if picked is None else picked.union(some)
-    # At most 2 * sample_rows ids of 16 bytes each.
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        picked = marks.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+        # At most sample_rows ids of 16 bytes each.
+        rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").distinct()
+        parts.append(rows.orderBy(*order).limit(sample_rows).toArrow())
+    rows = pa.concat_tables(parts).sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return train(rows["text"].to_pylist(), rows["toxic"].to_numpy().astype(np.int64) if rows.num_rows else np.zeros(0, np.int64))
 
 
@@ -315,7 +321,7 @@ def _mapped(docs: DataFrame, model: Field, filtered: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores), pa.array(out, kind)], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema if filtered else f"{schema}, score double, spans {SPANS}")
+    return docs.mapInArrow(lean(run), schema if filtered else f"{schema}, score double, spans {SPANS}")
 
 
 def filter_rows(docs: DataFrame, model: Field) -> DataFrame:
