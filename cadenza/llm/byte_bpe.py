@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import prepare, strings
+from cadenza.llm.common import lean, prepare, resident, strings
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces whose encodings a worker keeps.
@@ -261,16 +261,20 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
 
 
-_loaded: dict[str, tuple] = {}
+def _tools(content: bytes, pattern: str) -> tuple[Splitter, _Cache]:
+    key = hashlib.sha256(content + pattern.encode()).hexdigest()
+    return resident(f"encode-{key}", lambda: (Splitter(pattern), _Cache(PrefixEncoder(read_ranks(content)))))
 
 
-def _tools(content: bytes, pattern: str) -> tuple[Splitter, _Cache, list[bytes]]:
-    key = hashlib.sha256(content + pattern.encode()).hexdigest()
-    if key not in _loaded:
-        encoder = PrefixEncoder(read_ranks(content))
-        table = [encoder.bytes.get(i, b"") for i in range(max(encoder.bytes) + 1)]
-        _loaded[key] = Splitter(pattern), _Cache(encoder), table
-    return _loaded[key]
+def _token_bytes(content: bytes) -> list[bytes]:
+    def make() -> list[bytes]:
+        ranks = read_ranks(content)
+        table = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        return table
+
+    return resident(f"decode-{hashlib.sha256(content).hexdigest()}", make)
 
 
 def _vocabulary(spark: SparkSession, path: str | None):
@@ -285,7 +289,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     held = _vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, cache, _ = _tools(held.value, pattern)
+        split, cache = _tools(held.value, pattern)
         get = cache.__getitem__
         for batch in batches:
             texts = strings(batch.column(1))
@@ -294,7 +298,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 1000], pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, ids binary")
+    return texts.mapInArrow(lean(run), "doc_id bigint, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -302,8 +306,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     held = _vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, table = _tools(held.value, public_tokenizers.PATTERN)
-        get = table.__getitem__
+        get = _token_bytes(held.value).__getitem__
         for batch in batches:
             ids = batch.column(1)
             for lo in range(0, len(ids), 1000):
@@ -311,7 +314,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 out = [b"".join(map(get, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in part]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 1000], part, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id bigint, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ bytes alone, so every byte of 0x80 and more counts as part of a word.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,45 @@ def _release_all() -> None:
             _open.clear()
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+_resident: dict[str, object] = {}
+
+
+def resident(key: str, make: Callable):
+    """What ``make`` gives, kept in a worker between its tasks until another key is asked for.
+
+    Spark uses a worker for one operator after the other, so that without this a worker
+    would hold the tables of all of them.
+    """
+    if key not in _resident:
+        _resident.clear()
+        trim()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def trim() -> None:
+    """Give memory that is free back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for Arrow batches, with its free memory given back when a task ends."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return lean_run
+
+
 # ---------------------------------------------------------------- words as arrays
 
 _BYTES = np.arange(256)
