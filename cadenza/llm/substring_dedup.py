@@ -8,7 +8,7 @@ Matching is done by suffix automata: an automaton holds reference passages, each
 knows the smallest doc_id among the places that end there, and passages are streamed
 through it for matching statistics; where the statistic reaches ``n`` words, the state of
 the last ``n`` words tells the first document of that window. ``remove_reference`` does
-this with shards of a given reference, one broadcast automaton at a time.
+this with shards of a given reference, one broadcast automaton after the other.
 
 Against the corpus itself, broadcasting an automaton of each shard to all documents
 would read every document once per shard, so work would grow with the square of the
@@ -37,12 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import NOT_SPACE, Workspace, gram_hashes, long_list, slices, strings, word_hashes, word_spans
+from cadenza.llm.common import NOT_SPACE, Workspace, gram_hashes, lean, long_list, slices, strings, word_hashes, word_spans
 
 WINDOW = 13
 GRAM = 6
 #: Distinct passages of one anchor above which its windows are grouped one by one.
 SHARD_PASSAGES = 2048
+#: Words of a broadcast automaton, about 0.5 KB each in a worker, and words of a piece of a reference text.
+SHARD_WORDS, PIECE = 200_000, 5_000
 
 
 class SuffixAutomaton:
@@ -306,69 +308,116 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, extra: tuple[str, ...] = ()
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text"), *extra)
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in base.schema[3:])
     real = base.where("doc_id is not null")
-    found = real.select("doc_id", "text").mapInArrow(_anchors(n), "anchor bigint, doc_id bigint")
+    found = real.select("doc_id", "text").mapInArrow(lean(_anchors(n)), "anchor bigint, doc_id bigint")
     shared = work.keep(found.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor"), "shared")
     per_doc = work.keep(found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "per-doc")
     joined = base.join(per_doc, "doc_id", "left").select("doc_id", "tk", "text", "anchors", *extra)
-    split = work.keep(joined.mapInArrow(_split, f"doc_id bigint, tk bigint, n_words bigint, text string, anchors array<bigint>{more}"), "split")
+    split = work.keep(joined.mapInArrow(lean(_split), f"doc_id bigint, tk bigint, n_words bigint, text string, anchors array<bigint>{more}"), "split")
     work.drop("per-doc")
     work.drop("shared")
 
     clean = split.where("anchors is null").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("text").alias("kept_text"), *extra)
     touched = split.where("anchors is not null")
     source = touched.select("doc_id", "tk", "text", "anchors")
-    passages = source.mapInArrow(_passages(n, True), "anchor bigint, passage string, doc_id bigint")
+    passages = source.mapInArrow(lean(_passages(n, True)), "anchor bigint, passage string, doc_id bigint")
     distinct = work.keep(passages.groupBy("anchor", "passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "distinct")
     hot = work.keep(distinct.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > SHARD_PASSAGES).select("anchor"), "hot")
     normal = distinct.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    firsts = normal.mapInArrow(_match(n), "anchor bigint, digest bigint, firsts array<bigint>")
+    firsts = normal.mapInArrow(lean(_match(n)), "anchor bigint, digest bigint, firsts array<bigint>")
     if not hot.isEmpty():
-        rows = distinct.join(hot, "anchor", "left_semi").mapInArrow(_windows(n), "anchor bigint, digest bigint, i int, w binary, low bigint")
+        rows = distinct.join(hot, "anchor", "left_semi").mapInArrow(lean(_windows(n)), "anchor bigint, digest bigint, i int, w binary, low bigint")
         least = work.keep(rows.groupBy("w").agg(F.min("low").alias("first")), "least")
         ordered = rows.join(least, "w").groupBy("anchor", "digest").agg(F.sort_array(F.collect_list(F.struct("i", "first"))).alias("f"))
         firsts = firsts.union(ordered.select("anchor", "digest", F.col("f.first").alias("firsts")))
     firsts = work.keep(firsts, "firsts")
     work.drop("distinct")
-    places = source.mapInArrow(_passages(n, False), "anchor bigint, digest bigint, doc_id bigint, tk bigint, start bigint")
+    places = source.mapInArrow(lean(_passages(n, False)), "anchor bigint, digest bigint, doc_id bigint, tk bigint, start bigint")
     hits = places.join(firsts, ["anchor", "digest"]).where(F.array_min("firsts") < F.col("doc_id"))
     by_row = work.keep(hits.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "firsts")).alias("hits")), "hits")
     work.drop("firsts")
     cut = touched.join(by_row, ["doc_id", "tk"], "left").select("doc_id", "n_words", "text", "hits", *extra)
-    return clean.union(cut.mapInArrow(_remove(n), f"doc_id bigint, n_words bigint, n_removed bigint, kept_text string{more}"))
+    return clean.union(cut.mapInArrow(lean(_remove(n)), f"doc_id bigint, n_words bigint, n_removed bigint, kept_text string{more}"))
 
 
-def remove_reference(docs: DataFrame, reference: list[list[str]], n: int = WINDOW) -> DataFrame:
-    """``docs`` (doc_id, text) without the spans of n words or more that a reference has.
+def _pieces(n: int, shards: int):
+    """Texts as pieces of at most ``PIECE`` words that overlap by n - 1, each with its shard."""
 
-    ``reference`` holds shards, each a list of texts whose automaton fits one worker
-    (a few million words); every shard is broadcast on its own and documents are streamed
-    against each in turn. Returns doc_id, n_words, n_removed, kept_text as above.
-    """
-    Workspace(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    shards = []
-    for texts in reference:
-        automaton = SuffixAutomaton()
-        for text in texts:
-            automaton.add(text.encode().split(), 0)
-        shards.append(context.broadcast(automaton.finish()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[bytes] = []
+            for text in strings(batch.column(0)):
+                words = text.as_buffer().to_pybytes().split()
+                out += [b" ".join(words[i : i + PIECE]) for i in range(0, max(0, len(words) - n + 1), PIECE - n + 1)]
+            shard = [xxhash.xxh3_64_intdigest(x) % shards for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], names=["shard", "piece"])
+
+    return run
+
+
+def _covered(held, n: int):
+    """Starts of the windows that a broadcast automaton has, for rows with any."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = held.value
+        for batch in batches:
+            rows, starts = [], []
+            for i, text in enumerate(strings(batch.column(2))):
+                found = [j for j, label in enumerate(automaton.first_labels(text.as_buffer().to_pybytes().split(), n)) if label == 0]
+                if found:
+                    rows.append(i)
+                    starts.append(found)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.list_(pa.int64()))], names=["doc_id", "tk", "starts"])
+
+    return run
+
+
+def _without(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
-            for text in strings(batch.column(1)):
+            for text, starts in zip(strings(batch.column(1)), batch.column(2)):
                 words = text.as_buffer().to_pybytes().split()
                 cover = np.zeros(len(words) + 1, np.int64)
-                for held in shards:
-                    for i, label in enumerate(held.value.first_labels(words, n)):
-                        if label == 0:
-                            cover[i] += 1
-                            cover[i + n] -= 1
+                if starts.is_valid:
+                    at = np.unique(np.array([j for part in starts.as_py() for j in part], np.int64))
+                    cover[at] += 1
+                    cover[at + n] -= 1
                 gone = (np.cumsum(cover[:-1]) > 0).tolist()
                 counts.append(len(words))
                 removed.append(sum(gone))
                 kept.append(b" ".join(w for w, x in zip(words, gone) if not x))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return run
+
+
+def remove_reference(docs: DataFrame, reference: DataFrame, n: int = WINDOW, shard_words: int = SHARD_WORDS, work: Workspace | None = None) -> DataFrame:
+    """``docs`` (doc_id, text) without the spans of n words or more that the texts of a reference have.
+
+    The reference (text) is dealt into shards of about ``shard_words`` words. One shard after
+    the other comes to the driver, its automaton is broadcast, every document is streamed
+    through it, the windows found are written, and the automaton is dropped: each shard
+    is a pass over the documents. Returns doc_id, n_words, n_removed, kept_text as above.
+    """
+    spark = docs.sparkSession
+    work = work or Workspace(spark)
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text"))
+    texts = reference.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    # A word and the space after it take two bytes at least, so a shard has this many words at most, chance of the hash aside.
+    shards = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (2 * shard_words)))
+    pieces = work.keep(texts.mapInArrow(lean(_pieces(n, shards)), "shard bigint, piece string").distinct(), "pieces")
+    found = None
+    for shard in range(shards):
+        automaton = SuffixAutomaton()
+        for piece in pieces.where(F.col("shard") == shard).select("piece").toArrow()["piece"].to_pylist():
+            automaton.add(piece.encode().split(), 0)
+        held = spark.sparkContext.broadcast(automaton.finish())
+        part = work.keep(base.mapInArrow(lean(_covered(held, n)), "doc_id bigint, tk bigint, starts array<bigint>"), f"found-{shard}")
+        held.destroy()
+        found = part if found is None else found.union(part)
+    work.drop("pieces")
+    # Rows that are equal have equal windows.
+    each = found.distinct().groupBy(F.col("doc_id").alias("of"), F.col("tk").alias("key")).agg(F.collect_list("starts").alias("starts"))
+    cut = base.join(each, base.doc_id.eqNullSafe(each.of) & (base.tk == each.key), "left").select("doc_id", "text", "starts")
+    return cut.mapInArrow(lean(_without(n)), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
