@@ -150,8 +150,11 @@ def test_near_duplicates(spark, edges, nothing):
     assert minmax_dedup.near_duplicates(nothing).count() == 0
 
 
-def test_groups_of_edited_copies(spark):
-    """Copies at several distances from one text, where only some pairs link."""
+@pytest.mark.parametrize("limits", [(512, 1 << 18), (9, 1 << 18), (512, 700)])
+def test_groups_of_edited_copies(spark, monkeypatch, limits):
+    """Copies at several distances from one text, where only some pairs link; also in many blocks."""
+    monkeypatch.setattr(minmax_dedup, "BLOCK", limits[0])
+    monkeypatch.setattr(minmax_dedup, "BLOCK_SHINGLES", limits[1])
     rng, rows = np.random.default_rng(2), []
     words = [f"w{i}" for i in range(120)]
     for i in range(160):
@@ -174,6 +177,8 @@ def test_null_and_repeated_ids(spark):
 def test_tile_labels():
     sets = [np.arange(0, 100, dtype=np.int64), np.arange(5, 105, dtype=np.int64), np.arange(10, 110, dtype=np.int64), np.arange(500, 600, dtype=np.int64)]
     assert minmax_dedup.joined(np.array([7, 3, 5, 9]), sets, 85).tolist() == [3, 3, 3, 9]
+    assert minmax_dedup.joined(np.array([7, 3, 5, 9]), sets, 85, 2).tolist() == [7, 3, 3, 9]
+    assert minmax_dedup.joined(np.array([7, 3, 5, 9]), sets, 85, 1).tolist() == [3, 3, 5, 9]
 
 
 # ---------------------------------------------------------------- 4
@@ -210,10 +215,15 @@ def test_automaton(texts, asked, n):
     assert automaton.first_labels(asked, n) == want
 
 
-def test_reference_shards(spark):
-    docs = H.frame(spark, [(1, "x " + H.BASE + " y"), (2, H.FAR), (3, None)])
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_reference(docs, [[H.BASE], [H.FAR[:60]]]).collect()}
-    assert got[1] == (122, 120, "x y") and got[2][1] == 0 and got[3] == (0, 0, "")
+def test_reference_shards(spark, nothing, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PIECE", 40)  # reference texts are cut, with overlaps
+    docs = H.frame(spark, [(1, "x " + H.BASE + " y"), (2, H.FAR), (3, None), (None, H.BASE), (1, "x " + H.BASE + " y")])
+    reference = H.frame(spark, [(7, H.BASE), (8, H.FAR[:60]), (9, None), (10, "")])
+    for words in (200_000, 60):
+        got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_reference(docs, reference, shard_words=words).collect()), key=str)
+        assert got == sorted([(1, 122, 120, "x y"), (1, 122, 120, "x y"), (2, 120, 0, H.FAR), (3, 0, 0, ""), (None, 120, 120, "")], key=str)
+    assert [r.n_removed for r in substring_dedup.remove_reference(docs, nothing).collect()] == [0] * 5
+    assert substring_dedup.remove_reference(nothing, reference).count() == 0
 
 
 # ---------------------------------------------------------------- 5
@@ -460,6 +470,21 @@ def test_marginals():
     assert field.marginals(emission, apart) == pytest.approx(want)
 
 
+def test_sample_is_bounded(spark, monkeypatch):
+    """An id that is repeated many times brings no more rows than the sample has; texts beyond the length don't train."""
+    rows = toxic_rows(3, 60)
+    ids = [i for i, _, x in rows if x]
+    repeated = [(ids[0], f"{i} a vile thing") for i in range(300)]
+    docs = H.frame(spark, [(i, t) for i, t, _ in rows] + repeated + repeated)
+    labels = spark.createDataFrame([(i, 1, x) for i, _, x in rows], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity_crf, "train", lambda texts, toxic: seen.append((texts, toxic)))
+    toxicity_crf.fit(docs, labels, sample_rows=25)
+    toxicity_crf.fit(docs, labels, sample_chars=30)
+    assert 25 < len(seen[0][0]) <= 50 and all((seen[0][1] == x).sum() <= 25 for x in (0, 1)) and len({*seen[0][0]}) == len(seen[0][0])
+    assert all(len(t) <= 30 for t in seen[1][0])
+
+
 # ---------------------------------------------------------------- 10
 
 
@@ -478,3 +503,66 @@ def test_token_counts(spark, edges, nothing, tmp_path):
     again = {r.doc_id: r for r in token_counts.count_tokens(docs, cache=cache).collect()}
     assert again == first and spark.read.parquet(cache).count() == size == len({(t or "").replace("\t", " ") if i not in (8, 41, 43) else i for i, t in H.EDGES + extra if i not in (6, 7, 8, 16, 43)}) + 1
     assert token_counts.count_tokens(nothing).count() == 0
+
+
+def test_token_counts_of_other_vocabularies(spark, edges):
+    """Files whose rules aren't those of pieces, and sentencepiece, count whole texts as their libraries do."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    extra = [(50, "  two  spaces\n\n and <|endoftext|> A a <s> </s>\t")]
+    docs = H.frame(spark, H.EDGES + extra)
+    json_path, model_path = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    one, two = Tokenizer.from_file(json_path), sentencepiece.SentencePieceProcessor(model_file=model_path)
+    for path, count in ((json_path, lambda t: len(one.encode(t, add_special_tokens=False).ids)), (model_path, lambda t: len(two.encode(t)))):
+        got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, path=path).collect()}
+        assert got == {i: count(t or "") for i, t in H.EDGES + extra}
+
+
+def test_rules_of_a_vocabulary():
+    import json
+
+    with open(public_tokenizers.path(token_counts.VOCABULARY), encoding="utf-8") as file:
+        own = {k: v for k, v in json.load(file).items() if k != "model"}
+    read = lambda **change: token_counts.rules(json.dumps(own | change).encode())
+    assert read()[1] == ["<|startoftext|>", "<|endoftext|>"] and read(normalizer=None) is None and read(pre_tokenizer=None) is None
+    assert read(added_tokens=[{"content": "x", "normalized": True}]) is None and read(added_tokens=[])[1] == []
+    other = json.loads(json.dumps(own["pre_tokenizer"]))
+    for pattern in ("a b", r"\s+|a", r"\S+", "(?i:a)", "[^a]+", "."):
+        other["pretokenizers"][0]["pattern"]["Regex"] = pattern
+        assert read(pre_tokenizer=other) is None, pattern
+    assert token_counts.rules(b"\x0a\x0e no json") is None
+
+
+@pytest.mark.parametrize("broadcast", [10, 0])
+def test_hits_are_not_counted_again(spark, tmp_path, broadcast):
+    """A cache that has all but one content; copies and hits cost nothing."""
+    cache = str(tmp_path / "cache")
+    docs = H.frame(spark, H.EDGES)
+    first = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, cache=cache).collect()}
+    size = spark.read.parquet(cache).count()
+    more = H.frame(spark, [*H.EDGES, (60, "a new text"), (61, "a new  text"), (62, H.FAR)])
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(more, cache=cache, broadcast_misses=broadcast).collect()}
+    assert got == first | {60: 3, 61: 3, 62: first[5]} and spark.read.parquet(cache).count() == size + 1
+    other = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(more, path=public_tokenizers.path("byte_bpe_50k.json"), cache=cache).collect()}
+    assert other[60] != other[61]
+
+
+# ---------------------------------------------------------------- 1, again
+
+
+def test_places_take_linear_time():
+    import time
+
+    scanner = license_scan.Scanner(license_scan.BASE, license_scan.NOTICES)
+    begun = time.process_time()
+    n, places, _ = scanner.scan(("mit license " * 83_333).encode())
+    assert n == 166_666 and len(places) == 83_333 and places[-1][1] == 166_664
+    assert time.process_time() - begun < 6  # some hundred times that if each place counted the words before it
+
+
+def test_an_edit_is_one_of_a_character():
+    scanner = license_scan.Scanner({}, (("mozilla public license", "mpl", 1),))
+    assert [s[0] for s in scanner.scan("the mözilla public license".encode())[2]] == ["mpl"]
+    assert scanner.scan("日本 mozilla public license 日本".encode())[2] == [("mpl", 1, 3, 0)]
+    assert not scanner.scan("the mözilla püblic license".encode())[2]

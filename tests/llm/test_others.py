@@ -37,6 +37,13 @@ def test_chats(spark):
     assert chat_format.format_chats(turns.limit(0)).count() == 0
 
 
+def test_a_table_with_the_added_conversation(spark):
+    """Turns of a conversation -7 that is there already are turns beside the added ones."""
+    turns = spark.createDataFrame([(-7, 2, "user", "more"), (1, 0, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
+    got = {r.conv_id: r for r in chat_format.summary(chat_format.format_chats(chat_format.with_control_strings(spark, turns))).collect()}
+    assert got[-7].n_turns == 3 and not got[-7].valid and got[1].n_turns == 1
+
+
 def brute(vectors, cosine=0.95):
     ok = {i for i, v in enumerate(vectors) if v is not None and len(v) and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)}
     link = {(a, b) for a in ok for b in ok if a < b and len(vectors[a]) == len(vectors[b]) and np.dot(vectors[a], vectors[b]) / np.linalg.norm(vectors[a]) / np.linalg.norm(vectors[b]) >= cosine}
@@ -70,6 +77,27 @@ def test_embeddings(spark, block):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_recall_at_the_bound(spark, hashes):
+    """Pairs with a cosine of just 0.95, the hardest to find."""
+    rng = np.random.default_rng(hashes)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.normal(size=(600, 64)))
+    b = rng.normal(size=(600, 64))
+    b = unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    b = 0.9501 * a + np.sqrt(1 - 0.9501**2) * b
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(table, hashes=hashes).collect()}
+    assert np.mean([got[i + 600] == i for i in range(600)]) >= 0.99
+
+
+def test_vectors_with_null_and_repeated_ids(spark):
+    v, w = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    table = spark.createDataFrame([(5, v), (5, v), (None, v), (7, [1.0, 2.0, 3.001]), (8, w), (8, v), (None, None)], "vec_id bigint, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(table).collect()), key=str)
+    assert got == sorted([(5, 4, 5, True), (5, 4, 5, True), (None, 4, 5, False), (7, 4, 5, False), (8, 0, 8, True), (8, 4, 5, False), (None, 0, None, True)], key=str)
+
+
 def test_hadamard():
     x = np.random.default_rng(0).normal(size=(3, 16))
     h = np.array([[1]])
@@ -134,3 +162,33 @@ def test_pipeline_with_repeated_and_null_ids(spark, tmp_path):
     docs = H.frame(spark, rows)
     assert texts(P.minhash_dedup(spark, docs, "")) == sorted((r for r in rows if r != (5, H.EDITED)), key=str)
     assert texts(P.decontamination(spark, docs, str(tmp_path))) == sorted((r for r in rows if r[1] != H.FAR), key=str)
+
+
+def test_runs_of_the_pipeline_are_independent(spark, sf_dir, tmp_path):
+    """A second run, and stages called again, leave a first result readable; an empty table has an empty result."""
+    import corpus_pipeline as P
+
+    H.frame(spark, [(i, f"{H.BASE} {i}") for i in range(3)] + [(9, "short")]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, H.FAR)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    first, stage = P.run(spark, str(tmp_path)), P.minhash_dedup(spark, docs, str(tmp_path))
+    second, other = P.run(spark, str(tmp_path)), P.minhash_dedup(spark, docs.where("doc_id > 0"), str(tmp_path))
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    assert ids(first) == ids(second) == ids(stage) == [0, 9] and ids(other) == [1, 9]
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).write.parquet(str(empty / f"{name}.parquet"))
+    assert P.run(spark, str(empty)).count() == 0
+
+
+def test_workspaces(spark):
+    from cadenza.llm.common import Workspace
+
+    work = Workspace(spark)
+    a, _ = work.keep(spark.range(3), "a"), work.keep(spark.range(4), "b")
+    work.only("a")
+    assert a.count() == 3 and not Path(work.root.removeprefix("file://"), "b").exists()
+    work.release()
+    assert not Path(work.root.removeprefix("file://")).exists()
