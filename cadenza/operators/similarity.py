@@ -64,13 +64,14 @@ def _searched(corpus: DataFrame, queries: DataFrame, k: int, floor: float | None
     spark = corpus.sparkSession
     ship(spark)
     asked = queries.where("vector is not null").select("query", F.col("vector").cast("array<double>").alias("vector"))
-    number = asked.count()
+    first = asked.limit(block + 1).collect()
+    # Blocks are dealt by a hash, so that one has a few standard deviations more queries than ``block`` at most.
+    turns = 1 if len(first) <= block else -(-asked.count() // block)
+    usable = corpus.where("embedding is not null").select("uri", F.col("embedding").cast("array<double>").alias("v"))
     parts = []
-    for turn in range(max(1, -(-number // block))):
-        # Rows beyond a block's size by chance of the hash are taken too; a block stays within a few standard deviations.
-        mine = asked if number <= block else asked.where(F.pmod(F.xxhash64("query"), F.lit(-(-number // block))) == turn)
-        held = spark.sparkContext.broadcast([(r.query, r.vector) for r in mine.collect()])
-        usable = corpus.where("embedding is not null").select("uri", F.col("embedding").cast("array<double>").alias("v"))
+    for turn in range(turns):
+        mine = first if turns == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(turns)) == turn).collect()
+        held = spark.sparkContext.broadcast([(r.query, r.vector) for r in mine])
         parts.append(usable.mapInArrow(_search(held, k, floor, ceiling, jitter, seed), "query string, uri string, similarity double, score double"))
     return functools.reduce(DataFrame.union, parts)
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
 
 TRACK = "uri string, name string, artists array<string>, album string, embedding array<float>"
 _ITEM = "media_type: string, uri: string, name: string, version: string, image: string"
@@ -89,7 +89,10 @@ def glob_quoted(path: str) -> str:
 
 
 class HttpJson(DataSource):
-    """One JSON response of a POST request, as one row of text: options url, token, body."""
+    """One JSON response of a POST request, as one row of text: options url, token, body.
+
+    As a stream, each micro-batch is one request (STM-5).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -101,18 +104,41 @@ class HttpJson(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _HttpReader(dict(self.options))
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _HttpPoller(dict(self.options))
+
+
+def _ask(options: dict) -> str:
+    headers = {"Content-Type": "application/json"}
+    if options.get("token"):
+        headers["Authorization"] = f"Bearer {options['token']}"
+    request = urllib.request.Request(options["url"], options.get("body", "{}").encode(), headers, method="POST")
+    with urllib.request.urlopen(request, timeout=60) as response:
+        return response.read().decode()
+
 
 class _HttpReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
 
     def read(self, partition):
-        headers = {"Content-Type": "application/json"}
-        if self.options.get("token"):
-            headers["Authorization"] = f"Bearer {self.options['token']}"
-        request = urllib.request.Request(self.options["url"], self.options.get("body", "{}").encode(), headers, method="POST")
-        with urllib.request.urlopen(request, timeout=60) as response:
-            yield (response.read().decode(),)
+        yield (_ask(self.options),)
+
+
+class _HttpPoller(SimpleDataSourceStreamReader):
+    """Offsets count the requests. A response can't be asked for again, so a batch that is replayed after a crash is empty."""
+
+    def __init__(self, options: dict) -> None:
+        self.options = options
+
+    def initialOffset(self) -> dict:
+        return {"requests": 0}
+
+    def read(self, start: dict):
+        return iter([(_ask(self.options),)]), {"requests": start["requests"] + 1}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        return iter([])
 
 
 def fetch(spark: SparkSession, url: str, token: str | None, body: dict, schema: str) -> DataFrame:
@@ -120,3 +146,10 @@ def fetch(spark: SparkSession, url: str, token: str | None, body: dict, schema:
     spark.dataSource.register(HttpJson)
     raw = spark.read.format("http_json").options(url=url, token=token or "", body=json.dumps(body)).load()
     return raw.select(F.from_json("body", schema).alias("r")).select("r.*")
+
+
+def poll(spark: SparkSession, url: str, token: str | None, body: dict, schema: str) -> DataFrame:
+    """A service's responses as a stream, one for each micro-batch; its trigger sets how often it is asked."""
+    spark.dataSource.register(HttpJson)
+    raw = spark.readStream.format("http_json").options(url=url, token=token or "", body=json.dumps(body)).load()
+    return raw.select(F.from_json("body", schema).alias("r")).select("r.*")

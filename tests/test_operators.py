@@ -339,6 +339,7 @@ def test_service(spark, tracks, tmp_path):
     """Routes of the service, and the readers and writers of other services, against local servers."""
     import json
     import threading
+    import time
     import urllib.error
     import urllib.request
     from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -375,6 +376,14 @@ def test_service(spark, tracks, tmp_path):
     sinks.write_json(tracks.select("uri").limit(2), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
+    polled = ingest.current_item(tables.poll(spark, f"{host}/poll", "secret", {}, tables.QUEUE))
+    stream = polled.writeStream.format("memory").queryName("polled").trigger(processingTime="200 milliseconds").start()
+    begun = time.monotonic()
+    while spark.table("polled").count() < 2 and time.monotonic() < begun + 60:
+        time.sleep(0.2)
+    stream.stop()
+    assert {r.uri for r in spark.table("polled").collect()} == {"t05"} and sum(p == "/poll" for p, *_ in seen) >= 2
+
     empty = lambda c: spark.createDataFrame([], f"{c} string")
     engine = Engine(spark, tables.Config(str(tmp_path), webhook=f"{host}/hook"), tracks, empty("uri"), empty("uri"), empty("name"))
     service = Service(engine, lambda: tables.fetch(spark, f"{host}/queue", None, {}, tables.QUEUE), {"seeds": ["t00"], "limit": 3, "floor": -1.0})
