@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from cadenza.functions.names import ARTISTS
 from cadenza.operators import feedback, ingest, playlist, profile, rerank, similarity
 from cadenza.plans import standin as S
 from cadenza.plans.standin import FLOOR, SQL, cosine_sql, hash_sql, unit_sql
-from cadenza.sources import sinks, tables
+from cadenza.sources import sinks, tables, work
 from cadenza.streaming import feedback as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +138,12 @@ def vec_text_roundtrip(spark, sf_dir):
     return back.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
+@query("SELECT vec_id, vec_id % 7 = 0 AS bad FROM embeddings")
+def vec_has_nan(spark, sf_dir):
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when((F.col("vec_id") % 7 == 0) & (i == 9), F.lit(float("nan"))).otherwise(x))
+    return S.table(spark, sf_dir, "embeddings").select("vec_id", V.has_nan(v).alias("bad"))
+
+
 # ---------------------------------------------------------------- similarity
 
 
@@ -155,6 +162,15 @@ def related_topk(spark, sf_dir):
     return _found(similarity.top_k(S.tracks(spark, sf_dir), S.asked(spark, sf_dir), 20, FLOOR))
 
 
+@query(f"{SQL}, {_top_sql(20, f'similarity > {FLOOR}', vectors="(SELECT * FROM asked WHERE query = 'library://track/100')", corpus="(SELECT * FROM track WHERE p_partkey % 10 <> 1)")}")
+def related_one(spark, sf_dir):
+    """The search that starts from one track's row, with tracks to leave out."""
+    tracks = S.tracks(spark, sf_dir)
+    left_out = [r.uri for r in tracks.where("cast(split(uri, '/')[3] as bigint) % 10 = 1").select("uri").collect()]
+    found = similarity.related(tracks, "library://track/100", 20, left_out, FLOOR)
+    return _found(found.withColumn("query", F.lit("library://track/100")))
+
+
 @query(f"{SQL}, {_top_sql(10, 'true')}")
 def knn_graph_hof(spark, sf_dir):
     return _found(similarity.top_k_expressions(S.tracks(spark, sf_dir), S.asked(spark, sf_dir), 10, None))
@@ -253,6 +269,11 @@ def _lists(spark, sf_dir):
     return S.tracks(spark, sf_dir).withColumn("pos", F.row_number().over(order)).withColumn("query", F.col("album")).drop("embedding")
 
 
+@query(f"{SQL}, {_LISTS} SELECT query, pos, array_to_string(artists, ', ') || ': ' || name || ', similarity: ' || printf('%.3f', pos / 8.0) || ', uri: ' || uri AS line FROM lists JOIN (SELECT uri, name FROM track) USING (uri) WHERE pos <= 40")
+def playlist_listing(spark, sf_dir):
+    return playlist.listing(_lists(spark, sf_dir).where("pos <= 40").withColumn("similarity", F.col("pos") / 8))
+
+
 @query(f"{_STREAK} SELECT query, pos, uri, streak FROM streaks")
 def streak_count(spark, sf_dir):
     return playlist.streaks(_lists(spark, sf_dir)).select("query", "pos", "uri", "streak")
@@ -309,11 +330,18 @@ def _picks(df: DataFrame) -> DataFrame:
     return df.select("query", "pos", "uri", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
-def _mmr(limit: int, weight: float = 0.7, jitter: float = 0.0, softmax: bool = False, seed: int = 0, noise: float = 0.0, inertia: float = 0.9, penalties: tuple[float, float] = (0.03, 0.06)) -> str:
+def _mmr(limit: int, weight: float = 0.7, jitter: float = 0.0, selection: str = "argmax", seed: int = 0, noise: float = 0.0, inertia: float = 0.9, penalties: tuple[float, float] = (0.03, 0.06)) -> str:
     """The selection, one step a round: candidates in order of the pool with the largest similarity to the picks."""
     draw = f"{hash_sql("'pick'", 'query', 'pos + 1', f"'{seed}'")}"
     weights = f"list_transform(scores, lambda x: exp(x / {0.12}))"
-    best = f"list_position(list_transform(range(1, len(c) + 1), lambda i: {draw} * list_sum(w) - list_sum(w[1:i]) <= 0), true)" if softmax else "list_position(scores, list_max(scores))"
+    explore = hash_sql("'explore'", "query", "pos + 1", f"'{seed}'")
+    gumbel = f"list_transform(scores, lambda x, i: x / 0.12 - ln(-ln(greatest({hash_sql('c[i].uri', 'query', 'pos + 1', f"'{seed}'")}, 1e-12))))"
+    best = {
+        "argmax": "list_position(scores, list_max(scores))",
+        "softmax": f"list_position(list_transform(range(1, len(c) + 1), lambda i: {draw} * list_sum(w) - list_sum(w[1:i]) <= 0), true)",
+        "gumbel": f"list_position({gumbel}, list_max({gumbel}))",
+        "epsilon": f"CASE WHEN pos > 0 AND len(c) > 1 AND {explore} < 0.08 THEN list_position(scores, list_reverse_sort(scores)[CAST(floor({draw} * least(30, len(c))) AS INT) + 1]) ELSE list_position(scores, list_max(scores)) END",
+    }[selection]
     unit = unit_sql("m")
     moved = f"list_transform(list_zip(q, c[best].u), lambda z: {inertia} * z[1] + {1 - inertia!r} * z[2])"
     shaken = f"list_transform({unit}, lambda x, i: x + {noise} * (2 * {hash_sql("'noise'", 'query', 'pos + 1', 'i', f"'{seed}'")} - 1))" if noise else unit
@@ -350,13 +378,25 @@ def mmr_penalty_argmax(spark, sf_dir):
     return _picks(rerank.rerank(pool, q, rerank.Selection(limit=30, selection="argmax", noise=0.0)))
 
 
-@query(_mmr(30, softmax=True, seed=3, noise=0.01))
+@query(_mmr(30, selection="gumbel", seed=5))
+def mmr_gumbel(spark, sf_dir):
+    pool, q = _pool(spark, sf_dir, 0.0)
+    return _picks(rerank.rerank(pool, q, rerank.Selection(limit=30, selection="gumbel", noise=0.0, seed=5)))
+
+
+@query(_mmr(30, selection="epsilon", seed=2))
+def mmr_epsilon(spark, sf_dir):
+    pool, q = _pool(spark, sf_dir, 0.0)
+    return _picks(rerank.rerank(pool, q, rerank.Selection(limit=30, selection="epsilon", noise=0.0, seed=2)))
+
+
+@query(_mmr(30, selection="softmax", seed=3, noise=0.01))
 def mmr_softmax(spark, sf_dir):
     pool, q = _pool(spark, sf_dir, 0.0)
     return _picks(rerank.rerank(pool, q, rerank.Selection(limit=30, seed=3)))
 
 
-@query(_mmr(60, weight=0.8, jitter=similarity.JITTER, softmax=True, seed=1, noise=0.01))
+@query(_mmr(60, weight=0.8, jitter=similarity.JITTER, selection="softmax", seed=1, noise=0.01))
 def recommend(spark, sf_dir):
     pool, q = _pool(spark, sf_dir, similarity.JITTER)
     return _picks(rerank.rerank(pool, q, rerank.Selection(limit=60, weight=0.8, seed=1)))
@@ -464,6 +504,37 @@ def keyed_update(spark, sf_dir):
     return found.select("uri", F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
 
 
+@query(f"{SQL} SELECT uri AS key FROM skipped_songs UNION SELECT 'library://track/1' UNION SELECT 'new' UNION SELECT name FROM skipped_artists UNION SELECT 'Brand#9'")
+def skip_feedback(spark, sf_dir):
+    """A skip of a track that is skipped already or isn't, and of its artists; each key once."""
+    songs = feedback.skip_track(feedback.skip_track(feedback.skip_track(S.skipped_songs(spark, sf_dir), "library://track/1"), "new"), "new")
+    artists = feedback.skip_artists(feedback.skip_artists(S.skipped_artists(spark), ["Brand#3", "Brand#9", "Brand#9"]), [])
+    return songs.select(F.col("uri").alias("key")).union(artists)
+
+
+@query(f"{SQL} SELECT uri, name, album FROM track")
+def publish_snapshot(spark, sf_dir):
+    """A snapshot in a folder of its own and a JSON export, each written and read again."""
+    folder = f"{work.base(spark)}/cadenza-published-{uuid.uuid4().hex}"
+    kept = sinks.publish(S.tracks(spark, sf_dir).select("uri", "name", "album"), f"{folder}/tracks")
+    sinks.write_json(kept.where("uri < 'library://track/5'"), f"{folder}/json")
+    back = spark.read.schema(kept.schema).json(f"{folder}/json")
+    return back.union(kept.where("not uri < 'library://track/5'"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_brand WHEN p_size % 4 = 1 THEN p_brand || '|' || p_type WHEN p_size % 4 = 2 THEN 'a, ' || p_brand ELSE '' END AS artists FROM part")
+def work_list_artists(spark, sf_dir):
+    """Artists of a work list as one name, a list with blanks, a name with a comma, or nothing."""
+    size = F.col("p_size") % 4
+    text = F.when(size == 0, F.col("p_brand")).when(size == 1, F.to_json(F.array("p_brand", F.lit(" "), "p_type"))).when(size == 2, F.concat(F.lit("a, "), "p_brand"))
+    return S.table(spark, sf_dir, "part").select("p_partkey", F.array_join(tables.as_list(text), "|").alias("artists"))
+
+
+@query(f"{SQL} SELECT uri FROM track WHERE embedding IS NULL")
+def work_list_shuffle(spark, sf_dir):
+    return ingest.shuffled(S.tracks(spark, sf_dir).where("embedding is null"), 3).select("uri")
+
+
 def _listing(spark, sf_dir, numbered: bool):
     """Media keys of the tracks: artist/album/NN - name.ext."""
     t = S.tracks(spark, sf_dir).where(F.size("artists") > 0)
@@ -530,6 +601,24 @@ def embed_documents(spark, sf_dir):
     return ingest.embed(files, 16).select("uri", F.round(F.element_at(v, 1), 4).alias("first"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
+@query(
+    f"""{SQL}, keys AS (SELECT uri, artists[-1] || '/' || album || '/' || name || '.mp3' AS key FROM track WHERE len(artists) > 0 AND embedding IS NULL),
+bytes AS (SELECT uri, unnest(range(0, 16)) AS j, sha256(key) AS s FROM keys),
+numbers AS (SELECT uri, j, CAST('0x' || substr(s, CAST(2 * j + 1 AS BIGINT), 2) AS INT) / 255.0 AS x FROM bytes)
+SELECT uri, round(max(x) FILTER (j = 0), 4) AS first, round(sum(x), 4) AS total FROM numbers GROUP BY uri"""
+)
+def embed_store(spark, sf_dir):
+    """The resumable job: a first run that ends early, and one that makes what is missing. A file's bytes are its key."""
+    tracks = S.tracks(spark, sf_dir)
+    listing = _listing(spark, sf_dir, False).distinct()
+    files = listing.select("key", F.col("key").cast("binary").alias("content"))
+    store = f"{work.base(spark)}/cadenza-embeddings-{uuid.uuid4().hex}"
+    ingest.store_embeddings(tracks.where("crc32(uri) % 3 = 0"), listing, files, store, 16, rounds=1)
+    done = ingest.store_embeddings(tracks, listing, files, store, 16, rounds=2)
+    v = F.col("embedding").cast("array<double>")
+    return done.select("uri", F.round(F.element_at(v, 1), 4).alias("first"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
 @query(f"{SQL} SELECT 'UPDATE track SET embedding = ''[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', x)), ',') || ']''::vector WHERE uri = ''' || uri || ''';' AS value FROM track WHERE embedding IS NOT NULL")
 def update_statements(spark, sf_dir):
     return sinks.update_statements(S.tracks(spark, sf_dir).where("embedding is not null"))
