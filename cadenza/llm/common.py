@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from cadenza.sources.work import base, delete
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a batch for Python workers, which hold a few copies of one; a longer row is a batch of its own.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -101,14 +102,17 @@ _resident: dict[str, object] = {}
 
 
 def resident(key: str, make: Callable):
-    """What ``make`` gives, kept in a worker between its tasks until another key is asked for.
+    """What ``make`` gives, kept in a worker between its tasks. A key is an operator, a colon and a name.
 
-    Spark uses a worker for one operator after the other, so that without this a worker
-    would hold the tables of all of them.
+    Spark uses a worker for one operator after the other, so an operator's tables go when
+    another one asks for its own; without this a worker would hold the tables of all.
     """
     if key not in _resident:
-        _resident.clear()
-        trim()
+        others = [k for k in _resident if k.partition(":")[0] != key.partition(":")[0]]
+        for other in others:
+            del _resident[other]
+        if others:
+            trim()
         _resident[key] = make()
     return _resident[key]
 
@@ -149,12 +153,12 @@ ALNUM = (
 #: A-Z to a-z, other bytes unchanged.
 FOLD = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 
-_RNG = np.random.Generator(np.random.PCG64(20240601))
-_BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLDED_VALUE = _BYTE_VALUE[FOLD]
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
-_POWERS = np.multiply.accumulate(np.full(64, _STEP, np.uint64))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: The first 0 to 8 bytes of a little-endian number.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -217,18 +221,27 @@ def word_spans(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; ``fold`` takes A-Z as a-z."""
-    global _POWERS
+    """A 64-bit hash of each word's bytes, eight at a time; ``fold`` takes A-Z as a-z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = FOLD[data] if fold else data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
     lens = ends - starts
-    before = np.cumsum(lens) - lens
-    if (longest := int(lens.max())) > len(_POWERS):
-        _POWERS = np.multiply.accumulate(np.full(2 * longest, _STEP, np.uint64))
-    place = np.arange(int(before[-1] + lens[-1])) - np.repeat(before, lens)
-    value = (_FOLDED_VALUE if fold else _BYTE_VALUE)[data[place + np.repeat(starts, lens)]]
-    value *= _POWERS[place]
-    return mix(np.add.reduceat(value, before) + lens.astype(np.uint64))
+    out = eight[starts]
+    out &= _MASK[np.minimum(lens, 8)]
+    out ^= lens.astype(np.uint64) * _GRAM
+    out *= _ODD
+    rows, done = np.flatnonzero((lens > 8) & (lens <= _LONG)), 8
+    while len(rows):
+        more, left = out[rows], lens[rows] - done
+        more ^= more >> np.uint64(32)
+        more ^= eight[starts[rows] + done] & _MASK[np.minimum(left, 8)]
+        out[rows] = more * _ODD
+        rows, done = rows[left > 8], done + 8
+    for row in np.flatnonzero(lens > _LONG):
+        out[row] = xxhash.xxh3_64_intdigest(padded[starts[row] : ends[row]].tobytes())
+    return mix(out)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

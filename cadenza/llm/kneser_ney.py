@@ -46,6 +46,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ALNUM, FOLD, Workspace, mix, slices, word_hashes
+from cadenza.llm.common import ALNUM, FOLD, Workspace, lean, mix, resident, slices, word_hashes
 
 ORDER, SYMBOLS = 4, 48
 QUANTILE = 0.98
@@ -62,7 +63,7 @@ SHARED = "*"
 #: Spelling models that a worker holds.
 LOADED = 8
 #: Bytes of text for each shard of n-grams, turns in which the shards are taken, and n-grams that a worker packs together.
-SHARD, PASSES, PACKED = 8 << 20, 4, 2_000_000
+SHARD, PASSES, PACKED = 8 << 20, 6, 500_000
 #: Words whose continuation counts are broadcast, 12 bytes each; ids of trusted documents that are.
 KNOWN, BROADCAST_IDS = 4_000_000, 4_000_000
 #: Common words are sought in one of so many documents.
@@ -171,14 +172,13 @@ def _symbols(shared: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[str, list] = {}
-            for own, _, data, offs, (starts, ends, _) in _by_model(batch.column(0), batch.column(1), lambda x: x):
-                code = grams(*spelt(data, starts, ends))[0]
+            for own, parts in itertools.groupby(_by_model(batch.column(0), batch.column(1), lambda x: x), lambda x: x[0]):
+                counts = np.zeros(SYMBOLS**ORDER, np.int32)
+                for _, _, data, offs, (starts, ends, _) in parts:
+                    counts += np.bincount(grams(*spelt(data, starts, ends))[0], minlength=len(counts)).astype(np.int32)
+                code = np.flatnonzero(counts)
                 for model in _models(own, shared):
-                    held.setdefault(model, []).append(_summed([code], np.ones(len(code), np.int64)))
-            for model, parts in held.items():
-                (code,), counts = _summed([np.concatenate([p[0][0] for p in parts])], np.concatenate([p[1] for p in parts]))
-                yield pa.RecordBatch.from_arrays([pa.array([model] * len(counts), pa.string()), pa.array(code), pa.array(counts)], names=["lang", "code", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array([model] * len(code), pa.string()), pa.array(code), pa.array(counts[code].astype(np.int64))], names=["lang", "code", "c"])
 
     return run
 
@@ -216,22 +216,31 @@ def estimate(counts: DataFrame, work: Workspace) -> DataFrame:
 
 
 def assemble(n: np.ndarray, code: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
-    """Log probability of every n-gram of the highest order, by interpolation from the lowest up."""
-    below = np.full(1, 1.0 / SYMBOLS)
+    """Log probability of every n-gram of the highest order, by interpolation from the lowest up.
+
+    P(w | h) = alpha(h w) + gamma(h) P(w | h without its first symbol). The highest order is
+    filled for one first symbol of h after the other, so that only the result is large.
+    """
+    below = np.full(SYMBOLS, 1.0 / SYMBOLS)
     for order in range(1, ORDER + 1):
         contexts = SYMBOLS ** (order - 1)
-        first, weight = np.zeros(contexts * SYMBOLS), np.ones(contexts)
-        at = (n == order) & ~np.isnan(alpha)
-        first[code[at]] = alpha[at]
-        at = (n == order) & ~np.isnan(gamma)
-        weight[code[at]] = gamma[at]
-        # P(w | h) = alpha(h w) + gamma(h) P(w | h without its first symbol)
-        lower = np.tile(below.reshape(-1), contexts * SYMBOLS // len(below)) if order > 1 else np.repeat(below, SYMBOLS)
-        below = first + np.repeat(weight, SYMBOLS) * lower
-    return np.log(below).astype(np.float32)
-
-
-_tables: dict[tuple[str, str], np.ndarray] = {}
+        mine = np.flatnonzero(n == order)
+        mine = mine[np.argsort(code[mine], kind="stable")]
+        grams, weights = mine[~np.isnan(alpha[mine])], mine[~np.isnan(gamma[mine])]
+        weight = np.ones(contexts)
+        weight[code[weights]] = gamma[weights]
+        parts = SYMBOLS if order > 1 else 1
+        size = contexts * SYMBOLS // parts
+        out = np.empty(contexts * SYMBOLS, np.float32 if order == ORDER else np.float64)
+        edges = np.searchsorted(code[grams], np.arange(parts + 1) * size)
+        for part in range(parts):
+            lo = part * size
+            each = np.repeat(weight[lo // SYMBOLS : (lo + size) // SYMBOLS], SYMBOLS) * below
+            at = grams[edges[part] : edges[part + 1]]
+            each[code[at] - lo] += alpha[at]
+            out[lo : lo + size] = np.log(each) if order == ORDER else each
+        below = out
+    return below
 
 
 def _spelling(table: DataFrame, names: list[str], run: str):
@@ -253,13 +262,15 @@ def _spelling(table: DataFrame, names: list[str], run: str):
         some = []
 
     def log_p(name: str) -> np.ndarray:
-        if (run, name) not in _tables:
-            for old in [k for k in _tables if k[0] != run] + [k for k in _tables if k[0] == run][: -LOADED + 1 or None]:
-                _tables.pop(old, None)
+        tables = resident("spelling:", dict)
+        if (run, name) not in tables:
+            own = [k for k in tables if k[0] == run]
+            for old in [k for k in tables if k[0] != run] + own[: len(own) - LOADED + 1 if len(own) >= LOADED else 0]:
+                del tables[old]
             none = np.zeros(0)
             n, code, alpha, gamma = held[name].value if name in held else (none, none.astype(int), none, none)
-            _tables[run, name] = assemble(n, code, alpha.astype(np.float64), gamma.astype(np.float64))
-        return _tables[run, name]
+            tables[run, name] = assemble(n, code, alpha, gamma)
+        return tables[run, name]
 
     def spell(name: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct words, the log probabilities of their spellings, and where each word of z is among them."""
@@ -274,6 +285,8 @@ def _spelling(table: DataFrame, names: list[str], run: str):
 
 BLOBS = "shard int, kind tinyint, lang string, data binary"
 COUNTED, COMMON, ASKED = 0, 1, 2
+#: Bytes of packed n-grams that a worker hands over at once, and documents' sums that it holds.
+SENT, SUMS = 2 << 20, 1_000_000
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -295,14 +308,22 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int8(), pa.string(), pa.binary()))], names=["shard", "kind", "lang", "data"])
+
+
 def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint16 if not len(values) or values.max() < 1 << 16 else np.uint32)
 
 
 def _coded(*columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The distinct words, and each column as places among them."""
-    words, codes = np.unique(np.concatenate(columns), return_inverse=True)
-    return words, np.split(codes, len(columns))
+    found = pa.array(np.concatenate(columns)).dictionary_encode()  # by hashes, much faster than to sort all
+    words, codes = found.dictionary.to_numpy(), found.indices.to_numpy()
+    order = np.argsort(words)
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    return words[order], np.split(rank[codes], len(columns))
 
 
 def _steps(words: np.ndarray) -> np.ndarray:
@@ -377,8 +398,8 @@ def _dealer(route: Route, turn: int, turns: int, shared: bool, model_of, spell:
             rows: list[tuple] = []
             for (kind, name), parts in held.items():
                 columns = [np.concatenate(c) for c in zip(*parts)]
-                shard = route(*columns[:3])
-                order = np.argsort(shard, kind="stable")
+                shard = _narrow(route(*columns[:3]))
+                order = np.argsort(shard, kind="stable")  # in linear time if there are 2^16 shards at most
                 shard, columns = shard[order], [c[order] for c in columns]
                 edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
                 for lo, hi in zip(edges, edges[1:]):
@@ -394,12 +415,16 @@ def _dealer(route: Route, turn: int, turns: int, shared: bool, model_of, spell:
                         new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                         data = pack(_steps(words), *map(_narrow, codes), values, doc[new], _narrow(np.diff(new, append=len(doc))))
                     rows.append((int(shard[lo]), kind, name, data))
+                    if sum(len(r[3]) for r in rows) > SENT:
+                        yield _blobs(rows)
+                        rows = []
             held.clear()
-            for lo in range(0, len(rows), 200):
-                part = rows[lo : lo + 200]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int32(), pa.int8(), pa.string(), pa.binary()))], names=["shard", "kind", "lang", "data"])
+            if rows:
+                yield _blobs(rows)
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             train, keys = batch.column(2).to_numpy(zero_copy_only=False).astype(bool), batch.column(3).to_numpy()
             for lang, rows, data, offs, (starts, ends, first) in _by_model(batch.column(0), batch.column(1), lambda x: x):
                 if not len(starts):
@@ -441,7 +466,7 @@ def _spread(route: Route, turn: int, turns: int):
                 part = pack(y[at], z[at], c[at])
                 base = int(route.first(route.words[word : word + 1])[0])
                 rows += [(shard, COMMON, names[at][0], part) for way in range(int(route.ways[word])) if (shard := (base + way) % route.shards) % turns == turn]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int8(), pa.string(), pa.binary()))], names=["shard", "kind", "lang", "data"])
+            yield _blobs(rows)
 
     return run
 
@@ -530,76 +555,103 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 SCORED = "key bigint, s double, z bigint, p double, b double"
 
 
+class _ShardModel:
+    """Discounted shares a and back-off weights g of a shard's n-grams, by sorted keys."""
+
+    def __init__(self, route: Route, cut: list[np.ndarray], words: dict, pairs: dict, counted: list, common: list) -> None:
+        d = [np.append(0.0, x) for x in cut]
+        less = lambda order, c: d[order - 1][np.minimum(c, 3)]
+        spare = lambda order, t: t[:, 1:] @ d[order - 1][1:] / t[:, 0]
+        self.k3, x, y, z, c3 = _trigrams(counted)
+        context = key(x, y)
+        self.contexts, t3 = _totals(context, c3)
+        for i in np.flatnonzero(np.isin(self.contexts, route.pairs)):
+            t3[i] = pairs[int(self.contexts[i])]
+        self.a3 = (c3 - less(3, c3)) / t3[np.searchsorted(self.contexts, context), 0]
+        self.g3 = spare(3, t3)
+        usual = np.flatnonzero(route.common(y) < 0)
+        k2, at, where = np.unique(key(y, z)[usual], return_index=True, return_inverse=True)
+        c2, y2 = np.bincount(where, minlength=len(k2)), y[usual][at].view(np.int64)
+        for by, bz, bc in common:
+            k2, y2, c2 = np.append(k2, key(by.view(np.uint64), bz.view(np.uint64))), np.append(y2, by), np.append(c2, bc)
+        order = np.argsort(k2)
+        self.k2, y2, c2 = k2[order], y2[order], c2[order]
+        self.k1, t2 = _totals(y2, c2)
+        for i in np.flatnonzero(route.common(self.k1.view(np.uint64)) >= 0):
+            t2[i] = words[int(self.k1[i])]
+        self.a2 = (c2 - less(2, c2)) / t2[np.searchsorted(self.k1, y2), 0]
+        self.g2 = spare(2, t2)
+
+    def line(self, w: np.ndarray, cx: np.ndarray, cy: np.ndarray, cz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """p and b for each n-gram: its probability is p + b P(z)."""
+        at1, seen1 = _find(self.k1, w.view(np.int64))
+        p, b = np.zeros(len(cy)), np.ones(len(cy))
+        some = np.flatnonzero(seen1[cy])  # those whose middle is in the model
+        if len(some):
+            x, y, z = w[cx[some]], w[cy[some]], w[cz[some]]
+            at, seen = _find(self.k2, key(y, z))
+            lower, rest = np.where(seen, self.a2[at], 0.0), self.g2[at1[cy[some]]]
+            at, after = _find(self.contexts, key(x, y))
+            gamma = np.where(after, self.g3[at], 1.0) if len(self.g3) else np.ones(len(some))
+            high, both = np.zeros(len(some)), np.flatnonzero(seen & after)
+            at, seen = _find(self.k3, key(x[both], y[both], z[both]))
+            high[both[seen]] = self.a3[at[seen]]
+            p[some], b[some] = high + gamma * lower, gamma * rest
+        return p, b
+
+
 def _scorer(route: Route, cut: dict[str, list[np.ndarray]], words: dict[int, np.ndarray], pairs: dict[int, np.ndarray]):
     """Sums of logarithms by document; n-grams that end in a word that isn't known yet with p and b of p + b P(z).
 
-    ``cut`` has each model's discounts by order, ``words`` and ``pairs`` the totals of common ones.
+    ``cut`` has each model's discounts by order, ``words`` and ``pairs`` the totals of common
+    ones. Rows come sorted by shard, model and kind, so a shard's counts are there before
+    the first document asks, and one packed row of documents is open at a time. Sums are
+    added up over the shards of a task.
     """
 
-    def run(rows: pa.Table) -> pa.Table:
-        out = [[np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
-        sums: list[np.ndarray] = []
-        for lang, held in _groups(rows):
-            if ASKED not in held:
-                continue
-            d = [np.append(0.0, x) for x in cut.get(lang, [np.zeros(3)] * 3)]
-            less = lambda order, c: d[order - 1][np.minimum(c, 3)]
-            spare = lambda order, t: t[:, 1:] @ d[order - 1][1:] / t[:, 0]
-            k3, x, y, z, c3 = _trigrams(held.get(COUNTED, []))
-            context = key(x, y)
-            k2c, t3 = _totals(context, c3)
-            for i in np.flatnonzero(np.isin(k2c, route.pairs)):
-                t3[i] = pairs[int(k2c[i])]
-            a3 = (c3 - less(3, c3)) / t3[np.searchsorted(k2c, context), 0]
-            g3 = spare(3, t3)
-            usual = np.flatnonzero(route.common(y) < 0)
-            k2, at, where = np.unique(key(y, z)[usual], return_index=True, return_inverse=True)
-            c2, y2 = np.bincount(where, minlength=len(k2)), y[usual][at].view(np.int64)
-            for by, bz, bc in held.get(COMMON, []):
-                k2, y2, c2 = np.append(k2, key(by.view(np.uint64), bz.view(np.uint64))), np.append(y2, by), np.append(c2, bc)
-            order = np.argsort(k2)
-            k2, y2, c2 = k2[order], y2[order], c2[order]
-            k1, t2 = _totals(y2, c2)
-            for i in np.flatnonzero(route.common(k1.view(np.uint64)) >= 0):
-                t2[i] = words[int(k1[i])]
-            a2 = (c2 - less(2, c2)) / t2[np.searchsorted(k1, y2), 0]
-            g2 = spare(2, t2)
-
-            for steps, cy, cx, cz, value, keys, sizes in held[ASKED]:
+    def batch_of(keys: np.ndarray, *columns: np.ndarray | None) -> pa.RecordBatch:
+        kinds = (pa.float64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.nulls(len(keys), t) if c is None else pa.array(c) for c, t in zip(columns, kinds))], names=["key", "s", "z", "p", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, model, counted, common = None, None, [], []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(where, np.concatenate([s for _, s in held]), len(keys))
+
+        for batch in batches:
+            for shard, kind, lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if (shard, lang) != here:
+                    here, model, counted, common = (shard, lang), None, [], []
+                parts = unpack(data.as_buffer().to_pybytes())
+                if kind != ASKED:
+                    (counted if kind == COUNTED else common).append(parts)
+                    continue
+                if model is None:
+                    model = _ShardModel(route, cut.get(lang, [np.zeros(3)] * 3), words, pairs, counted, common)
+                    counted, common = [], []
+                steps, cy, cx, cz, value, keys, sizes = parts
                 w = np.cumsum(steps)
-                at1, seen1 = _find(k1, w.view(np.int64))
-                n = len(cy)
-                p, b = np.zeros(n), np.ones(n)
-                some = np.flatnonzero(seen1[cy])  # n-grams whose middle is in the model
-                if len(some):
-                    sx, sy, sz = w[cx[some]], w[cy[some]], w[cz[some]]
-                    at, seen = _find(k2, key(sy, sz))
-                    lower, rest = np.where(seen, a2[at], 0.0), g2[at1[cy[some]]]
-                    at, after = _find(k2c, key(sx, sy))
-                    gamma = np.where(after, g3[at], 1.0) if len(g3) else np.ones(len(some))
-                    high = np.zeros(len(some))
-                    both = np.flatnonzero(seen & after)
-                    at, seen = _find(k3, key(sx[both], sy[both], sz[both]))
-                    high[both[seen]] = a3[at[seen]]
-                    p[some], b[some] = high + gamma * lower, gamma * rest
-                last = value[cz].astype(np.float64)
+                p, b = model.line(w, cx, cy, cz)
+                last, doc = value[cz].astype(np.float64), np.repeat(np.arange(len(keys)), sizes)
                 p += b * np.abs(last)
                 late = np.flatnonzero(last < 0)
-                doc = np.repeat(np.arange(len(keys)), sizes)
-                logs = np.log(p)
                 if len(late):
-                    logs[late] = 0.0
-                    for held_out, column in zip(out, (keys[doc[late]], np.full(len(late), np.nan), w[cz[late]].view(np.int64), p[late], b[late])):
-                        held_out.append(column)
-                sums.append(np.bincount(doc, logs, len(keys)))
-                out[0].append(keys)
-                out[1].append(sums[-1])
-                out[2].append(np.zeros(len(keys), np.int64))
-                out[3].append(np.full(len(keys), np.nan))
-                out[4].append(np.full(len(keys), np.nan))
-        key_, s, z, p, b = (np.concatenate(c) for c in out)
-        asked = np.isnan(s)
-        return pa.table({"key": key_, "s": pa.array(s, mask=asked), "z": pa.array(z, mask=~asked), "p": pa.array(p, mask=~asked), "b": pa.array(b, mask=~asked)})
+                    yield batch_of(keys[doc[late]], None, w[cz[late]].view(np.int64), p[late], b[late])
+                    p[late] = 1.0
+                held.append((keys, np.bincount(doc, np.log(p), len(keys))))
+                size += len(keys)
+                if size > SUMS:
+                    held = [added()]
+                    size = len(held[0][0])
+                    if 2 * size > SUMS:
+                        yield batch_of(*held[0], None, None, None)
+                        held, size = [], 0
+        if held:
+            yield batch_of(*added(), None, None, None)
 
     return run
 
@@ -641,19 +693,20 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shar
         return f"={lang}" if lang in own else SHARED
 
     train = F.col("good") & ~held
-    symbols = marked.where(train).select("lang", "text").mapInArrow(_symbols(shared), "lang string, code bigint, c bigint")
+    symbols = marked.where(train).select("lang", "text").mapInArrow(lean(_symbols(shared)), "lang string, code bigint, c bigint")
     symbols = work.keep(symbols.groupBy("lang", "code").agg(F.sum("c").alias("c")), "symbols")
     table = work.keep(estimate(symbols, work), "model")
     spell = _spelling(table, sorted(f"={x}" for x in own) + [SHARED] * shared, work.root)
 
     shards = max(1, -(-sum(r.size or 0 for r in per_lang) // shard))
+    passes = max(1, min(passes, shards // 4))  # a turn of a few shards costs more than the disk that it saves
     route = _routed(marked, shards, sample, model_of, work)
     rows = marked.select("lang", "text", train.alias("train"), "key")
 
     halves = max(1, passes // 2)
     parts = []
     for turn in range(halves):
-        blobs = rows.where("train").mapInArrow(_dealer(route, turn, halves, shared, model_of, None, None, {}, True), BLOBS)
+        blobs = rows.where("train").mapInArrow(lean(_dealer(route, turn, halves, shared, model_of, None, None, {}, True)), BLOBS)
         told = blobs.groupBy("shard").applyInArrow(_stats(route), STATS)
         parts.append(work.keep(told.groupBy("kind", "lang", "a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "ones", "twos", "more"))), f"stats-{turn}"))
     stats = functools.reduce(DataFrame.union, parts)
@@ -701,10 +754,11 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shar
 
     parts = []
     for turn in range(passes):
-        blobs = rows.mapInArrow(_dealer(route, turn, passes, shared, model_of, spell, find, weights, True), BLOBS)
+        blobs = rows.mapInArrow(lean(_dealer(route, turn, passes, shared, model_of, spell, find, weights, True)), BLOBS)
         if len(route.words):
-            blobs = blobs.union(common.select("lang", "y", "z", "c").mapInArrow(_spread(route, turn, passes), BLOBS))
-        scored = blobs.groupBy("shard").applyInArrow(_scorer(route, cut, of_words, of_pairs), SCORED)
+            blobs = blobs.union(common.select("lang", "y", "z", "c").mapInArrow(lean(_spread(route, turn, passes)), BLOBS))
+        blobs = blobs.repartition("shard").sortWithinPartitions("shard", "lang", "kind")
+        scored = blobs.mapInArrow(lean(_scorer(route, cut, of_words, of_pairs)), SCORED)
         if least:  # words beyond the broadcast ones
             scored = work.keep(scored, f"scored-{turn}")
             late = scored.where("z is not null").join(alphas.where(F.col("c") < least).select("z", "alpha"), "z", "left")
@@ -716,7 +770,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shar
     work.drop("alphas")
 
     # Equal rows have one key: their logarithms and their symbols are both summed over them.
-    rows = work.keep(marked.select("doc_id", "lang", "key", "good", "text").mapInArrow(_lengths, "doc_id bigint, lang string, key bigint, good boolean, symbols bigint"), "rows")
+    rows = work.keep(marked.select("doc_id", "lang", "key", "good", "text").mapInArrow(lean(_lengths), "doc_id bigint, lang string, key bigint, good boolean, symbols bigint"), "rows")
     if not few:
         work.drop("marked")
     summed = functools.reduce(DataFrame.union, parts).groupBy("key").agg(F.sum("s").alias("s"))
@@ -739,7 +793,7 @@ def _routed(marked: DataFrame, shards: int, sample: int, model_of, work: Workspa
     if shards < 2:
         return Route(shards, {}, set())
     some = marked.where(F.pmod(F.xxhash64("key"), F.lit(sample)) == 0).select("lang", "text")
-    found = some.mapInArrow(_common(shards, model_of), "what tinyint, a bigint, n bigint").groupBy("what", "a").agg(F.sum("n").alias("n"))
+    found = some.mapInArrow(lean(_common(shards, model_of)), "what tinyint, a bigint, n bigint").groupBy("what", "a").agg(F.sum("n").alias("n"))
     found = work.keep(found, "frequent")
     total = found.where("what = 2").agg(F.sum("n")).first()[0] or 0
     often = found.where((F.col("what") < 2) & (F.col("n") * shards >= 1.5 * total)).collect() if total else []
