@@ -263,7 +263,7 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
 
 def _tools(content: bytes, pattern: str) -> tuple[Splitter, _Cache]:
     key = hashlib.sha256(content + pattern.encode()).hexdigest()
-    return resident(f"encode-{key}", lambda: (Splitter(pattern), _Cache(PrefixEncoder(read_ranks(content)))))
+    return resident(f"bpe:encode-{key}", lambda: (Splitter(pattern), _Cache(PrefixEncoder(read_ranks(content)))))
 
 
 def _token_bytes(content: bytes) -> list[bytes]:
@@ -274,7 +274,7 @@ def _token_bytes(content: bytes) -> list[bytes]:
             table[rank] = token
         return table
 
-    return resident(f"decode-{hashlib.sha256(content).hexdigest()}", make)
+    return resident(f"bpe:decode-{hashlib.sha256(content).hexdigest()}", make)
 
 
 def _vocabulary(spark: SparkSession, path: str | None):
@@ -284,21 +284,32 @@ def _vocabulary(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(file.read())
 
 
+def _ids(texts: pa.Array, split: Splitter, cache: _Cache) -> pa.Array:
+    get = cache.__getitem__
+    return pa.array([b"".join(map(get, split(text))) for text in texts.to_pylist()], pa.binary())
+
+
+def _decoded(ids: pa.Array, table: list[bytes]) -> pa.Array:
+    get = table.__getitem__
+    return pa.array([b"".join(map(get, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in ids], pa.binary())
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) for every row of ``docs`` (doc_id, text)."""
     held = _vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, cache = _tools(held.value, pattern)
-        get = cache.__getitem__
+        tools = _tools(held.value, pattern)
         for batch in batches:
             texts = strings(batch.column(1))
             for lo in range(0, len(texts), 1000):
-                out = [b"".join(map(get, split(text))) for text in texts[lo : lo + 1000].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 1000], pa.array(out, pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 1000], _ids(texts[lo : lo + 1000], *tools)], names=["doc_id", "ids"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(lean(run), "doc_id bigint, ids binary")
+    return _texts(docs).mapInArrow(lean(run), "doc_id bigint, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -306,18 +317,31 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     held = _vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _token_bytes(held.value).__getitem__
+        table = _token_bytes(held.value)
         for batch in batches:
-            ids = batch.column(1)
-            for lo in range(0, len(ids), 1000):
-                part = ids[lo : lo + 1000]
-                out = [b"".join(map(get, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in part]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 1000], part, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column(1), table)], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id bigint, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """What ``decode`` gives for the ids of ``encode``, both in one pass."""
+    held = _vocabulary(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools, table = _tools(held.value, pattern), _token_bytes(held.value)
+        for batch in batches:
+            texts = strings(batch.column(1))
+            for lo in range(0, len(texts), 1000):
+                ids = _ids(texts[lo : lo + 1000], *tools)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 1000], ids, _decoded(ids, table)], names=["doc_id", "ids", "decoded"])
+
+    return _texts(docs).mapInArrow(lean(run), "doc_id bigint, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded from the ids."""
-    both = decode(encode(docs))
+    both = round_trip(docs)
     return both.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

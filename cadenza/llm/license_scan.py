@@ -148,7 +148,7 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: tuple = N
     base = BASE if base is None else base
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = resident(f"notices-{sorted(base.items())}-{notices}", lambda: Scanner(base, notices))
+        scanner = resident(f"licences:{sorted(base.items())}-{notices}", lambda: Scanner(base, notices))
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32())]))]
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
         for batch in batches:

@@ -123,7 +123,7 @@ class PieceCounter:
 
 def _counter(content: bytes) -> Library | PieceCounter:
     found = rules(content)
-    return resident(f"count-{hashlib.sha256(content).hexdigest()}", lambda: PieceCounter(content, *found) if found else Library(content))
+    return resident(f"counts:{hashlib.sha256(content).hexdigest()}", lambda: PieceCounter(content, *found) if found else Library(content))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, cache: str | None = None, limit: int = LIMIT, broadcast_misses: int = BROADCAST_MISSES, work: Workspace | None = None) -> DataFrame:
