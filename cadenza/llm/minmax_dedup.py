@@ -10,9 +10,10 @@ Scale: documents with equal shingle sets are one class first (aggregated before
 shuffle), and only class representatives are compared. A band's bucket isn't expanded
 into pairs: its members meet the one member that shares most buckets with others (the
 centre of a group of edited copies shares more than any other). Where a bucket's members
-are then still in different components, their sets are compared in tiles of bounded size
-as matrix products, every block of the bucket with every other, and a tile gives only the
-components that it joins. So no link within a bucket is lost, and pairs are never rows.
+are then still in different components, their sets are packed into blocks that are bounded
+in sets and in shingles, every block is compared with itself and every other as a tile, by
+matrix products, and a tile gives only the components that it joins. So no link within a
+bucket is lost, a tile reads two rows at most, and pairs are never rows.
 Text is shuffled once, for candidates alone after that.
 
 Defined results: a null text has no words; a document without words has no shingles,
@@ -31,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import NOT_SPACE, Workspace, components, long_list, mix, shingles, slices, word_hashes, word_spans
+from cadenza.llm.common import NOT_SPACE, Workspace, components, lean, long_list, mix, shingles, slices, word_hashes, word_spans
 
 PERMUTATIONS, ROWS, BANDS = 32, 4, 16
 SHINGLE = 5
 PERCENT = 85
-#: Sets in a block of a bucket, and shingles in a step of a tile's product.
-BLOCK, STEP = 512, 8192
+#: Sets and shingles in a block of a bucket (about, and one set at least), and shingles in a step of a tile's product.
+BLOCK, BLOCK_SHINGLES, STEP = 512, 1 << 18, 8192
 SIGNED = "doc_id bigint, tk bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"
 
 _rng = np.random.Generator(np.random.PCG64(85))
@@ -121,8 +122,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 500], long_list(flat.view(np.int64), np.array([len(x) for x in sets], np.int64))], names=["id", "grams"])
 
 
-def joined(labels: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The label of each set after links between the sets, the smallest of those that they join."""
+def joined(labels: np.ndarray, sets: list[np.ndarray], percent: int, cut: int | None = None) -> np.ndarray:
+    """The label of each set after links between the sets, the smallest of those that they join.
+
+    With ``cut``, only links between the first ``cut`` sets and the others count.
+    """
     size = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -131,41 +135,73 @@ def joined(labels: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarr
     owner, column = owner[column >= 0], column[column >= 0]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    shared = np.zeros((len(sets), len(sets)), np.float32)
+    a, b = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
+    shared = np.zeros((len(size[a]), len(size[b])), np.float32)
     for lo in range(0, int(useful.sum()), STEP):
         part = slice(*np.searchsorted(column, [lo, lo + STEP]))
         has = np.zeros((len(sets), STEP), np.float32)
         has[owner[part], column[part] - lo] = 1
-        shared += has @ has.T
-    linked = 100 * shared.astype(np.int64) >= percent * (size[:, None] + size[None, :] - shared.astype(np.int64))
-    out, before = labels, None
+        shared += has[a] @ has[b].T
+    shared = shared.astype(np.int64)
+    linked = 100 * shared >= percent * (size[a][:, None] + size[b][None, :] - shared)
+    out, before = labels.copy(), None
     while before is None or (out != before).any():
-        before = out
-        out = np.minimum(out, np.where(linked, out[None, :], np.iinfo(np.int64).max).min(axis=1))
+        before = out.copy()
+        out[a] = np.minimum(out[a], np.where(linked, out[b][None, :], np.iinfo(np.int64).max).min(axis=1))
+        out[b] = np.minimum(out[b], np.where(linked, out[a][:, None], np.iinfo(np.int64).max).min(axis=0))
     return out
 
 
+PACKED = "bh bigint, block int, blocks int, labels array<bigint>, sizes array<bigint>, grams array<bigint>"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of a bucket; rows come sorted by bucket and block."""
+    held: list[tuple] = []
+
+    def close() -> pa.RecordBatch:
+        bh, block, blocks = held[0][:3]
+        sets = [row[4] for row in held]
+        lists = [np.array([row[3] for row in held]), np.array([len(x) for x in sets]), np.concatenate(sets)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bh]), pa.array([block], pa.int32()), pa.array([blocks], pa.int32()), *(long_list(x, np.array([len(x)])) for x in lists)],
+            names=["bh", "block", "blocks", "labels", "sizes", "grams"],
+        )
+
+    for batch in batches:
+        sets = [x.values.to_numpy(zero_copy_only=False) for x in batch.column(4)]
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), sets):
+            if held and held[0][:2] != row[:2]:
+                yield close()
+                held = []
+            held.append(row)
+    if held:
+        yield close()
+
+
 def _tile(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    """Edges between labels from tiles of one block or two; rows come sorted by tile."""
 
-        def close() -> pa.RecordBatch | None:
-            labels = np.array([row[3] for row in held])
-            if len(set(labels.tolist())) < 2:
-                return None
-            after = joined(labels, [row[4] for row in held], percent)
-            edges = sorted({(int(a), int(b)) for a, b in zip(labels, after) if a != b})
-            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"]) if edges else None
+    def close(held: list[tuple]) -> pa.RecordBatch | None:
+        labels = np.concatenate([row[3] for row in held])
+        if len(np.unique(labels)) < 2 or held[0][1] != held[0][2] and len(held) < 2:
+            return None
+        sets = [x for row in held for x in np.split(row[5], np.cumsum(row[4])[:-1])]
+        after = joined(labels, sets, percent, len(held[0][3]) if len(held) > 1 else None)
+        edges = sorted({(int(a), int(b)) for a, b in zip(labels, after) if a != b})
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"]) if edges else None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            sets = [x.values.to_numpy(zero_copy_only=False) for x in batch.column(4)]
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), sets):
+            lists = [[x.values.to_numpy(zero_copy_only=False) for x in batch.column(i)] for i in (3, 4, 5)]
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), *lists):
                 if held and held[0][:3] != row[:3]:
-                    if (out := close()) is not None:
+                    if (out := close(held)) is not None:
                         yield out
                     held = []
                 held.append(row)
-        if held and (out := close()) is not None:
+        if held and (out := close(held)) is not None:
             yield out
 
     return run
@@ -180,7 +216,7 @@ def linked_rows(docs: DataFrame, percent: int = PERCENT, work: Workspace | None
     """The same with tk, a hash of the text, which tells rows with one doc_id apart."""
     work = work or Workspace(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tk", F.xxhash64("text"))
-    signed = work.keep(texts.mapInArrow(_sign, SIGNED), "signed")
+    signed = work.keep(texts.mapInArrow(lean(_sign), SIGNED), "signed")
     real = signed.where("n_shingles > 0 and doc_id is not null")
     # One representative for each class of equal sets, with its bands, aggregated before the shuffle.
     # Classes are named by their digest, as a repeated doc_id can stand for several.
@@ -202,22 +238,28 @@ def linked_rows(docs: DataFrame, percent: int = PERCENT, work: Workspace | None
     candidates = work.keep(texts.join(ids.hint("merge"), ["doc_id", "tk"]).select("id", "text"), "candidates")
     left, right = candidates.toDF("a", "text_a"), candidates.toDF("b", "text_b")
     both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "text_a", "text_b")
-    links = work.keep(both.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
+    links = work.keep(both.mapInArrow(lean(_verify(percent)), "a bigint, b bigint"), "links")
 
     groups = components(links, work, "star")
-    labelled = members.join(groups, "id", "left").select("bh", "id", F.coalesce("component", "id").alias("label"))
-    state = labelled.groupBy("bh").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("all")).where("x <> y")
+    labelled = members.join(groups, "id", "left").select("bh", "id", "n", F.coalesce("component", "id").alias("label"))
+    state = labelled.groupBy("bh").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.sum("n").alias("all_n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("all")).where("x <> y")
     # Buckets with the same members need to be looked at once.
-    mixed = work.keep(state.groupBy("m", "all").agg(F.min("bh").alias("bh")).select("bh", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all_n") / BLOCK_SHINGLES)).cast("int")
+    mixed = work.keep(state.groupBy("m", "all_n", "all").agg(F.min("bh").alias("bh")).select("bh", blocks.alias("blocks")), "mixed")
     open_rows = work.keep(labelled.join(mixed, "bh"), "open")
     if not open_rows.isEmpty():
         need = open_rows.select("id").distinct()
-        sets = candidates.join(need.hint("merge"), "id", "left_semi").mapInArrow(_gather, "id bigint, grams array<bigint>")
+        sets = candidates.join(need.hint("merge"), "id", "left_semi").mapInArrow(lean(_gather), "id bigint, grams array<bigint>")
         block = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        tiles = block.select("id", "bh", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        placed = tiles.select("bh", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "label", "id")
-        dealt = placed.hint("merge").join(sets, "id").select("bh", "i", "j", "label", "grams").repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j")
-        more = work.keep(dealt.mapInArrow(_tile(percent), "a bigint, b bigint"), "more")
+        placed = block.hint("merge").join(sets, "id").select("bh", "block", "blocks", "label", "grams")
+        packed = work.keep(placed.repartition("bh", "block").sortWithinPartitions("bh", "block").mapInArrow(lean(_pack), PACKED), "packed")
+        alone = packed.where("blocks = 1").select("bh", F.lit(0).alias("i"), F.lit(0).alias("j"), "labels", "sizes", "grams")
+        others = packed.where("blocks > 1").select("bh", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "labels", "sizes", "grams")
+        tiles = others.select("bh", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "labels", "sizes", "grams")
+        edges = "a bigint, b bigint"
+        more = alone.mapInArrow(lean(_tile(percent)), edges).union(tiles.repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j").mapInArrow(lean(_tile(percent)), edges))
+        more = work.keep(more, "more")
+        work.drop("packed")
         if not more.isEmpty():
             groups = components(links.union(more), work, "all")
     work.drop("candidates")
