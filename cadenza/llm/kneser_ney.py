@@ -191,7 +191,7 @@ def _less(counts: DataFrame, work: Workspace, name: str) -> DataFrame:
     # Discounts that small counts of counts would put out of (0, i) are set inside.
     discount = counts.groupBy("lang").agg(*ones).select("lang", *(F.least(F.greatest(d, F.lit(0.1)), F.lit(i - 0.1)).alias(f"d{i}") for i, d in enumerate(cut, 1)))
     taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    discount = work.keep(discount, name)  # a row for each language
+    discount = work.keep(discount.coalesce(1), name)  # a row for each language
     return counts.join(discount, "lang").withColumn("taken", taken)
 
 
@@ -552,7 +552,7 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-SCORED = "key bigint, s double, z bigint, p double, b double"
+SCORED = "bucket int, data binary, key bigint, z bigint, p double, b double"
 
 
 class _ShardModel:
@@ -600,8 +600,8 @@ class _ShardModel:
         return p, b
 
 
-def _scorer(route: Route, cut: dict[str, list[np.ndarray]], words: dict[int, np.ndarray], pairs: dict[int, np.ndarray]):
-    """Sums of logarithms by document; n-grams that end in a word that isn't known yet with p and b of p + b P(z).
+def _scorer(route: Route, cut: dict[str, list[np.ndarray]], words: dict[int, np.ndarray], pairs: dict[int, np.ndarray], buckets: int):
+    """Sums of logarithms by document, packed by buckets of keys; n-grams that end in a word that isn't known yet with p and b of p + b P(z).
 
     ``cut`` has each model's discounts by order, ``words`` and ``pairs`` the totals of common
     ones. Rows come sorted by shard, model and kind, so a shard's counts are there before
@@ -609,9 +609,18 @@ def _scorer(route: Route, cut: dict[str, list[np.ndarray]], words: dict[int, np.
     added up over the shards of a task.
     """
 
-    def batch_of(keys: np.ndarray, *columns: np.ndarray | None) -> pa.RecordBatch:
-        kinds = (pa.float64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.nulls(len(keys), t) if c is None else pa.array(c) for c, t in zip(columns, kinds))], names=["key", "s", "z", "p", "b"])
+    names, kinds = ["bucket", "data", "key", "z", "p", "b"], (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+
+    def sums(keys: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(edges))
+        data = [pack(keys[at := order[edges[i] : edges[i + 1]]], s[at]) for i in some]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(data, pa.binary()), *(pa.nulls(len(some), t) for t in kinds[2:])], names=names)
+
+    def later(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(columns[0]), t) for t in kinds[:2]), *map(pa.array, columns)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, model, counted, common = None, None, [], []
@@ -640,7 +649,7 @@ def _scorer(route: Route, cut: dict[str, list[np.ndarray]], words: dict[int, np.
                 p += b * np.abs(last)
                 late = np.flatnonzero(last < 0)
                 if len(late):
-                    yield batch_of(keys[doc[late]], None, w[cz[late]].view(np.int64), p[late], b[late])
+                    yield later(keys[doc[late]], w[cz[late]].view(np.int64), p[late], b[late])
                     p[late] = 1.0
                 held.append((keys, np.bincount(doc, np.log(p), len(keys))))
                 size += len(keys)
@@ -648,14 +657,21 @@ def _scorer(route: Route, cut: dict[str, list[np.ndarray]], words: dict[int, np.
                     held = [added()]
                     size = len(held[0][0])
                     if 2 * size > SUMS:
-                        yield batch_of(*held[0], None, None, None)
+                        yield sums(*held[0])
                         held, size = [], 0
         if held:
-            yield batch_of(*added(), None, None, None)
+            yield sums(*added())
 
     return run
 
 
+def _add_up(rows: pa.Table) -> pa.Table:
+    """The sum of each key of a bucket."""
+    parts = [unpack(x) for x in rows["data"].to_pylist()]
+    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return pa.table({"key": keys, "s": np.bincount(where, np.concatenate([s for _, s in parts]), len(keys))})
+
+
 def held_out() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
 
@@ -758,12 +774,15 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shar
         if len(route.words):
             blobs = blobs.union(common.select("lang", "y", "z", "c").mapInArrow(lean(_spread(route, turn, passes)), BLOBS))
         blobs = blobs.repartition("shard").sortWithinPartitions("shard", "lang", "kind")
-        scored = blobs.mapInArrow(lean(_scorer(route, cut, of_words, of_pairs)), SCORED)
+        scored = blobs.mapInArrow(lean(_scorer(route, cut, of_words, of_pairs, max(1, shards // 8))), SCORED)
         if least:  # words beyond the broadcast ones
             scored = work.keep(scored, f"scored-{turn}")
-            late = scored.where("z is not null").join(alphas.where(F.col("c") < least).select("z", "alpha"), "z", "left")
-            scored = scored.where("z is null").select("key", "s").union(late.select("key", F.log(F.col("p") + F.col("b") * F.coalesce("alpha", F.lit(0.0)))))
-        parts.append(work.keep(scored.groupBy("key").agg(F.sum("s").alias("s")), f"part-{turn}"))
+        part = scored.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(_add_up, "key bigint, s double")
+        if least:
+            late = scored.where("bucket is null").join(alphas.where(F.col("c") < least).select("z", "alpha"), "z", "left")
+            late = late.select("key", F.log(F.col("p") + F.col("b") * F.coalesce("alpha", F.lit(0.0))).alias("s"))
+            part = part.union(late).groupBy("key").agg(F.sum("s").alias("s"))
+        parts.append(work.keep(part, f"part-{turn}"))
         if least:
             work.drop(f"scored-{turn}")
     work.drop("common")
@@ -782,7 +801,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shar
     of = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)).alias("t")
     per_trusted = scored.where(held & F.col("good")).groupBy("lang").agg(of)
     limits = scored.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)).alias("any")).join(per_trusted, "lang", "left")
-    limits = work.keep(limits.select("lang", F.coalesce("t", "any").alias("threshold")), "limits")
+    limits = work.keep(limits.select("lang", F.coalesce("t", "any").alias("threshold")).coalesce(1), "limits")
     work.only("scored", "limits")
     kept_row = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
     return scored.join(limits, "lang").select("doc_id", "lang", "perplexity", "threshold", kept_row.alias("kept"))
