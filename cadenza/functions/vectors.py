@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,8 +75,16 @@ def format_rounded(x: Column | str, digits: int = 3) -> Column:
 
 
 def format_vector(v: Column | str) -> Column:
-    """[0.123456,...] with six decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(_double(v), lambda x: F.format_string("%.6f", x)), ","), F.lit("]"))
+    """[0.123456,...] with six decimals, as C's printf gives them.
+
+    The exact value is rounded, half to even; Java's formatter rounds its shortest decimal
+    half up. Null components are left out.
+    """
+
+    def run(vectors: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else "[" + ",".join(["%.6f" % y for y in x if y is not None]) + "]" for x in vectors.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(_double(v))
 
 
 def parse_vector(text: Column | str) -> Column:

@@ -38,6 +38,15 @@ def test_edges(spark):
     assert got.same == 1.0 and got.f == "[0.100000,0.300000,0.700000]"
 
 
+def test_format_vector_rounds_as_printf(spark):
+    """A tie in binary goes to the even digit; one that only the shortest decimal has is none."""
+    values = [-0.0703125, 0.0703125, 0.0234375, 0.1234565, -1e-9, -0.0, 1e15 + 0.3, 1e23]
+    rows = spark.createDataFrame([(1, values), (2, [1.0, None, 2.0]), (3, []), (4, None)], "n int, v array<double>")
+    got = {r.n: r.f for r in rows.select("n", V.format_vector("v").alias("f")).collect()}
+    assert got[1] == "[-0.070312,0.070312,0.023438,0.123456,-0.000000,-0.000000,1000000000000000.250000,99999999999999991611392.000000]"
+    assert (got[2], got[3], got[4]) == ("[1.000000,2.000000]", "[]", None)
+
+
 def test_mean_and_centroid(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 3.0]), ("a", None), ("b", None)], "k string, embedding array<double>")
     assert {r.k: r.embedding for r in V.vector_mean(rows, ["k"], "embedding").collect()} == {"a": [0.5, 1.5]}
