@@ -17,6 +17,8 @@ from cadenza.session import ship
 from cadenza.sources.work import drop, keep
 
 CHAIN, BATCH, STREAK = 40, 3, 3
+#: Solo tracks that may stand for an artist, and how many of an artist's a draw of them sorts on average.
+SOLOS, DRAWN = 3, 32
 ROW = "query string, pos int, uri string, name string, artists array<string>, similarity double, sim_source string"
 
 
@@ -66,10 +68,11 @@ def chain_walk(tracks: DataFrame, seeds: DataFrame, limit: int = CHAIN, batch: i
 
     At most limit - 1 tracks of a chain are excluded when it is extended, so the nearest
     limit - 1 + batch tracks of the last one hold its next batch. Each step searches for
-    the last elements of all chains together and keeps only the next batch of each.
+    the last elements of all chains together and keeps only the next batch of each. The
+    embedded tracks are written once, so that steps don't make the track table again.
     """
     spark = tracks.sparkSession
-    embedded = tracks.where("embedding is not null").select("uri", "embedding")
+    embedded = keep(spark, tracks.where("embedding is not null").select("uri", "embedding"))
     state = keep(spark, seeds.select("query", F.col("query").alias("last"), F.array().cast("array<struct<uri: string, similarity: double>>").alias("chain")))
     for step in range(-(-limit // batch) + limit):  # short batches make more steps
         ends = state.select(F.col("last").alias("uri")).distinct().join(embedded, "uri").select(F.col("uri").alias("query"), F.col("embedding").alias("vector"))
@@ -82,6 +85,7 @@ def chain_walk(tracks: DataFrame, seeds: DataFrame, limit: int = CHAIN, batch: i
         drop(before)
         if state.where(F.col("last").isNotNull() & (F.size("chain") < limit)).isEmpty():
             break
+    drop(embedded)
     return state.select("query", F.posexplode("chain").alias("i", "c")).select("query", (F.col("i") + 1).cast("int").alias("pos"), "c.uri", "c.similarity")
 
 
@@ -134,14 +138,34 @@ def weave(rows: list[dict], solos: dict[str, list[dict]], draws: dict[str, float
     return out
 
 
+def draw_solos(rows: DataFrame, tracks: DataFrame, seed: int = 0) -> DataFrame:
+    """query, artist, n, uri, name, artists: three solo tracks of each artist of a query's rows, the first by hash.
+
+    Every pair of a query and a solo track of its artists is hashed, but of an artist's m
+    tracks only those with a hash below ``DRAWN`` / m are written and sorted. A pair of query
+    and artist that finds less than it needs there is drawn from all tracks of the artist.
+    """
+    spark = rows.sparkSession
+    solo = tracks.where(F.size("artists") == 1).select(F.col("artists")[0].alias("artist"), "uri", "name", "artists")
+    wanted = rows.select("query", F.explode("artists").alias("artist")).distinct()
+    asked = keep(spark, wanted.join(solo.groupBy("artist").agg(F.count("*").alias("m")), "artist"))
+    # Dealt by uri: a track table in a few files would otherwise be hashed by a few tasks.
+    pairs = solo.repartition(spark.sparkContext.defaultParallelism, "uri")
+    drawn = hash_uniform(F.col("uri"), F.col("query"), F.lit(seed))
+    low = keep(spark, pairs.join(asked, "artist").where(drawn < DRAWN / F.col("m")).drop("m"))
+    found = low.groupBy("query", "artist").agg(F.count("*").alias("found"))
+    short = asked.join(found, ["query", "artist"], "left").where(F.coalesce("found", F.lit(0)) < F.least("m", F.lit(SOLOS))).select("query", "artist")
+    if not short.isEmpty():
+        low = low.join(short, ["query", "artist"], "left_anti").unionByName(pairs.join(short, "artist").select(*low.columns))
+    order = Window.partitionBy("query", "artist").orderBy(drawn, "uri")
+    return low.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SOLOS).select("query", "artist", "n", "uri", "name", "artists")
+
+
 def interleave(rows: DataFrame, tracks: DataFrame, seed: int = 0) -> DataFrame:
     """``weave`` for the list of each query; at most three solo tracks per artist are joined beforehand."""
     ship(rows.sparkSession)
-    wanted = rows.select("query", F.explode("artists").alias("artist")).distinct()
-    solo = tracks.where(F.size("artists") == 1).select(F.col("artists")[0].alias("artist"), "uri", "name", "artists")
-    hit = wanted.join(solo, "artist")
-    order = Window.partitionBy("query", "artist").orderBy(hash_uniform(F.col("uri"), F.col("query"), F.lit(seed)), "uri")
-    few = hit.withColumn("n", F.row_number().over(order)).where("n <= 3")
+    rows = keep(rows.sparkSession, rows)
+    few = draw_solos(rows, tracks, seed)
     left = rows.select("query", F.lit(0).alias("kind"), F.col("pos").cast("int").alias("pos"), F.lit(None).cast("string").alias("artist"), "uri", "name", "artists", "similarity", "sim_source", hash_uniform(F.lit("n"), F.col("uri"), F.col("query"), F.lit(seed)).alias("draw"))
     right = few.select("query", F.lit(1), F.col("n"), "artist", "uri", "name", "artists", F.lit(1.0), F.lit("solo"), F.lit(0.0))
 
@@ -161,12 +185,13 @@ def interleave(rows: DataFrame, tracks: DataFrame, seed: int = 0) -> DataFrame:
 
 def merged(tracks: DataFrame, queries: DataFrame, floor: float = FLOOR, limit: int = CHAIN) -> DataFrame:
     """Chain, similar artists, similar albums and related tracks of each query, first wins, by similarity."""
-    seeds = tracks.where("embedding is not null").join(queries.select(F.col("query").alias("uri")), "uri").select(F.col("uri").alias("query"), F.col("embedding").alias("vector"))
+    embedded = keep(tracks.sparkSession, tracks.where("embedding is not null"))
+    seeds = embedded.join(queries.select(F.col("query").alias("uri")), "uri").select(F.col("uri").alias("query"), F.col("embedding").alias("vector"))
     parts = [
-        ("chain", chain_walk(tracks, queries, limit, BATCH, floor)),
-        ("artists", similar_groups(tracks, queries, "artists", 30, "literal", floor)),
-        ("album", similar_groups(tracks, queries, "album", 30, "literal", floor)),
-        ("related", top_k(tracks, seeds, 20, floor)),
+        ("chain", chain_walk(embedded, queries, limit, BATCH, floor)),
+        ("artists", similar_groups(embedded, queries, "artists", 30, "literal", floor)),
+        ("album", similar_groups(embedded, queries, "album", 30, "literal", floor)),
+        ("related", top_k(embedded, seeds, 20, floor)),
     ]
     every = None
     for i, (name, part) in enumerate(parts):
@@ -180,7 +205,7 @@ def merged(tracks: DataFrame, queries: DataFrame, floor: float = FLOOR, limit: i
 
 def similar_tracks(tracks: DataFrame, queries: DataFrame, skipped_songs: DataFrame, skipped_artists: DataFrame, floor: float = FLOOR, seed: int = 0, limit: int = CHAIN) -> DataFrame:
     """query, pos, uri, name, artists, similarity, sim_source: the whole playlist (CMP-7)."""
-    woven = interleave(merged(tracks, queries, floor, limit), tracks, seed)
+    woven = keep(tracks.sparkSession, interleave(merged(tracks, queries, floor, limit), tracks, seed))
     counted = streaks(woven)
     kept = soft_skip(counted, skipped_artists, seed).where(F.col("streak") <= STREAK).drop("streak")
     free = without_skipped_songs(first_wins(kept), skipped_songs)

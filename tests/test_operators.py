@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.functions.vectors import hash_number
 from cadenza.operators import feedback, ingest, playlist, profile, rerank, similarity
 from cadenza.sources import sinks
 
@@ -159,6 +160,34 @@ def test_weave():
     assert out == ["x", "s1", "y", "s4", "z"]
 
 
+@pytest.mark.parametrize("drawn", [32, 2, 0])
+def test_draw_solos(spark, monkeypatch, drawn):
+    """The three smallest hashes of all pairs, however few of them the first cut leaves."""
+    monkeypatch.setattr(playlist, "DRAWN", drawn)
+    library = [(f"u{i}", f"n{i}", [f"a{i % 3}"], "b", None) for i in range(300)] + [("s", "n", ["few"], "b", None), ("d", "n", ["a0", "a1"], "b", None)]
+    rows = spark.createDataFrame([(q, a) for q in ("q1", "q2") for a in (["a0", "few"], ["a0"], ["none", "a2"])], "query string, artists array<string>")
+    got = playlist.draw_solos(rows, spark.createDataFrame(library, TRACK), 4).collect()
+    want = set()
+    for q in ("q1", "q2"):
+        for a in ("a0", "a2", "few"):
+            own = sorted((hash_number(u, q, 4), u) for u, _, artists, _, _ in library if artists == [a])[:3]
+            want |= {(q, a, n, u) for n, (_, u) in enumerate(own, 1)}
+    assert len(got) == len(want) and {(r.query, r.artist, r.n, r.uri) for r in got} == want
+
+
+def test_lists_are_made_once(spark, tracks):
+    """The lists that are woven are made once, not by each of their readers."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(artists):
+        made.add(1)
+        return artists
+
+    rows = [("q", i, f"t{i:02}", f"n{i}", [f"a{i % 4}"], 0.5, "related") for i in range(1, 6)]
+    counted = spark.createDataFrame(rows, playlist.ROW).withColumn("artists", F.udf(count, "array<string>")("artists"))
+    assert playlist.interleave(counted, tracks, 1).count() >= 5 and made.value == 5
+
+
 def test_playlist(spark, tracks):
     none = spark.createDataFrame([], "uri string")
     nobody = spark.createDataFrame([], "name string")
