@@ -62,8 +62,10 @@ QUANTILE = 0.98
 SHARED = "*"
 #: Spelling models that a worker holds.
 LOADED = 8
-#: Bytes of text for each shard of n-grams, turns in which the shards are taken, and n-grams that a worker packs together.
-SHARD, PASSES, PACKED = 8 << 20, 6, 500_000
+#: Bytes of trusted text for each shard of n-grams, turns in which the shards are taken, and n-grams that a worker packs together.
+SHARD, PASSES, PACKED = 8 << 20, 4, 1_000_000
+#: Shards that small corpora have at most, and how many times ``SHARD`` of any text a shard may have.
+SPREAD, STREAMED = 48, 8
 #: Words whose continuation counts are broadcast, 12 bytes each; ids of trusted documents that are.
 KNOWN, BROADCAST_IDS = 4_000_000, 4_000_000
 #: Common words are sought in one of so many documents.
@@ -111,7 +113,7 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     joined = np.zeros(len(data) + 1, bool)  # the byte goes on with the word of the byte before
     joined[1:-1] = word[1:] & word[:-1]
     joined[offs] = False
-    some = _SYMBOL[data] != 0
+    some = data > 0x20  # the bytes that aren't symbol 0
     starts = np.flatnonzero(some & ~joined[:-1])
     return starts, np.flatnonzero(some & ~joined[1:]) + 1, np.searchsorted(starts, offs)
 
@@ -396,11 +398,17 @@ def _dealer(route: Route, turn: int, turns: int, shared: bool, model_of, spell:
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
-            for (kind, name), parts in held.items():
-                columns = [np.concatenate(c) for c in zip(*parts)]
+            while held:
+                (kind, name), parts = held.popitem()
+                columns = list(zip(*parts))
+                del parts
+                for i, c in enumerate(columns):  # one column is there twice at a time
+                    columns[i] = np.concatenate(c)
                 shard = _narrow(route(*columns[:3]))
                 order = np.argsort(shard, kind="stable")  # in linear time if there are 2^16 shards at most
-                shard, columns = shard[order], [c[order] for c in columns]
+                shard = shard[order]
+                for i, c in enumerate(columns):
+                    columns[i] = c[order]
                 edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
                 for lo, hi in zip(edges, edges[1:]):
                     x, y, z, *more = (c[lo:hi] for c in columns)
@@ -418,7 +426,6 @@ def _dealer(route: Route, turn: int, turns: int, shared: bool, model_of, spell:
                     if sum(len(r[3]) for r in rows) > SENT:
                         yield _blobs(rows)
                         rows = []
-            held.clear()
             if rows:
                 yield _blobs(rows)
 
@@ -672,6 +679,16 @@ def _add_up(rows: pa.Table) -> pa.Table:
     return pa.table({"key": keys, "s": np.bincount(where, np.concatenate([s for _, s in parts]), len(keys))})
 
 
+def shards_of(size: int, trusted: int, shard: int) -> int:
+    """The number of shards for so many bytes of text.
+
+    A shard holds the counts of its trusted n-grams, but documents' n-grams pass through it.
+    So trusted text, of which a shard takes ``shard`` bytes, makes many shards, other text
+    few: the packed n-grams of a worker are cut by shards, and small cuts pack worse.
+    """
+    return max(1, min(-(-size // shard), SPREAD), -(-trusted // shard), -(-size // (STREAMED * shard)))
+
+
 def held_out() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
 
@@ -700,7 +717,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shar
     if not few:
         marked = work.keep(marked, "marked")
     is_good, is_held = F.when(F.col("good"), 1), F.when(F.col("good") & held_out(), 1)
-    per_lang = marked.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"), F.count(is_good).alias("n"), F.count(is_held).alias("out")).collect()
+    per_lang = marked.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"), F.count(is_good).alias("n"), F.sum(F.when(F.col("good"), F.octet_length("text"))).alias("trusted"), F.count(is_held).alias("out")).collect()
     own = {r.lang for r in per_lang if r.n}
     held = held_out() & F.col("lang").isin([r.lang for r in per_lang if r.n >= LEAST and 0 < r.out < r.n])
     shared = bool(own) and len(own) < len(per_lang)
@@ -714,7 +731,8 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shar
     table = work.keep(estimate(symbols, work), "model")
     spell = _spelling(table, sorted(f"={x}" for x in own) + [SHARED] * shared, work.root)
 
-    shards = max(1, -(-sum(r.size or 0 for r in per_lang) // shard))
+    size = sum(r.size or 0 for r in per_lang)
+    shards = shards_of(size, sum(r.trusted or 0 for r in per_lang), shard)
     passes = max(1, min(passes, shards // 4))  # a turn of a few shards costs more than the disk that it saves
     route = _routed(marked, shards, sample, model_of, work)
     rows = marked.select("lang", "text", train.alias("train"), "key")
@@ -774,7 +792,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shar
         if len(route.words):
             blobs = blobs.union(common.select("lang", "y", "z", "c").mapInArrow(lean(_spread(route, turn, passes)), BLOBS))
         blobs = blobs.repartition("shard").sortWithinPartitions("shard", "lang", "kind")
-        scored = blobs.mapInArrow(lean(_scorer(route, cut, of_words, of_pairs, max(1, shards // 8))), SCORED)
+        scored = blobs.mapInArrow(lean(_scorer(route, cut, of_words, of_pairs, max(1, size // (8 * shard)))), SCORED)
         if least:  # words beyond the broadcast ones
             scored = work.keep(scored, f"scored-{turn}")
         part = scored.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(_add_up, "key bigint, s double")
@@ -793,8 +811,8 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shar
     if not few:
         work.drop("marked")
     summed = functools.reduce(DataFrame.union, parts).groupBy("key").agg(F.sum("s").alias("s"))
-    size = rows.groupBy("key").agg(F.sum("symbols").alias("n")).where("n > 0")
-    each = work.keep(summed.join(size, "key").select("key", F.exp(-F.col("s") / F.col("n")).alias("perplexity")), "each")
+    length = rows.groupBy("key").agg(F.sum("symbols").alias("n")).where("n > 0")
+    each = work.keep(summed.join(length, "key").select("key", F.exp(-F.col("s") / F.col("n")).alias("perplexity")), "each")
     for turn in range(passes):
         work.drop(f"part-{turn}")
     scored = work.keep(rows.join(each, "key", "left").select("doc_id", "lang", "good", "perplexity"), "scored")
