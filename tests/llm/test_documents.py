@@ -362,6 +362,14 @@ def test_shards_turns_and_common_words_change_nothing(spark):
     assert plain == by(shard=2500, passes=1, known=0, sample=1)
 
 
+def test_shards_follow_the_trusted_text():
+    """Shards that only stream text are few, so that packs of n-grams aren't cut too small; none counts too much."""
+    of = lambda size, trusted: kneser_ney.shards_of(size, trusted, 8)
+    assert of(0, 0) == 1 and of(80, 8) == 10 and of(800, 80) == kneser_ney.SPREAD
+    assert of(8000, 800) == 8000 // (8 * kneser_ney.STREAMED) == 125
+    assert of(8000, 8000) == 1000
+
+
 def test_packed_arrays():
     columns = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.zeros(0, np.uint16), np.array([1.5, -2.0], np.float32)]
     back = kneser_ney.unpack(kneser_ney.pack(*columns))
