@@ -153,6 +153,13 @@ ALNUM = (
 #: A-Z to a-z, other bytes unchanged.
 FOLD = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 
+
+
+def alnum(data: np.ndarray) -> np.ndarray:
+    """``ALNUM[data]`` by comparisons, which are faster than a look-up of each byte."""
+    return ((data | np.uint8(0x20)) - np.uint8(0x61) < 26) | (data - np.uint8(0x30) < 10) | (data >= 0x80)
+
+
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: The first 0 to 8 bytes of a little-endian number.
@@ -225,7 +232,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     if not len(starts):
         return np.zeros(0, np.uint64)
     padded = np.zeros(len(data) + 8, np.uint8)
-    padded[:-8] = FOLD[data] if fold else data
+    padded[:-8] = data
+    if fold:
+        padded[:-8] += (data - np.uint8(0x41) < 26).view(np.uint8) << np.uint8(5)  # FOLD[data], without a look-up of each byte
     eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
     lens = ends - starts
     out = eight[starts]

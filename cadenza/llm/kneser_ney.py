@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ALNUM, FOLD, Workspace, lean, mix, resident, slices, word_hashes
+from cadenza.llm.common import FOLD, Workspace, alnum, lean, mix, resident, slices, word_hashes
 
 ORDER, SYMBOLS = 4, 48
 QUANTILE = 0.98
@@ -76,7 +76,7 @@ HELD, LEAST = 8, 20
 
 def _symbol_table() -> np.ndarray:
     """Symbol of each byte: 0 space, 1 digit, 2-27 letters, 28-33 punctuation, 34-47 the rest."""
-    out = np.zeros(256, np.int64)
+    out = np.zeros(256, np.int32)
     marks = {ord(c): 28 + i for i, group in enumerate((".", ",", "'\"", ";:", "!?")) for c in group}
     for byte in range(256):
         low = int(FOLD[byte])
@@ -96,20 +96,26 @@ _SYMBOL = _symbol_table()
 
 def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code of the n-gram that ends at each byte (spaces before the text), and the rows' offsets."""
-    size = np.diff(offs)
-    pad = ORDER - 1
-    place = np.arange(len(data)) + np.repeat((np.arange(len(size)) + 1) * pad, size)
-    wide = np.zeros(len(data) + pad * (len(size) + 1), np.int64)
-    wide[place] = _SYMBOL[data]
-    code = np.zeros(len(data), np.int64)
-    for j in range(ORDER):
-        code = code * SYMBOLS + wide[place - pad + j]
-    return code, offs
+    heads = offs[:-1][offs[:-1] < len(data)]
+    symbols = _SYMBOL[data]
+    code, before = symbols.copy(), symbols
+    for j in range(1, ORDER):
+        before = _before(before, heads, 0)
+        code += before * np.int32(SYMBOLS**j)
+    return code.astype(np.int64), offs
+
+
+def _before(values: np.ndarray, heads: np.ndarray, pad) -> np.ndarray:
+    """The value before each one; ``pad`` at the heads of rows."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[heads] = pad
+    return out
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the index of each row's first word (one more at the end)."""
-    word = ALNUM[data]
+    word = alnum(data)
     joined = np.zeros(len(data) + 1, bool)  # the byte goes on with the word of the byte before
     joined[1:-1] = word[1:] & word[:-1]
     joined[offs] = False
@@ -131,11 +137,9 @@ def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np
     """The hashes x, y, z of each word z and the two before it; they differ between models."""
     salt = np.frombuffer(hashlib.blake2b(model.encode(), digest_size=8).digest(), np.uint64)
     z = mix(word_hashes(data, starts, ends, fold=True) ^ salt)
-    size = np.diff(first)
-    place = np.arange(len(z)) + np.repeat((np.arange(len(size)) + 1) * 2, size)
-    wide = np.repeat(mix(salt), len(z) + 2 * len(size))
-    wide[place] = z
-    return wide[place - 2], wide[place - 1], z
+    heads, pad = first[:-1][np.diff(first) > 0], mix(salt)
+    y = _before(z, heads, pad)
+    return _before(y, heads, pad), y, z
 
 
 def key(*words: np.ndarray) -> np.ndarray:
@@ -276,7 +280,9 @@ def _spelling(table: DataFrame, names: list[str], run: str):
 
     def spell(name: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct words, the log probabilities of their spellings, and where each word of z is among them."""
-        words, at, where = np.unique(z, return_index=True, return_inverse=True)
+        words, (where,) = _coded(z)
+        at = np.empty(len(words), np.int64)
+        at[where] = np.arange(len(z))  # any place of a word will do
         code, offs = grams(*spelt(data, starts[at], ends[at]))
         return words, np.add.reduceat(log_p(name)[code].astype(np.float64), offs[:-1]), where
 
@@ -349,7 +355,8 @@ class Route:
         return np.where(self.words[at] == words, at, -1)
 
     def first(self, y: np.ndarray) -> np.ndarray:
-        return (mix(y ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(self.shards)).astype(np.int64)
+        # Words are hashes: their last 32 bits, as a share of the shards.
+        return ((y & np.uint64(0xFFFFFFFF)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
 
     def __call__(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
         out, number = self.first(y), self.common(y)
@@ -389,6 +396,7 @@ def _dealer(route: Route, turn: int, turns: int, shared: bool, model_of, spell:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, str], list[tuple]] = {}
+        taken = np.arange(route.shards) % turns == turn
         size = 0
 
         def take(kind: int, name: str, x: np.ndarray, y: np.ndarray, z: np.ndarray, *more: np.ndarray) -> int:
@@ -436,13 +444,14 @@ def _dealer(route: Route, turn: int, turns: int, shared: bool, model_of, spell:
             for lang, rows, data, offs, (starts, ends, first) in _by_model(batch.column(0), batch.column(1), lambda x: x):
                 if not len(starts):
                     continue
-                row = np.repeat(rows, np.diff(first))
+                words_in, trained = np.diff(first), train[rows]
+                row = np.repeat(rows, words_in) if spell is not None else None
                 asks = model_of(lang)
-                for name in dict.fromkeys([asks] * (spell is not None) + _models(lang, shared) * bool(counted and train[rows].any())):
+                for name in dict.fromkeys([asks] * (spell is not None) + _models(lang, shared) * bool(counted and trained.any())):
                     x, y, z = word_grams(data, starts, ends, first, name)
-                    mine = route(x, y, z) % turns == turn
-                    if counted and name in _models(lang, shared):
-                        some = mine & train[row]
+                    mine = taken[route(x, y, z)]
+                    if counted and trained.any() and name in _models(lang, shared):
+                        some = np.flatnonzero(mine & np.repeat(trained, words_in))
                         size += take(COUNTED, name, x[some], y[some], z[some])
                     if spell is not None and name == asks:
                         some = np.flatnonzero(mine)
@@ -551,6 +560,34 @@ def cuts(often: list[int]) -> np.ndarray:
     return np.array([min(max(i - (i + 1) * y * often[i] / max(often[i - 1], 1), 0.1), i - 0.1) for i in (1, 2, 3)])
 
 
+class Places:
+    """Places of wanted keys in sorted keys, as ``_find`` gives them.
+
+    Keys are hashes, so their first bits tell about where each stands and a step or two
+    are left; halving an interval takes many steps, each of them far from the one before.
+    """
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.append(keys, np.iinfo(np.int64).max)
+        bits = max(1, len(keys).bit_length() - 1)
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(self._top(keys), np.arange(1 << bits)).astype(np.int32)
+
+    def _top(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift).view(np.int64)
+
+    def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.keys) - 1
+        if not n:
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = self.start[self._top(wanted)]
+        low = np.flatnonzero(self.keys[at] < wanted)
+        while len(low):
+            at[low] += 1
+            low = low[self.keys[at[low]] < wanted[low]]
+        return np.minimum(at, n - 1), (self.keys[at] == wanted) & (at < n)
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each wanted key in the sorted keys, and whether it is there."""
     if not len(keys):
@@ -569,12 +606,14 @@ class _ShardModel:
         d = [np.append(0.0, x) for x in cut]
         less = lambda order, c: d[order - 1][np.minimum(c, 3)]
         spare = lambda order, t: t[:, 1:] @ d[order - 1][1:] / t[:, 0]
-        self.k3, x, y, z, c3 = _trigrams(counted)
+        k3, x, y, z, c3 = _trigrams(counted)
+        self.find3 = Places(k3)
         context = key(x, y)
-        self.contexts, t3 = _totals(context, c3)
-        for i in np.flatnonzero(np.isin(self.contexts, route.pairs)):
-            t3[i] = pairs[int(self.contexts[i])]
-        self.a3 = (c3 - less(3, c3)) / t3[np.searchsorted(self.contexts, context), 0]
+        contexts, t3 = _totals(context, c3)
+        self.find_context = Places(contexts)
+        for i in np.flatnonzero(np.isin(contexts, route.pairs)):
+            t3[i] = pairs[int(contexts[i])]
+        self.a3 = (c3 - less(3, c3)) / t3[np.searchsorted(contexts, context), 0]
         self.g3 = spare(3, t3)
         usual = np.flatnonzero(route.common(y) < 0)
         k2, at, where = np.unique(key(y, z)[usual], return_index=True, return_inverse=True)
@@ -582,7 +621,7 @@ class _ShardModel:
         for by, bz, bc in common:
             k2, y2, c2 = np.append(k2, key(by.view(np.uint64), bz.view(np.uint64))), np.append(y2, by), np.append(c2, bc)
         order = np.argsort(k2)
-        self.k2, y2, c2 = k2[order], y2[order], c2[order]
+        self.find2, y2, c2 = Places(k2[order]), y2[order], c2[order]
         self.k1, t2 = _totals(y2, c2)
         for i in np.flatnonzero(route.common(self.k1.view(np.uint64)) >= 0):
             t2[i] = words[int(self.k1[i])]
@@ -596,12 +635,12 @@ class _ShardModel:
         some = np.flatnonzero(seen1[cy])  # those whose middle is in the model
         if len(some):
             x, y, z = w[cx[some]], w[cy[some]], w[cz[some]]
-            at, seen = _find(self.k2, key(y, z))
+            at, seen = self.find2(key(y, z))
             lower, rest = np.where(seen, self.a2[at], 0.0), self.g2[at1[cy[some]]]
-            at, after = _find(self.contexts, key(x, y))
+            at, after = self.find_context(key(x, y))
             gamma = np.where(after, self.g3[at], 1.0) if len(self.g3) else np.ones(len(some))
             high, both = np.zeros(len(some)), np.flatnonzero(seen & after)
-            at, seen = _find(self.k3, key(x[both], y[both], z[both]))
+            at, seen = self.find3(key(x[both], y[both], z[both]))
             high[both[seen]] = self.a3[at[seen]]
             p[some], b[some] = high + gamma * lower, gamma * rest
         return p, b
@@ -630,6 +669,7 @@ def _scorer(route: Route, cut: dict[str, list[np.ndarray]], words: dict[int, np.
         return pa.RecordBatch.from_arrays([*(pa.nulls(len(columns[0]), t) for t in kinds[:2]), *map(pa.array, columns)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("sums:", dict)  # so that a worker doesn't hold spelling models beside a shard's
         here, model, counted, common = None, None, [], []
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0

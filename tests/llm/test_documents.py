@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 sys.path.insert(0, str(Path(__file__).parent))
 import helpers as H
 
-from cadenza.llm import byte_bpe, decontaminate, kneser_ney, license_scan, minmax_dedup, substring_dedup, token_counts, toxicity_crf
+from cadenza.llm import byte_bpe, common, decontaminate, kneser_ney, license_scan, minmax_dedup, substring_dedup, token_counts, toxicity_crf
 
 
 @pytest.fixture(scope="module")
@@ -386,6 +386,26 @@ def test_each_language_has_its_own_model(spark):
     assert len(got) == 42 and [got[i] for i in range(40)] == pytest.approx([got[0]] * 40) and got[50] == pytest.approx(got[51])
 
 
+def test_kneser_ney_places():
+    """Keys are found where halving finds them, and bytes are classed and folded as the tables say."""
+    rng = np.random.default_rng(3)
+    ends = np.array([-(2**63), 2**63 - 1])
+    for n in (0, 1, 2, 1000):
+        for low, high in ((-(2**63), 2**63 - 1), (5, 5 + 4 * n + 1)):  # spread, and all in one place
+            keys = np.unique(rng.integers(low, high, n))
+            wanted = np.concatenate([keys, rng.integers(low, high, 500), ends])
+            at, seen = kneser_ney.Places(keys)(wanted)
+            assert (seen == np.isin(wanted, keys)).all() and (keys[at[seen]] == wanted[seen]).all()
+            assert (at < max(1, n)).all()
+    every = np.arange(256, dtype=np.uint8)
+    assert (common.alnum(every) == common.ALNUM).all()
+    assert (common.word_hashes(every, every[:-1].astype(int), every[1:].astype(int), True) == common.word_hashes(common.FOLD[every], every[:-1].astype(int), every[1:].astype(int), False)).all()
+    # A row doesn't see the one before it, however short they are.
+    data, offs = np.frombuffer(b"ab cdef ", np.uint8), np.array([0, 0, 1, 2, 8, 8])
+    alone = [kneser_ney.grams(data[a:b], np.array([0, b - a]))[0] for a, b in zip(offs, offs[1:])]
+    assert (kneser_ney.grams(data, offs)[0] == np.concatenate(alone)).all()
+
+
 def kneser_ney_words(text):
     import re
 
