@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import FOLD, Workspace, alnum, lean, mix, resident, slices, word_hashes
+from cadenza.llm.common import FOLD, Workspace, alnum, lean, mix, resident, slices, trim, word_hashes
 
 ORDER, SYMBOLS = 4, 48
 QUANTILE = 0.98
@@ -96,13 +96,17 @@ _SYMBOL = _symbol_table()
 
 def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code of the n-gram that ends at each byte (spaces before the text), and the rows' offsets."""
+    return _codes(data, offs).astype(np.int64), offs
+
+
+def _codes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     heads = offs[:-1][offs[:-1] < len(data)]
     symbols = _SYMBOL[data]
     code, before = symbols.copy(), symbols
     for j in range(1, ORDER):
         before = _before(before, heads, 0)
         code += before * np.int32(SYMBOLS**j)
-    return code.astype(np.int64), offs
+    return code
 
 
 def _before(values: np.ndarray, heads: np.ndarray, pad) -> np.ndarray:
@@ -181,7 +185,7 @@ def _symbols(shared: bool):
             for own, parts in itertools.groupby(_by_model(batch.column(0), batch.column(1), lambda x: x), lambda x: x[0]):
                 counts = np.zeros(SYMBOLS**ORDER, np.int32)
                 for _, _, data, offs, (starts, ends, _) in parts:
-                    counts += np.bincount(grams(*spelt(data, starts, ends))[0], minlength=len(counts)).astype(np.int32)
+                    np.add.at(counts, grams(*spelt(data, starts, ends))[0], np.int32(1))
                 code = np.flatnonzero(counts)
                 for model in _models(own, shared):
                     yield pa.RecordBatch.from_arrays([pa.array([model] * len(code), pa.string()), pa.array(code), pa.array(counts[code].astype(np.int64))], names=["lang", "code", "c"])
@@ -249,6 +253,24 @@ def assemble(n: np.ndarray, code: np.ndarray, alpha: np.ndarray, gamma: np.ndarr
     return below
 
 
+def compact(log_p: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``log_p`` as the rows that differ, one after the other, and what to add to a code for its place in them, by context.
+
+    A context that isn't among the model's ``contexts`` has the row of all such contexts with
+    its last symbols. A model has seen few of the contexts that there could be.
+    """
+    rows = log_p.reshape(-1, SYMBOLS)
+    of = np.arange(len(rows))
+    other = np.ones(len(rows), bool)
+    other[contexts] = False
+    other = np.flatnonzero(other)
+    one = np.empty(len(rows) // SYMBOLS, np.int64)
+    one[other % len(one)] = other
+    of[other] = one[other % len(one)]
+    kept, where = np.unique(of, return_inverse=True)
+    return rows[kept].reshape(-1), ((where - np.arange(len(rows))) * SYMBOLS).astype(np.int32)
+
+
 def _spelling(table: DataFrame, names: list[str], run: str):
     """The function that gives a language's log probabilities of symbol n-grams, on any worker."""
     spark, held = table.sparkSession, {}
@@ -267,7 +289,7 @@ def _spelling(table: DataFrame, names: list[str], run: str):
             held[x] = spark.sparkContext.broadcast([part[0].astype(np.int8), part[1].astype(np.int32), part[2].astype(np.float32), part[3].astype(np.float32)])
         some = []
 
-    def log_p(name: str) -> np.ndarray:
+    def model(name: str) -> tuple[np.ndarray, np.ndarray]:
         tables = resident("spelling:", dict)
         if (run, name) not in tables:
             own = [k for k in tables if k[0] == run]
@@ -275,7 +297,8 @@ def _spelling(table: DataFrame, names: list[str], run: str):
                 del tables[old]
             none = np.zeros(0)
             n, code, alpha, gamma = held[name].value if name in held else (none, none.astype(int), none, none)
-            tables[run, name] = assemble(n, code, alpha, gamma)
+            tables[run, name] = compact(assemble(n, code, alpha, gamma), code[(n == ORDER) & ~np.isnan(gamma)])
+            trim()  # the whole table is ten times as large
         return tables[run, name]
 
     def spell(name: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,8 +306,11 @@ def _spelling(table: DataFrame, names: list[str], run: str):
         words, (where,) = _coded(z)
         at = np.empty(len(words), np.int64)
         at[where] = np.arange(len(z))  # any place of a word will do
-        code, offs = grams(*spelt(data, starts[at], ends[at]))
-        return words, np.add.reduceat(log_p(name)[code].astype(np.float64), offs[:-1]), where
+        letters, offs = spelt(data, starts[at], ends[at])
+        log_p, shift = model(name)
+        code = _codes(letters, offs)
+        code += shift[code // np.int32(SYMBOLS)]
+        return words, np.add.reduceat(log_p[code].astype(np.float64), offs[:-1]), where
 
     return spell
 
@@ -399,10 +425,10 @@ def _dealer(route: Route, turn: int, turns: int, shared: bool, model_of, spell:
         taken = np.arange(route.shards) % turns == turn
         size = 0
 
-        def take(kind: int, name: str, x: np.ndarray, y: np.ndarray, z: np.ndarray, *more: np.ndarray) -> int:
-            if len(z):
-                held.setdefault((kind, name), []).append((x, y, z, *more))
-            return len(z)
+        def take(kind: int, name: str, *columns: np.ndarray) -> int:
+            if len(columns[0]):
+                held.setdefault((kind, name), []).append(columns)
+            return len(columns[0])
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
@@ -410,16 +436,16 @@ def _dealer(route: Route, turn: int, turns: int, shared: bool, model_of, spell:
                 (kind, name), parts = held.popitem()
                 columns = list(zip(*parts))
                 del parts
+                order = np.argsort(np.concatenate(columns[0]), kind="stable")  # in linear time if there are 2^16 shards at most
                 for i, c in enumerate(columns):  # one column is there twice at a time
                     columns[i] = np.concatenate(c)
-                shard = _narrow(route(*columns[:3]))
-                order = np.argsort(shard, kind="stable")  # in linear time if there are 2^16 shards at most
-                shard = shard[order]
-                for i, c in enumerate(columns):
-                    columns[i] = c[order]
+                    del c
+                    columns[i] = columns[i][order]
+                del order
+                shard = columns[0]
                 edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
                 for lo, hi in zip(edges, edges[1:]):
-                    x, y, z, *more = (c[lo:hi] for c in columns)
+                    x, y, z, *more = (c[lo:hi] for c in columns[1:])
                     words, codes = _coded(y, x, z)
                     if kind == COUNTED:
                         codes, counts = _summed(codes[::-1], np.ones(hi - lo, np.int64))
@@ -449,10 +475,11 @@ def _dealer(route: Route, turn: int, turns: int, shared: bool, model_of, spell:
                 asks = model_of(lang)
                 for name in dict.fromkeys([asks] * (spell is not None) + _models(lang, shared) * bool(counted and trained.any())):
                     x, y, z = word_grams(data, starts, ends, first, name)
-                    mine = taken[route(x, y, z)]
+                    shard = route(x, y, z)
+                    mine, shard = taken[shard], _narrow(shard)
                     if counted and trained.any() and name in _models(lang, shared):
                         some = np.flatnonzero(mine & np.repeat(trained, words_in))
-                        size += take(COUNTED, name, x[some], y[some], z[some])
+                        size += take(COUNTED, name, shard[some], x[some], y[some], z[some])
                     if spell is not None and name == asks:
                         some = np.flatnonzero(mine)
                         if len(some):
@@ -460,7 +487,7 @@ def _dealer(route: Route, turn: int, turns: int, shared: bool, model_of, spell:
                             more, sure = known(words)
                             value = weights.get(name, 1.0) * np.exp(s) + more
                             value = np.where(sure, value, -value).astype(np.float32)
-                            size += take(ASKED, name, x[some], y[some], z[some], value[where], keys[row[some]])
+                            size += take(ASKED, name, shard[some], x[some], y[some], z[some], value[where], keys[row[some]])
                 if size >= PACKED:
                     yield from flush()
                     size = 0
@@ -498,25 +525,63 @@ def _groups(rows: pa.Table) -> Iterator[tuple[str, dict[int, list[list[np.ndarra
         for i, n in enumerate(names):
             if n == name:
                 held.setdefault(kinds[i], []).append(unpack(data[i]))
+                data[i] = None
         yield name, held
 
 
 def _trigrams(blobs: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """Keys in order, x, y, z and counts of the distinct trigrams."""
-    columns: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] * 1 for _ in range(3)] + [[np.zeros(0, np.int64)]]
-    for steps, cy, cx, cz, counts in blobs:
-        words = np.cumsum(steps)
-        for held, values in zip(columns, (words[cx], words[cy], words[cz], counts.astype(np.int64))):
-            held.append(values)
-    x, y, z, c = (np.concatenate(v) for v in columns)
-    keys, at, where = np.unique(key(x, y, z), return_index=True, return_inverse=True)
-    return keys, x[at], y[at], z[at], np.bincount(where, c, len(keys)).astype(np.int64)
+    """Keys in order, x, y, z and counts of the distinct trigrams. Takes the blobs out of their list."""
+    n = sum(len(b[1]) for b in blobs)
+    x, y, z, c = (np.empty(n, kind) for kind in (np.uint64, np.uint64, np.uint64, np.int64))
+    lo = 0
+    while blobs:
+        steps, cy, cx, cz, counts = blobs.pop()
+        words, hi = np.cumsum(steps), lo + len(cy)
+        x[lo:hi], y[lo:hi], z[lo:hi], c[lo:hi] = words[cx], words[cy], words[cz], counts
+        lo = hi
+    keys = key(x, y, z)
+    order, first = _runs(keys)
+    c = np.add.reduceat(c[order], first)
+    order = order[first]
+    return keys[order], x[order], y[order], z[order], c
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and where in it each distinct one begins."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return order, np.flatnonzero(new)
+
+
+def _numbers(order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The number of each key among the distinct ones."""
+    out = np.empty(len(order), np.int32)
+    out[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(order)))
+    return out
+
+
+def _totals(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys; sum of c, and how many are 1, 2, more, for each; number of each key among the distinct ones."""
+    order, first = _runs(keys)
+    c = c[order]
+    totals = np.empty((len(first), 4), np.int64)
+    for i, w in enumerate((c, c == 1, c == 2, c > 2)):
+        totals[:, i] = np.add.reduceat(w, first, dtype=np.int64)
+    return keys[order[first]], totals, _numbers(order, first)
+
+
+def _trimmed(run: Callable) -> Callable:
+    """``run`` for a group's table, with its free memory given back afterwards."""
 
+    def trimmed_run(rows: pa.Table) -> pa.Table:
+        try:
+            return run(rows)
+        finally:
+            trim()
 
-def _totals(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys; sum of c, and how many are 1, 2, more, for each."""
-    distinct, where = np.unique(keys, return_inverse=True)
-    return distinct, np.stack([np.bincount(where, w, len(distinct)) for w in (c, c == 1, c == 2, c > 2)], axis=1).astype(np.int64)
+    return trimmed_run
 
 
 STATS = "kind tinyint, lang string, a bigint, b bigint, n bigint, ones bigint, twos bigint, more bigint"
@@ -534,14 +599,16 @@ def _stats(route: Route):
             out.append((np.full(size, kind, np.int8), [lang] * size, *(c.astype(np.int64, copy=False) for c in columns)))
 
         for lang, held in _groups(rows):
-            _, x, y, z, c = _trigrams(held.get(COUNTED, []))
+            _, x, y, z, c = _trigrams(held.pop(COUNTED, []))
             often = np.arange(1, 5)
             tell(3, lang, often, None, np.array([(c == i).sum() for i in often]))
-            pairs, sums = _totals(key(x, y), c)
+            pairs, sums, _ = _totals(key(x, y), c)
+            del x, c
             shared = np.isin(pairs, route.pairs)
             tell(8, lang, pairs[shared], None, sums[shared, 0], sums[shared, 1:])
-            _, at, where = np.unique(key(y, z), return_index=True, return_inverse=True)
-            c2, y, z = np.bincount(where, minlength=len(at)), y[at], z[at]
+            order, first = _runs(key(y, z))
+            c2, order = np.diff(first, append=len(order)), order[first]
+            y, z = y[order], z[order]
             usual = route.common(y) < 0
             tell(9, lang, y[~usual].view(np.int64), z[~usual].view(np.int64), c2[~usual])
             tell(2, lang, often, None, np.array([(c2[usual] == i).sum() for i in often]))
@@ -608,24 +675,31 @@ class _ShardModel:
         spare = lambda order, t: t[:, 1:] @ d[order - 1][1:] / t[:, 0]
         k3, x, y, z, c3 = _trigrams(counted)
         self.find3 = Places(k3)
-        context = key(x, y)
-        contexts, t3 = _totals(context, c3)
+        del k3
+        contexts, t3, where = _totals(key(x, y), c3)
+        del x
         self.find_context = Places(contexts)
         for i in np.flatnonzero(np.isin(contexts, route.pairs)):
             t3[i] = pairs[int(contexts[i])]
-        self.a3 = (c3 - less(3, c3)) / t3[np.searchsorted(contexts, context), 0]
+        self.a3 = (c3 - less(3, c3)) / t3[where, 0]
         self.g3 = spare(3, t3)
-        usual = np.flatnonzero(route.common(y) < 0)
-        k2, at, where = np.unique(key(y, z)[usual], return_index=True, return_inverse=True)
-        c2, y2 = np.bincount(where, minlength=len(k2)), y[usual][at].view(np.int64)
+        del contexts, t3, where, c3
+        usual = route.common(y) < 0
+        y, z = y[usual], z[usual]
+        k2 = key(y, z)
+        del z
+        order, first = _runs(k2)
+        c2, order = np.diff(first, append=len(order)), order[first]
+        k2, y2 = k2[order], y[order].view(np.int64)
+        del y
         for by, bz, bc in common:
             k2, y2, c2 = np.append(k2, key(by.view(np.uint64), bz.view(np.uint64))), np.append(y2, by), np.append(c2, bc)
         order = np.argsort(k2)
         self.find2, y2, c2 = Places(k2[order]), y2[order], c2[order]
-        self.k1, t2 = _totals(y2, c2)
+        self.k1, t2, where = _totals(y2, c2)
         for i in np.flatnonzero(route.common(self.k1.view(np.uint64)) >= 0):
             t2[i] = words[int(self.k1[i])]
-        self.a2 = (c2 - less(2, c2)) / t2[np.searchsorted(self.k1, y2), 0]
+        self.a2 = (c2 - less(2, c2)) / t2[where, 0]
         self.g2 = spare(2, t2)
 
     def line(self, w: np.ndarray, cx: np.ndarray, cy: np.ndarray, cz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -781,7 +855,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shar
     parts = []
     for turn in range(halves):
         blobs = rows.where("train").mapInArrow(lean(_dealer(route, turn, halves, shared, model_of, None, None, {}, True)), BLOBS)
-        told = blobs.groupBy("shard").applyInArrow(_stats(route), STATS)
+        told = blobs.groupBy("shard").applyInArrow(_trimmed(_stats(route)), STATS)
         parts.append(work.keep(told.groupBy("kind", "lang", "a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "ones", "twos", "more"))), f"stats-{turn}"))
     stats = functools.reduce(DataFrame.union, parts)
     common = work.keep(stats.where("kind = 9").groupBy("lang", F.col("a").alias("y"), F.col("b").alias("z")).agg(F.sum("n").alias("c")), "common")
@@ -803,7 +877,8 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shar
     of_pairs = {r.a: np.array([r.n, r.ones, r.twos, r.more]) for r in stats.where("kind = 8").groupBy("a").agg(*(F.sum(c).alias(c) for c in ("n", "ones", "twos", "more"))).collect()}
 
     by_lang = [(name, float(r.total), *map(float, cut[name][0])) for name, r in first.items()]
-    by_lang = spark.createDataFrame(by_lang, "lang string, total double, d1 double, d2 double, d3 double")
+    # As an Arrow table: rows in a list would go through Python workers of another kind, which stay beside the others.
+    by_lang = spark.createDataFrame(pa.table({c: pa.array([r[i] for r in by_lang], pa.float64() if i else pa.string()) for i, c in enumerate(("lang", "total", "d1", "d2", "d3"))}))
     share = (F.col("c") - F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
     alphas = work.keep(ends.join(by_lang, "lang").select("z", "c", share.alias("alpha")), "alphas")
     for i in range(halves):
@@ -835,7 +910,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shar
         scored = blobs.mapInArrow(lean(_scorer(route, cut, of_words, of_pairs, max(1, size // (8 * shard)))), SCORED)
         if least:  # words beyond the broadcast ones
             scored = work.keep(scored, f"scored-{turn}")
-        part = scored.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(_add_up, "key bigint, s double")
+        part = scored.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(_trimmed(_add_up), "key bigint, s double")
         if least:
             late = scored.where("bucket is null").join(alphas.where(F.col("c") < least).select("z", "alpha"), "z", "left")
             late = late.select("key", F.log(F.col("p") + F.col("b") * F.coalesce("alpha", F.lit(0.0))).alias("s"))

@@ -406,6 +406,40 @@ def test_kneser_ney_places():
     assert (kneser_ney.grams(data, offs)[0] == np.concatenate(alone)).all()
 
 
+def test_kneser_ney_workers_hold_little():
+    """A spelling model keeps the rows of its contexts only and gives what the whole table does; trigrams are summed without many copies."""
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    size, contexts = kneser_ney.SYMBOLS, kneser_ney.SYMBOLS ** (kneser_ney.ORDER - 1)
+    codes = np.arange(contexts * size)
+    for seen in (np.zeros(0, np.int64), rng.choice(contexts, 5000, replace=False), np.arange(contexts)):
+        rows = np.tile(rng.random((contexts // size, size), np.float32), (size, 1))
+        rows[seen] = rng.random((len(seen), size), np.float32)
+        log_p, shift = kneser_ney.compact(rows.reshape(-1), seen)
+        assert (log_p[codes + shift[codes // size]] == rows.reshape(-1)).all()
+        assert len(log_p) <= (len(seen) + contexts // size) * size
+    words = np.sort(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    parts = [[rng.integers(0, 300, 50_000).astype(np.uint16) for _ in range(3)] + [rng.integers(1, 9, 50_000).astype(np.uint16)] for _ in range(4)]
+    y, x, z, c = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    want = kneser_ney.key(words[x], words[y], words[z])
+    keys, at, where = np.unique(want, return_index=True, return_inverse=True)
+    blobs = [[np.diff(words, prepend=np.uint64(0)), *p] for p in parts]
+    tracemalloc.start()
+    got = kneser_ney._trigrams(blobs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for mine, theirs in zip(got, (keys, words[x][at], words[y][at], words[z][at], np.bincount(where, c).astype(int)), strict=True):
+        assert (mine == theirs).all()
+    assert most < 100 * len(y)  # it was 129 bytes for each n-gram
+    keys, totals, number = kneser_ney._totals(want[:0], c[:0])
+    assert not len(keys) and totals.shape == (0, 4) and not len(number)
+    keys, totals, number = kneser_ney._totals(want % 50, c)
+    assert (keys[number] == want % 50).all()
+    mine = c[number == 3]
+    assert totals[3].tolist() == [mine.sum(), (mine == 1).sum(), (mine == 2).sum(), (mine > 2).sum()]
+
+
 def kneser_ney_words(text):
     import re
 
